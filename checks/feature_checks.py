@@ -13,15 +13,23 @@ KEYS = ["person_id", "tax_year"]
 QUERIES, ORACLE = {}, {}
 
 
+# Products and differences of money: compared at the third place, since short decimals
+# tie at the sixth and two engines may break such ties differently.
+MONEY = {"absolute_lifestyle_gap", "bank_deposit_gap", "absolute_lifestyle_spend",
+         "unexplained_cash_proxy", "net_worth_growth_proxy", "cash_t_method_gap",
+         "unexplained_wealth_index", "sch_c_total_expenses_p95", "absolute_lifestyle_gap_p95"}
+
+
 def rounded(df, cols, places=6, keys=KEYS):
     """Keys, then every column; floating-point columns rounded."""
     types = dict(df.dtypes)
-    return df.select(*keys, *[F.round(F.col(c), places).alias(c) if types[c] in
-                              ("double", "float") else F.col(c) for c in cols])
+    return df.select(*keys, *[F.round(F.col(c), 3 if c in MONEY else places).alias(c)
+                              if types[c] in ("double", "float") else F.col(c) for c in cols])
 
 
 def sql_rounded(cols, floats, places=6, keys=KEYS):
-    return ", ".join(list(keys) + [r(c, c, places) if c in floats else c for c in cols])
+    return ", ".join(list(keys) + [r(c, c, 3 if c in MONEY else places) if c in floats else c
+                                   for c in cols])
 
 
 def register(name, fn, upto, cols, ints=(), places=6):
@@ -172,14 +180,12 @@ GROUPS = {
 }
 
 
-def _core_query(cols, places):
-    return lambda spark, sf: rounded(Workspace.of(spark, sf).core, cols, places)
+def _core_query(cols):
+    return lambda spark, sf: rounded(Workspace.of(spark, sf).core, cols)
 
 
 for _name, (_cols, _ints) in GROUPS.items():
-    # products of short decimals tie at the sixth place; the third is safe for amounts
-    _places = 3 if _name == "x3_lifestyle" else 6
-    register(_name, _core_query(_cols, _places), "core", _cols, _ints, _places)
+    register(_name, _core_query(_cols), "core", _cols, _ints)
 
 # ------------------------------------------------------------------ phase 3
 PEER_ID = V.PEER_KEYS + ["peer_group_size"]
@@ -203,13 +209,13 @@ ORACLE["a1_peer_stats"] = with_ctes("stats", "SELECT " + sql_rounded(
 
 
 def q_peer_p95(spark, sf):
-    return rounded(Workspace.of(spark, sf).statistics["peers"], _peer_cols(["p95"]), 3,
+    return rounded(Workspace.of(spark, sf).statistics["peers"], _peer_cols(["p95"]), 8,
                    V.PEER_KEYS)
 
 
 QUERIES["a2_peer_p95"] = q_peer_p95
 ORACLE["a2_peer_p95"] = with_ctes("stats", "SELECT " + sql_rounded(
-    _peer_cols(["p95"]), set(_peer_cols(["p95"])), 3, V.PEER_KEYS) + " FROM peers")
+    _peer_cols(["p95"]), set(_peer_cols(["p95"])), 8, V.PEER_KEYS) + " FROM peers")
 
 
 def q_std_repair(spark, sf):

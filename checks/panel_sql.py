@@ -59,7 +59,7 @@ def entropy(cols) -> str:
     s = "(" + " + ".join(parts) + ")"
     terms = " + ".join(f"(CASE WHEN {p} > 0 THEN -({p} / {s}) * log2({p} / {s}) ELSE 0 END)"
                        for p in parts)
-    return f"(CASE WHEN {s} > 0 THEN {terms} ELSE 0 END)"
+    return f"(CASE WHEN {s} > 0 THEN floor(({terms}) * 1e10 + 0.5) / 1e10 ELSE 0 END)"
 
 
 def digit(c: str) -> str:

@@ -91,11 +91,14 @@ def age_group(age: Column) -> Column:
 
 
 def row_entropy(cols: list[str]) -> Column:
-    """Shannon entropy in bits of the non-negative parts of a row; 0 for an empty row."""
+    """Shannon entropy in bits of the non-negative parts of a row; 0 for an empty row.
+
+    Kept to ten decimals, so that equal mixes stay ties when the value is ranked.
+    """
     parts = [F.greatest(nz(c), F.lit(0.0)) for c in cols]
     whole = reduce(add, parts)
     terms = [F.when(p > 0, -(p / whole) * F.log2(p / whole)).otherwise(0.0) for p in parts]
-    return F.when(whole > 0, reduce(add, terms)).otherwise(0.0)
+    return F.when(whole > 0, F.floor(reduce(add, terms) * 1e10 + 0.5) / 1e10).otherwise(0.0)
 
 
 def first_digit(c) -> Column:

@@ -360,21 +360,19 @@ def q_policy(spark, sf):
     return rnd(d, **dict.fromkeys(_NUM, 7))
 
 
-# ctab_se years that collide with a real year leave one of two different rows, chosen by
-# column order over the whole canonical row; compare what does not depend on that choice
 @add("m16_merge_counts", "panel", f"""SELECT data_source, fraud_label, count(*) AS n_rows FROM (
   SELECT data_source, fraud_label FROM (SELECT *, row_number() OVER (ORDER BY
-    {digest("m16-1", "person_id", "tax_year")}) AS k FROM best WHERE fraud_label = 1), want
+    {digest("42-1", "person_id", "tax_year")}) AS k FROM best WHERE fraud_label = 1), want
     WHERE k <= want_pos
   UNION ALL SELECT data_source, fraud_label FROM (SELECT *, row_number() OVER (ORDER BY
-    {digest("m16-0", "person_id", "tax_year")}) - 1 AS position FROM best WHERE fraud_label = 0)
-  JOIN (SELECT CAST(floor({uniform(digest("m16-0-draw", "i"))} * neg) AS BIGINT) AS position
+    {digest("42-0", "person_id", "tax_year")}) - 1 AS position FROM best WHERE fraud_label = 0)
+  JOIN (SELECT CAST(floor({uniform(digest("42-0-draw", "i"))} * neg) AS BIGINT) AS position
     FROM want, range(n - want_pos) t(i)) USING (position)) GROUP BY ALL""", BEST + """,
 want AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.12::DOUBLE, 0) AS BIGINT) AS want_pos,
   (count(*) - sum(fraud_label))::BIGINT AS neg FROM best)""")
 def q_merge(spark, sf):
     parts = fixtures.sources(Workspace.of(spark, sf).panel)
-    d = merge.merge_sources(parts, 0.12, 0.01, "m16", shuffled=False)
+    d = merge.merge_sources(parts, 0.12, 0.01, shuffled=False)
     return d.groupBy("data_source", "fraud_label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -387,7 +385,7 @@ def q_fill(spark, sf):
     return rnd(d, agi=5).select("person_id", "tax_year", "employer_id", "fraud_type", "agi", "age")
 
 
-@add("p16_repair_generated", "panel", f"""SELECT person_id, tax_year, {r("least(greatest(taxable_income, 0), greatest(agi, 0))", "taxable_income", 7)},
+@add("p16_repair_generated", "panel", f"""SELECT person_id, tax_year, {r("CASE WHEN agi IS NOT NULL THEN least(greatest(taxable_income, 0), greatest(agi, 0)) END", "taxable_income", 7)},
   CASE WHEN effective_tax_rate IS NOT NULL THEN {r("least(greatest(effective_tax_rate, 0), 0.37)", "x")[:-5]} END AS effective_tax_rate,
   CASE WHEN age IS NOT NULL THEN least(greatest(age, 18), 85) END AS age,
   {r("CASE WHEN cogs IS NULL AND gross_receipts IS NULL THEN NULL ELSE least(cogs, gross_receipts) END", "cogs", 7)},

@@ -162,7 +162,7 @@ def bracket_tax(income: Column, tops: Column, status: Column) -> Column:
         if i < len(V.MARGINAL_RATES) - 1:
             part = F.least(part, tops[i] * scale - lo)
         parts.append(F.greatest(part, F.lit(0.0)) * rate)
-    return F.when(income > 0, F.round(reduce(add, parts), 2)).otherwise(0.0)
+    return F.when(income > 0, cents(reduce(add, parts))).otherwise(0.0)
 
 
 def draw_key(seed, *cols) -> Column:
@@ -215,3 +215,12 @@ def value_bucket(c: Column, per_octave: int = 64) -> Column:
     """
     m = F.floor(F.log2(F.abs(c) * F.lit(1e6) + F.lit(1.0)) * float(per_octave)).cast("int")
     return F.when(c < 0, -m - 1).otherwise(m)
+
+
+def cents(c) -> Column:
+    """Money to two decimals; the inner rounding removes binary noise before ties."""
+    return F.round(F.round(col(c), 6), 2)
+
+
+def floor0(c) -> Column:
+    return F.greatest(c, F.lit(0.0))

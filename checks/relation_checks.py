@@ -118,7 +118,7 @@ def q_prior(spark, sf):
 _GROW = {y: V.INFLATION[y] - (V.COVID_SHOCK[y] * 0.08 if y == 2020 else 0) for y in V.YEARS[1:]}
 
 
-@add("r4_wage_index", "panel", f"""SELECT person_id, tax_year, {r("sum(pay)", "w2_wages", 5)}, count(*) AS n_jobs
+@add("r4_wage_index", "panel", f"""SELECT person_id, tax_year, floor(sum(pay) * 100 + 0.500001) / 100 AS w2_wages, count(*) AS n_jobs
   FROM (SELECT person_id, y AS tax_year, base_salary * coalesce((
       SELECT exp(sum(ln(1 + g + {case_map("occupation", V.OCCUPATION_GROWTH, str(V.DEFAULT_OCCUPATION_GROWTH))})))
       FROM growth WHERE gy <= y), 1) AS pay
@@ -126,7 +126,9 @@ _GROW = {y: V.INFLATION[y] - (V.COVID_SHOCK[y] * 0.08 if y == 2020 else 0) for y
      DIMS + ", growth AS (SELECT * FROM (VALUES "
      + ", ".join(f"({y}, {g}::DOUBLE)" for y, g in _GROW.items()) + ") t(gy, g))")
 def q_wages(spark, sf):
-    return rnd(links.yearly_wages(Workspace.of(spark, sf).links), w2_wages=5)
+    d = links.yearly_wages(Workspace.of(spark, sf).links)
+    # the small shift keeps decimal ties on one side whatever the order of the sum
+    return d.withColumn("w2_wages", F.floor(C("w2_wages") * 100 + 0.500001) / 100)
 
 
 _HAZ = ", ".join(f"('{k}', {2019 + i}, {x}::DOUBLE)" for k, v in V.FAILURE_RATES.items()

@@ -100,10 +100,20 @@ def _null_rules(df: DataFrame, cols: list[str]) -> list[Rule]:
     return [Rule(f"null_{c}", nulls(c), none) for c in cols if c in df.columns]
 
 
-W2 = C("taxpayer_type").isin(V.W2_TYPES)
-CONTRADICTION = (C("fraud_label") == 1) & (C("fraud_type") == "none")
-TAX_LOGIC = C("taxable_income") > C("agi")
-COGS_LOGIC = C("cogs") > C("gross_receipts")
+def _w2() -> Column:
+    return C("taxpayer_type").isin(V.W2_TYPES)
+
+
+def _contradiction() -> Column:
+    return (C("fraud_label") == 1) & (C("fraud_type") == "none")
+
+
+def _taxable_above_agi() -> Column:
+    return C("taxable_income") > C("agi")
+
+
+def _cogs_above_receipts() -> Column:
+    return C("cogs") > C("gross_receipts")
 
 
 # ---------------------------------------------------------------- panel outputs
@@ -113,11 +123,11 @@ def check_zone_year(df: DataFrame) -> DataFrame:
     rules = [
         Rule("rows", F.count(F.lit(1)), above(0)),
         Rule("fraud_rate", F.avg("fraud_label"), within(0.10, 0.35)),
-        Rule("label_type_contradiction", violations(CONTRADICTION), none, "warning"),
-        Rule("w2_zero_wages", violations(W2 & (C("w2_wages") == 0)), none),
+        Rule("label_type_contradiction", violations(_contradiction()), none, "warning"),
+        Rule("w2_zero_wages", violations(_w2() & (C("w2_wages") == 0)), none),
         Rule("negative_agi", violations(C("agi") < 0), none),
-        Rule("taxable_above_agi", violations(TAX_LOGIC), none),
-        Rule("cogs_above_receipts", violations(COGS_LOGIC), at_most(5), "warning"),
+        Rule("taxable_above_agi", violations(_taxable_above_agi()), none),
+        Rule("cogs_above_receipts", violations(_cogs_above_receipts()), at_most(5), "warning"),
     ]
     if "evasion_rate" in df.columns:
         rules.append(Rule("max_evasion_rate", F.coalesce(F.max("evasion_rate"), F.lit(0.0)),
@@ -161,10 +171,10 @@ def inspect_splits(tagged: DataFrame, tag: str = "split") -> DataFrame:
     pos = C("fraud_label") == 1
     rules = [
         Rule("fraud_rate", F.avg("fraud_label"), within(0.18, 0.24)),
-        Rule("label_type_contradiction", violations(CONTRADICTION), none),
-        Rule("zero_wage_share", share(E.nz("w2_wages") == 0, W2), below(0.05)),
-        Rule("taxable_above_agi", violations(TAX_LOGIC), none),
-        Rule("cogs_above_receipts", violations(COGS_LOGIC), none, "warning"),
+        Rule("label_type_contradiction", violations(_contradiction()), none),
+        Rule("zero_wage_share", share(E.nz("w2_wages") == 0, _w2()), below(0.05)),
+        Rule("taxable_above_agi", violations(_taxable_above_agi()), none),
+        Rule("cogs_above_receipts", violations(_cogs_above_receipts()), none, "warning"),
     ]
     if "evasion_amount" in tagged.columns:
         rules.append(Rule("zero_evasion_share", share(E.nz("evasion_amount") == 0, pos),

@@ -53,20 +53,25 @@ def percent_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
                   prefix: str = "pct_", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``{prefix}{col}``: 100 x average rank / non-null count in the group, NULL -> 50.
 
-    Groups up to ``hot_rows`` are ranked by windows that share one shuffle.  Larger
-    groups, if any, take the value-count route, which has no one-task group.
+    Returns ``row_id``, keys, columns and ranks: rank narrow rows and join the result
+    back by id, so that wide rows are never sorted once per column.  Groups up to
+    ``hot_rows`` are ranked by windows that share one shuffle.  Larger groups, if any,
+    take the value-count route, which has no one-task group.  ``row_id`` must be a stored
+    unique id (a staged table's), so that a retried task sees the same ids.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(
+    narrow = df.select(row_id, *keys, *cols)
+    hot = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(
         F.col("__n") > hot_rows).select(*keys)
-    if sizes.isEmpty():
-        return _window_ranks(df, keys, cols, prefix)
-    cold = same_keys(df, sizes, keys, "left_anti")
-    hot = same_keys(df, sizes, keys, "left_semi")
-    return _window_ranks(cold, keys, cols, prefix).unionByName(
-        _counted_ranks(hot, keys, cols, row_id, prefix))
+    if hot.isEmpty():
+        return _window_ranks(narrow, keys, cols, prefix)
+    return _window_ranks(same_keys(narrow, hot, keys, "left_anti"), keys, cols,
+                         prefix).unionByName(
+        _counted_ranks(same_keys(narrow, hot, keys, "left_semi"), row_id, keys, cols, prefix))
 
 
-def _window_ranks(df: DataFrame, keys: list[str], cols: list[str], prefix: str) -> DataFrame:
+def _window_ranks(narrow: DataFrame, keys: list[str], cols: list[str],
+                  prefix: str) -> DataFrame:
+    """Ranks by windows over narrow rows: one shuffle, one sort per column."""
     whole = Window.partitionBy(*keys)
     out = {}
     for c in cols:
@@ -76,12 +81,13 @@ def _window_ranks(df: DataFrame, keys: list[str], cols: list[str], prefix: str)
         mean_rank = (F.rank().over(upto) + F.count(x).over(upto)) / 2.0
         out[prefix + c] = F.when(x.isNull(), 50.0).otherwise(
             mean_rank / F.count(x).over(whole) * 100)
-    return df.withColumns(out)
+    return narrow.withColumns(out)
 
 
-def _counted_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
+def _counted_ranks(narrow: DataFrame, row_id: str, keys: list[str], cols: list[str],
                    prefix: str) -> DataFrame:
-    rows = unpivot(df, [row_id] + keys, cols)
+    """The same ranks from counts per distinct value, for groups too large for one task."""
+    rows = unpivot(narrow, [row_id] + keys, cols)
     group = keys + ["f"]
     counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("size"))
@@ -92,9 +98,8 @@ def _counted_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
     wide = same_keys(rows, ranked, group + ["v"], "inner").groupBy(row_id).agg(
         *[F.max(F.when(F.col("f") == i, F.col("pct"))).alias(prefix + c)
           for i, c in enumerate(cols)])
-    out = df.join(wide, row_id, "left")
-    return out.withColumns({prefix + c: F.coalesce(F.col(prefix + c), F.lit(50.0))
-                            for c in cols})
+    return narrow.join(wide, row_id, "left").withColumns(
+        {prefix + c: F.coalesce(F.col(prefix + c), F.lit(50.0)) for c in cols})
 
 
 # ------------------------------------------------------------ hash-ordered picks

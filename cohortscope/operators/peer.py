@@ -131,14 +131,16 @@ def peer_scores(core: DataFrame, stats: DataFrame, rates: DataFrame, mean: float
                 "peer_group_size", "raw_peer_fraud_rate", "peer_fraud_rate"]
              + list(V.RATE_DIMS.values()))
     core = core.drop(*owned)
-    ranked = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, present(core, V.RANKED), row_id,
-                           hot_rows=hot_rows)
+    ranked = present(core, V.RANKED)
+    narrow = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, ranked, row_id, hot_rows=hot_rows)
     needed = [f"{f}_{s}" for f in V.Z_FEATURES for s in ("mean", "std")]
     keep = [c for c in V.PEER_KEYS + ["peer_group_size", "raw_peer_fraud_rate",
                                       "peer_fraud_rate"] + needed if c in stats.columns]
-    df = ranked.join(stats.select(*keep), V.PEER_KEYS, "left")
-    df = z_scores(df).drop(*needed)
-    return encode_rates(df, rates, mean)
+    # statistics and rates meet the narrow rows; the wide rows take part in one join only
+    narrow = narrow.join(stats.select(*keep), V.PEER_KEYS, "left")
+    narrow = encode_rates(z_scores(narrow), rates, mean)
+    new = [c for c in owned if c in narrow.columns]
+    return core.join(narrow.select(row_id, *new), row_id)
 
 
 def fit_statistics(core: DataFrame) -> dict:

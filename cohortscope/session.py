@@ -25,6 +25,8 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # unique-key joins build small hash tables per partition instead of sorting wide rows
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         # methods above 8000 bytes are never JIT-compiled; fall back to split projections
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",

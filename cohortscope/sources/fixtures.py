@@ -34,10 +34,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.year("o_orderdate") + 24).alias("tax_year"))
     lines = table(spark, sf_dir, "lineitem").select(
         C("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber", "l_returnflag",
-        "l_linestatus", F.round(C("l_extendedprice") * 100).cast("long").alias("p"),
-        F.round(C("l_discount") * 100).cast("long").alias("d"),
-        F.round(C("l_tax") * 100).cast("long").alias("t"),
-        F.round("l_quantity").cast("long").alias("q"))
+        "l_linestatus", F.floor(C("l_extendedprice") * 100 + 0.5).alias("p"),
+        F.floor(C("l_discount") * 100 + 0.5).alias("d"),
+        F.floor(C("l_tax") * 100 + 0.5).alias("t"),
+        F.floor(C("l_quantity") + 0.5).alias("q"))
     return orders.join(lines, "o_orderkey")
 
 
@@ -212,6 +212,6 @@ def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (F.dayofmonth("ts") - 1) % 7
     return (e.groupBy(C("user_id").cast("string").alias("person_id"),
                       (slot + 2019).alias("tax_year"))
-            .agg((F.sum(F.round(C("value") * 100).cast("long")).cast("double")
+            .agg((F.sum(F.floor(C("value") * 100 + 0.5)).cast("double")
                   / F.count(F.lit(1)) / 100).alias("value"),
                  F.count(F.lit(1)).cast("double").alias("hits")))

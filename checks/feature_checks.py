@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.panel_sql import r, with_ctes
+from checks.panel_sql import r, steady, with_ctes
 from cohortscope import vocab as V
 from cohortscope.operators import blocks, forensic, peer, preprocess, scores
 from cohortscope.plans.workspace import Workspace
@@ -23,7 +23,7 @@ MONEY = {"absolute_lifestyle_gap", "bank_deposit_gap", "absolute_lifestyle_spend
 def rounded(df, cols, places=6, keys=KEYS):
     """Keys, then every column; floating-point columns rounded."""
     types = dict(df.dtypes)
-    return df.select(*keys, *[F.round(F.col(c), 3 if c in MONEY else places).alias(c)
+    return df.select(*keys, *[steady(F.col(c), 3 if c in MONEY else places).alias(c)
                               if types[c] in ("double", "float") else F.col(c) for c in cols])
 
 
@@ -106,8 +106,8 @@ SELECT tax_year, '*', {", ".join(r(c, "med_" + c) for c in _MED)} FROM med_year"
 def q_reattach(spark, sf):
     ws = Workspace.of(spark, sf)
     clean = preprocess.preprocess(ws.panel, ws.medians).select(
-        *KEYS, F.round("agi", 6).alias("agi"))
-    raw = ws.panel.select(*KEYS, "fraud_label", "employer_id", F.round("w2_wages", 4)
+        *KEYS, steady("agi", 6).alias("agi"))
+    raw = ws.panel.select(*KEYS, "fraud_label", "employer_id", steady("w2_wages", 4)
                           .alias("w2_wages"))
     return preprocess.reattach_raw(clean, raw, KEYS)
 
@@ -231,7 +231,7 @@ ORACLE["a3_single_member_std"] = with_ctes("stats", "SELECT " + sql_rounded(
 
 def q_global_rate(spark, sf):
     g = peer.global_rate(peer.training_rows(Workspace.of(spark, sf).core))
-    return g.select(F.round("global_mean", 8).alias("global_mean"))
+    return g.select(steady("global_mean", 8).alias("global_mean"))
 
 
 QUERIES["a4_global_rate"] = q_global_rate
@@ -260,7 +260,7 @@ ORACLE["a6_group_rates"] = with_ctes("stats", f"SELECT dim, key, n, {r('rate', '
 
 def q_emp_dist(spark, sf):
     d = peer.employer_distribution(Workspace.of(spark, sf).statistics["employers"])
-    return d.select(F.round("mu", 8).alias("mu"), F.round("sigma", 8).alias("sigma"))
+    return d.select(steady("mu", 8).alias("mu"), steady("sigma", 8).alias("sigma"))
 
 
 QUERIES["a7_employer_distribution"] = q_emp_dist

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cohortscope import vocab as V
 
 EPS = "1e-9"
@@ -109,7 +111,18 @@ def band(x: str) -> str:
 
 
 def r(expr: str, name: str, places: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {places}) AS {name}"
+    """Rounded value under a name; see :func:`steady` for the shift."""
+    return f"floor(CAST({expr} AS DOUBLE) * 1e{places} + 0.5001) / 1e{places} AS {name}"
+
+
+def steady(c, places: int = 6):
+    """The same rounding on the Spark side.
+
+    Engines break decimal ties differently and sum in different orders; the small
+    shift puts ties on one side in both.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c.cast("double") * float(f"1e{places}") + 0.5001) / float(f"1e{places}")
 
 
 def uniform(digest: str) -> str:

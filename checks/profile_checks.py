@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.feature_checks import PANEL_FLOATS, PANEL_INTS, PANEL_TEXT
-from checks.panel_sql import flag, r, with_ctes
+from checks.panel_sql import flag, r, steady, with_ctes
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
 from cohortscope.operators import evaluate, profile
@@ -16,7 +16,7 @@ C = F.col
 
 
 def rnd(df, **places):
-    return df.withColumns({c: F.round(C(c), n) for c, n in places.items()})
+    return df.withColumns({c: steady(C(c), n) for c, n in places.items()})
 
 
 def add(name, upto, sql, extra=""):
@@ -402,8 +402,8 @@ def q_auc_flags(spark, sf):
     * (count(*) FILTER (WHERE fraud_label = 1) + 1) / 2.0) / (count(*) FILTER (WHERE fraud_label = 1)
     * count(*) FILTER (WHERE fraud_label = 0)) AS auc
   FROM (SELECT fraud_label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk
-    FROM (SELECT fraud_label, round(master_fraud_propensity, 9) AS s FROM scored)))""")
+    FROM (SELECT fraud_label, floor(master_fraud_propensity * 1e9 + 0.5001) / 1e9 AS s FROM scored)))""")
 def q_auc_master(spark, sf):
     d = Workspace.of(spark, sf).scored.select(
-        "fraud_label", F.round("master_fraud_propensity", 9).alias("s"))
+        "fraud_label", steady("master_fraud_propensity", 9).alias("s"))
     return rnd(evaluate.roc_auc(d, "s"), auc=5, auc_either_way=5)

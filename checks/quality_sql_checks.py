@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.panel_sql import case_map, flag, r, with_ctes
+from checks.panel_sql import case_map, flag, r, steady, with_ctes
 from checks.profile_checks import rnd
 from checks.relation_checks import DIMS
 from checks.sampling_checks import ALIGNED, DRAWN, TARGET, _aligned
@@ -59,11 +59,11 @@ _NULLS = [err(f"null_{c}", f"{c} IS NULL") for c in V.MUST_NOT_BE_NULL]
     err("taxable_above_agi", "taxable_income > agi"),
     ("cogs_above_receipts", count_if("cogs > gross_receipts"), "$ <= 5", "warning"),
     ("max_evasion_rate", "coalesce(max(evasion_rate), 0)", "$ <= 2.0", "warning"),
-    ("agi_median", "round(median(agi), 4)", "$ >= 5000", "error")]
+    ("agi_median", "floor(median(agi) * 1e4 + 0.5001) / 1e4", "$ >= 5000", "error")]
     + [x for x in _NULLS if x[0] not in ("null_zone", "null_tax_year")], "zone, tax_year"))
 def q_d1(spark, sf):
     d = quality.check_zone_year(Workspace.of(spark, sf).panel)
-    return d.withColumn("value", F.round(F.when(C("rule") == "agi_median", F.round(
+    return d.withColumn("value", steady(F.when(C("rule") == "agi_median", steady(
         "value", 4)).otherwise(C("value")), 6))
 
 
@@ -365,7 +365,7 @@ def q_overwrite(spark, sf):
     p = Workspace.of(spark, sf).panel.select("person_id", "tax_year", "irs_risk_score")
     first = sinks.overwrite_stage(p, base, "v1")
     second = sinks.overwrite_stage(downcast(spark.read.parquet(first)), base, "v2")
-    return spark.read.parquet(second).select("person_id", "tax_year", F.round(
+    return spark.read.parquet(second).select("person_id", "tax_year", steady(
         C("irs_risk_score").cast("double"), 4).alias("irs_risk_score"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.panel_sql import (benford, case_map, clip, digest, digit, flag, r, uniform,
+from checks.panel_sql import (benford, case_map, clip, digest, digit, flag, r, steady, uniform,
                               with_ctes)
 from checks.profile_checks import rnd
 from cohortscope import vocab as V
@@ -276,7 +276,7 @@ def q_return(spark, sf):
   {r("utility_cost_estimated / greatest(agi * 0.12::DOUBLE, 1.0)", "lifestyle_income_ratio", 4)},
   {r("(agi + evasion_amount) / greatest(agi, 1.0)", "bank_deposit_ratio", 4)},
   {r("deduction_taken / greatest(agi, 1.0)", "deduction_income_ratio", 4)},
-  round(round(eff, 4) - {case_map("zone", V.ZONE_BASE_RATE)}::DOUBLE, 4) AS effective_rate_vs_zone
+  round(floor(eff * 1e4 + 0.5001) / 1e4 - {case_map("zone", V.ZONE_BASE_RATE)}::DOUBLE, 4) AS effective_rate_vs_zone
   FROM returns""", RETURNS)
 def q_signals(spark, sf):
     d = returns.detection_signals(returns.compute_return(facts(spark, sf)))
@@ -286,7 +286,7 @@ def q_signals(spark, sf):
 
 @add("f22_effective_rate", "clean", f"""SELECT person_id, tax_year, {r("expected_tax_rate", "rate", 8)} FROM clean""")
 def q_eff(spark, sf):
-    return Workspace.of(spark, sf).core.select("person_id", "tax_year", F.round(
+    return Workspace.of(spark, sf).core.select("person_id", "tax_year", steady(
         E.effective_rate(C("agi")), 8).alias("rate"))
 
 
@@ -559,7 +559,7 @@ def q_choice(spark, sf):
     u = E.digest_uniform(E.draw_key("f25", "person_id", "tax_year"))
     w = {"pure_w2": 0.32, "pure_se": 0.14, "w2_with_side_biz": 0.12, "other": 0.42}
     return Workspace.of(spark, sf).panel.select("person_id", "tax_year", E.weighted_choice(
-        u, w).alias("drawn"), F.round(u, 9).alias("u"))
+        u, w).alias("drawn"), steady(u, 9).alias("u"))
 
 
 @add("f15_f16_labels_and_ids", "panel", """SELECT lower(replace(trim(state), ' ', '_')) AS state_safe,
@@ -586,17 +586,17 @@ def q_labels(spark, sf):
 def q_scalars(spark, sf):
     w2 = C("w2_wages")
     return Workspace.of(spark, sf).panel.select(
-        "person_id", "tax_year", F.round(E.clip(w2, 1000, 20000), 7).alias("clipped"),
-        F.round(E.nz("gig_net", -1.0), 7).alias("filled"),
-        F.round(F.abs("taxable_income"), 7).alias("magnitude"),
-        F.round(E.log1p0("dividends"), 8).alias("lg"),
-        F.round(F.log2(C("irs_risk_score") + 1), 8).alias("lg2"),
-        F.round(F.log10(C("bank_deposit_ratio") + 1), 8).alias("lg10"),
+        "person_id", "tax_year", steady(E.clip(w2, 1000, 20000), 7).alias("clipped"),
+        steady(E.nz("gig_net", -1.0), 7).alias("filled"),
+        steady(F.abs("taxable_income"), 7).alias("magnitude"),
+        steady(E.log1p0("dividends"), 8).alias("lg"),
+        steady(F.log2(C("irs_risk_score") + 1), 8).alias("lg2"),
+        steady(F.log10(C("bank_deposit_ratio") + 1), 8).alias("lg10"),
         F.floor(w2).alias("down"), F.ceil(w2).alias("up"),
         F.bround(C("irs_risk_score") / 10).alias("nearest"),
         (w2.cast("long") % 100).alias("rest"),
         (F.greatest(E.nz(w2), E.nz("gig_net")) == E.nz(w2)).alias("mostly_wages"),
         E.flag(w2 > 9000).alias("high"), C("fraud_type").try_cast("double").alias("coerced"),
-        F.round(E.clip(E.safe_ratio(w2, C("agi")), 0, 5), 7).alias("share"), (~C("agi").isNull()).alias("known"))
+        steady(E.clip(E.safe_ratio(w2, C("agi")), 0, 5), 7).alias("share"), (~C("agi").isNull()).alias("known"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.panel_sql import case_map, digest, r, uniform, with_ctes
+from checks.panel_sql import case_map, digest, r, steady, uniform, with_ctes
 from checks.profile_checks import index_sql, rnd
 from cohortscope import vocab as V
 from cohortscope.operators import merge, ordering, profile, sampling, splits
@@ -95,7 +95,7 @@ def q_trim(spark, sf):
      f"{r('agi', 'agi', 5)} FROM sample", DRAWN)
 def q_sample(spark, sf):
     s = sampling.sample_states(Workspace.of(spark, sf).panel, TARGET, drop=["fraud_category"])
-    return s.select("state", "person_id", "tax_year", "fraud_label", F.round("agi", 5).alias("agi"))
+    return s.select("state", "person_id", "tax_year", "fraud_label", steady("agi", 5).alias("agi"))
 
 
 @add("m9_sample_report", "panel", f"""
@@ -209,7 +209,7 @@ def q_subsets(spark, sf):
     out = None
     for name, d in splits.year_subsets(train).items():
         part = d.agg(F.count(F.lit(1)).alias("n_rows"),
-                     F.round(F.avg("fraud_label"), 8).alias("rate")).withColumn(
+                     steady(F.avg("fraud_label"), 8).alias("rate")).withColumn(
             "subset", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

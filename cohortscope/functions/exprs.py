@@ -217,14 +217,19 @@ def value_bucket(c: Column, per_octave: int = 64) -> Column:
     return F.when(c < 0, -m - 1).otherwise(m)
 
 
-def cents(c) -> Column:
-    """Money to two decimals, halves away from zero.
+def rounded(c, places: int) -> Column:
+    """Decimal rounding, halves away from zero.
 
     The small shift absorbs binary noise at ties; ``round`` on doubles goes through
     decimal objects and is many times slower.
     """
-    c = col(c)
-    return F.signum(c) * F.floor(F.abs(c) * 100 + 0.500001) / 100
+    c, scale = col(c), 10 ** places
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.500001) / scale
+
+
+def cents(c) -> Column:
+    """Money to two decimals."""
+    return rounded(c, 2)
 
 
 def floor0(c) -> Column:

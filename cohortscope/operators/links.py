@@ -158,7 +158,7 @@ def yearly_risk(df: DataFrame) -> DataFrame:
     """Year score: base plus evasion uplift (input) plus 15 x lifestyle ratio."""
     uplift = E.nz("evasion_uplift") if "evasion_uplift" in df.columns else F.lit(0.0)
     x = C("risk_score_base") + uplift + E.nz("lifestyle_income_ratio") * 15
-    return df.withColumn("irs_risk_score_yearly", F.round(F.round(E.clip(x, 1, 99), 6), 1))
+    return df.withColumn("irs_risk_score_yearly", E.rounded(E.clip(x, 1, 99), 1))
 
 
 # ----------------------------------------------------------------- compatibility

@@ -90,7 +90,7 @@ def compute_return(facts: DataFrame) -> DataFrame:
     d = d.withColumn("total_tax_liability", E.cents(E.floor0(
         C("tax_before_credits") - C("total_credits"))))
     d = d.withColumns({
-        "effective_tax_rate": F.round(
+        "effective_tax_rate": E.rounded(
             C("total_tax_liability") / F.greatest(C("agi"), F.lit(1.0)), 4),
         "fica_withheld": E.cents(F.least(w2, base) * 0.062),
         "medicare_withheld": E.cents(w2 * 0.0145), "federal_withheld": E.cents(w2 * 0.18)})
@@ -104,9 +104,9 @@ def detection_signals(returns: DataFrame) -> DataFrame:
     """Lifestyle, deposit and deduction ratios; rate against the zone's base rate."""
     agi1 = F.greatest(C("agi"), F.lit(1.0))
     return returns.withColumns({
-        "lifestyle_income_ratio": F.round(optional(returns, "utility_cost_estimated")
+        "lifestyle_income_ratio": E.rounded(optional(returns, "utility_cost_estimated")
                                           / F.greatest(C("agi") * 0.12, F.lit(1.0)), 4),
-        "bank_deposit_ratio": F.round((C("agi") + optional(returns, "evasion_amount")) / agi1, 4),
-        "deduction_income_ratio": F.round(C("deduction_taken") / agi1, 4),
-        "effective_rate_vs_zone": F.round(
+        "bank_deposit_ratio": E.rounded((C("agi") + optional(returns, "evasion_amount")) / agi1, 4),
+        "deduction_income_ratio": E.rounded(C("deduction_taken") / agi1, 4),
+        "effective_rate_vs_zone": E.rounded(
             C("effective_tax_rate") - E.lookup("zone", V.ZONE_BASE_RATE), 4)})

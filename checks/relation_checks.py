@@ -273,10 +273,10 @@ def q_return(spark, sf):
 
 
 @add("r6_detection_signals", "panel", f"""SELECT person_id, tax_year,
-  {r("utility_cost_estimated / greatest(agi * 0.12::DOUBLE, 1.0)", "lifestyle_income_ratio", 4)},
-  {r("(agi + evasion_amount) / greatest(agi, 1.0)", "bank_deposit_ratio", 4)},
-  {r("deduction_taken / greatest(agi, 1.0)", "deduction_income_ratio", 4)},
-  round(floor(eff * 1e4 + 0.5001) / 1e4 - {case_map("zone", V.ZONE_BASE_RATE)}::DOUBLE, 4) AS effective_rate_vs_zone
+  floor((utility_cost_estimated / greatest(agi * 0.12::DOUBLE, 1.0)) * 1e4 + 0.500001) / 1e4 AS lifestyle_income_ratio,
+  floor(((agi + evasion_amount) / greatest(agi, 1.0)) * 1e4 + 0.500001) / 1e4 AS bank_deposit_ratio,
+  floor((deduction_taken / greatest(agi, 1.0)) * 1e4 + 0.500001) / 1e4 AS deduction_income_ratio,
+  round(floor(eff * 1e4 + 0.500001) / 1e4 - {case_map("zone", V.ZONE_BASE_RATE)}::DOUBLE, 4) AS effective_rate_vs_zone
   FROM returns""", RETURNS)
 def q_signals(spark, sf):
     d = returns.detection_signals(returns.compute_return(facts(spark, sf)))

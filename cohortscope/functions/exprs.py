@@ -38,7 +38,13 @@ def clip(c, lo=None, hi=None) -> Column:
 
 def total(cols) -> Column:
     """Row sum, NULL counted as 0."""
-    return reduce(add, [nz(c) for c in cols])
+    return reduce(add, [nz(c) for c in cols]) if cols else F.lit(0.0)
+
+
+def row_max(cols) -> Column:
+    """Largest value of a row, NULL counted as 0."""
+    parts = [nz(c) for c in cols] or [F.lit(0.0)]
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -95,6 +101,8 @@ def row_entropy(cols: list[str]) -> Column:
 
     Kept to ten decimals, so that equal mixes stay ties when the value is ranked.
     """
+    if not cols:
+        return F.lit(0.0)
     parts = [F.greatest(nz(c), F.lit(0.0)) for c in cols]
     whole = reduce(add, parts)
     terms = [F.when(p > 0, -(p / whole) * F.log2(p / whole)).otherwise(0.0) for p in parts]

@@ -68,7 +68,7 @@ def tax_burden(df: DataFrame) -> DataFrame:
 def deductions(df: DataFrame) -> DataFrame:
     agi, ded, gr = C("agi"), E.nz("deduction_taken"), E.nz("gross_receipts")
     sch = present(df, V.SCHEDULE_C)
-    df = df.withColumn("sch_c_total_expenses", E.total(sch) if sch else F.lit(0.0))
+    df = df.withColumn("sch_c_total_expenses", E.total(sch))
     exp = C("sch_c_total_expenses")
     revenue = gr + F.lit(V.EPS)
     out = {
@@ -78,9 +78,9 @@ def deductions(df: DataFrame) -> DataFrame:
         "phantom_business_flag": E.flag((exp > 500) & (gr == 0)),
         "se_perpetual_loss": E.flag(E.nz("net_se_income") < -1000),
         "expense_concentration": (
-            E.clip(F.greatest(*[E.nz(c) for c in sch]) / (exp + F.lit(V.EPS)), 0, 1)
+            E.clip(E.row_max(sch) / (exp + F.lit(V.EPS)), 0, 1)
             if len(sch) > 1 else F.lit(1.0)),
-        "expense_entropy": E.row_entropy(sch) if sch else F.lit(0.0),
+        "expense_entropy": E.row_entropy(sch),
     }
     if "sch_c_meals" in sch:
         out["meals_to_revenue_ratio"] = E.clip(E.nz("sch_c_meals") / revenue, 0, 5)
@@ -106,7 +106,7 @@ def income_sources(df: DataFrame) -> DataFrame:
         "investment_share_of_agi": E.clip(invest / agi_abs, 0, 1),
         "income_stream_count": sum((E.flag(C(c) > 0) for c in src), F.lit(0)),
         "income_entropy": E.row_entropy(src),
-        "income_concentration": E.clip(F.greatest(*[E.nz(c) for c in src]) / agi_abs, 0, 1),
+        "income_concentration": E.clip(E.row_max(src) / agi_abs, 0, 1),
         "has_cash_business": E.flag(gr > 0),
         "cash_business_dominance": E.clip(gr / agi_abs, 0, 5),
         "se_loss_offsetting_w2": E.flag((se < -1000) & (w2 > 0)),

@@ -25,8 +25,7 @@ def fit_wages(df: DataFrame, group: str, value: str) -> DataFrame:
     return d.withColumns({
         "log_mean": F.ln(F.greatest(F.when(C("p50") > 0, C("p50")).otherwise(50_000.0), one)),
         "log_std": F.greatest(spread, F.lit(0.15)),
-        # over groups, not rows
-        "emp_share": C("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))}).drop("n")
+        "emp_share": C("n") / F.lit(df.filter(C(value).isNotNull()).count())}).drop("n")
 
 
 def fit_zone() -> dict[str, int]:

@@ -64,6 +64,7 @@ def percent_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
         F.col("__n") > hot_rows).select(*keys)
     if hot.isEmpty():
         return _window_ranks(narrow, keys, cols, prefix)
+    hot = stage(hot, "hot-groups")     # a handful of keys, broadcast by its real size
     return _window_ranks(same_keys(narrow, hot, keys, "left_anti"), keys, cols,
                          prefix).unionByName(
         _counted_ranks(same_keys(narrow, hot, keys, "left_semi"), row_id, keys, cols, prefix))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
-from cohortscope.operators.quantiles import exact_quantiles
+from cohortscope.operators.quantiles import exact_quantiles, same_keys
 
 C = F.col
 
@@ -64,13 +64,18 @@ def person_index(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 # ----------------------------------------------------------------- distributions
 def value_counts(df: DataFrame, col: str, by: list[str] | None = None,
                  dropna: bool = True) -> DataFrame:
-    """Count and share of every value (within ``by``)."""
-    by = by or []
+    """Count and share of every value (within ``by``).
+
+    Totals come from their own aggregate: a window over all distinct values would put
+    a high-cardinality column into one task.
+    """
     d = df.filter(C(col).isNotNull()) if dropna else df
-    n = d.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    # the window runs over counts of distinct values, not over rows
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    return n.withColumn("share", C("n") / F.sum("n").over(whole))
+    n = d.groupBy(*(by or []), col).agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        whole = n.groupBy(*by).agg(F.sum("n").alias("__whole"))
+        return same_keys(n, whole, by, "inner").withColumn(
+            "share", C("n") / C("__whole")).drop("__whole")
+    return n.withColumn("share", C("n") / F.lit(d.count()))
 
 
 def years_per_person(index: DataFrame) -> DataFrame:

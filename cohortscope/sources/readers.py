@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,14 @@ def available_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.parquet(path).columns
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _open(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def load_years(spark: SparkSession, pattern: str, years: list[int],
@@ -32,13 +38,14 @@ def load_years(spark: SparkSession, pattern: str, years: list[int],
 
     ``pattern`` holds ``{year}``.  A missing year is skipped, or an error if required.
     """
-    found = [y for y in years if _exists(spark, pattern.format(year=y))]
-    missing = [y for y in years if y not in found]
+    found = {y: _open(spark, pattern.format(year=y)) for y in years}
+    missing = [y for y in years if found[y] is None]
     if required and missing:
         raise FileNotFoundError(f"missing years: {missing}")
     out = None
-    for y in found:
-        part = spark.read.parquet(pattern.format(year=y))
+    for y, part in found.items():
+        if part is None:
+            continue
         if "tax_year" not in part.columns:
             part = part.withColumn("tax_year", F.lit(y))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

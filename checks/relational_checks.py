@@ -67,7 +67,7 @@ def q_sorted(spark, sf):
 
 
 @add("p3_p5_drop_rename_default", "panel", """SELECT person_id AS entity, tax_year AS period,
-  coalesce(age, 45.0) AS age, 0.0 AS unseen FROM panel""")
+  coalesce(age, 45.0)::DOUBLE AS age, 0.0::DOUBLE AS unseen FROM panel""")
 def q_project(spark, sf):
     p = merge.drop_leakage(Workspace.of(spark, sf).panel)
     assert not set(V.LEAKAGE) & set(p.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.feature_checks import PANEL_FLOATS
 from checks.panel_sql import case_map, digest, r, steady, uniform, with_ctes
 from checks.profile_checks import index_sql, rnd
 from cohortscope import vocab as V
@@ -277,17 +278,20 @@ def q_contradictions(spark, sf):
 
 # ------------------------------------------------------------ alignment and merge
 _TAGS = list(V.SOURCE_PREFIX)
-_SHOW = ["age", "fraud_label", "has_rental", "has_crypto", "fbar_required"]
+_SHOW = ["age", "first_year_filing", "has_schedule_c", "has_gig", "fraud_label", "has_rental",
+         "has_crypto", "uses_itemized", "fbar_required"]
 _TEXT = ["taxpayer_type", "employer_id", "filing_status", "sex", "fraud_type", "fraud_category"]
 _NUM = ["w2_wages", "federal_withheld", "gross_receipts", "rental_net", "crypto_proceeds",
         "foreign_income", "social_security_income", "gig_income", "agi"]
+# the rest of the canonical numbers: they decide which of two equal-ranked rows is kept
+_REST = [c for c in V.CANONICAL if c in PANEL_FLOATS + ["n_rental_units"] and c not in _NUM]
 
 
 def _source_sql(i, tag):
-    missing = {"ctab_w2": ["crypto_proceeds", "gig_income"],
+    missing = {"ctab_w2": ["crypto_proceeds", "crypto_cost_basis", "gig_income"],
                "timegan_evader": ["employer_id", "filing_status"]}.get(tag, [])
     cols = []
-    for c in _SHOW + _TEXT + _NUM:
+    for c in _SHOW + _TEXT + _NUM + _REST:
         none = c in missing or c in ("sex", "fbar_required")
         kind = "BIGINT" if c in _SHOW else "VARCHAR" if c in _TEXT else "DOUBLE"
         cols.append(f"CAST({'NULL' if none else c} AS {kind}) AS {c}")
@@ -325,7 +329,7 @@ def q_align(spark, sf):
 
 # the winner of equal source rank is the smallest row in canonical column order
 _ORDER = [c for c in V.CANONICAL if c not in ("person_id", "tax_year")]
-_KNOWN = {"zone", "has_foreign_account", *(_SHOW + _TEXT + _NUM)}
+_KNOWN = {"zone", "has_foreign_account", *(_SHOW + _TEXT + _NUM + _REST)}
 BEST = ALIGNED + """,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id, tax_year ORDER BY prio,
   """ + ", ".join(f"{c} NULLS FIRST" for c in _ORDER if c in _KNOWN and c not in (

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: str | None = None
-
 
 def build_session(app: str = "cohortscope", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the library is tuned for.
@@ -38,21 +33,25 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
     return b.getOrCreate()
 
 
+def name_folder(spark: SparkSession, folder: str) -> None:
+    """Use ``folder`` for staged tables where the session names none."""
+    if not _named(spark):
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def _named(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where it is unset (tests, a laptop) a local temporary folder stands in.
+    There is no fallback: a machine-local folder would lose its files with the machine.
     """
-    global _LOCAL_ROOT
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    shared = _named(spark)
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _LOCAL_ROOT is None:
-        _LOCAL_ROOT = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        atexit.register(shutil.rmtree, _LOCAL_ROOT, ignore_errors=True)
-    return _LOCAL_ROOT
+    return shared.rstrip("/")
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortscope.llm import fingerprints
+from cohortscope.llm import fingerprints, mixing, pii, quality_rules
 
-MODULES = [fingerprints]
+MODULES = [fingerprints, pii, mixing, quality_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

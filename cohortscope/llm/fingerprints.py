@@ -21,6 +21,7 @@ from cohortscope.llm.common import SPACE, partitions, table
 
 K = 128
 WIDTH = 5
+BUCKETS = 8                 # id ranges per partition: enough to even out partitions
 LOWEST = -(2 ** 63)
 
 
@@ -96,7 +97,7 @@ def in_id_buckets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     one before it (``_guest`` 1), and the very first row ends the last bucket (2).  The
     driver sees one id per bucket.
     """
-    n = partitions(df.sparkSession)
+    n = BUCKETS * partitions(df.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     cuts = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)
                      ).first()[0] if n > 1 else None

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from cohortscope.llm import fingerprints, mixing, pii, quality_rules
+from cohortscope.llm import (fingerprints, language, mixing, pii, quality_model, quality_rules,
+                             warc)
 
-MODULES = [fingerprints, pii, mixing, quality_rules]
+MODULES = [fingerprints, pii, quality_model, warc, language, mixing, quality_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import WORD, table
+from cohortscope.llm.common import SPACE, WORD, table
 from cohortscope.llm.language import fold
 
 FOLDS, HELD_OUT = 4, 2
@@ -37,42 +39,69 @@ STATISTICS = ("log_chars", "log_words", "mean_word", "sd_word", "longest_word",
               "lines", "repeated_lines", "words_a_line", "ends_line", "ends_word", "capital",
               "all_capital", "with_mark", "with_digit", "short", "packed", "entropy",
               "inner_capital", "repeated_pairs", "top_word")
-_CLASS = np.zeros(256, np.int8)
-for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                             b"0123456789", b" \t\n\r\x0b\x0c", b"#*$%&|<>",
-                             b"!\"'()+,-./:;=?@[\\]^_`{}~"), 1):
-    _CLASS[list(_chars)] = _k
-_MARK = re.compile(r"[#*$%&|<>!?_={}\[\]]")
+LOWER, UPPER, DIGIT, BLANK, SYMBOL, END, MARK = range(1, 8)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Class of every code point; 0 for what belongs to none."""
+    out = np.fromiter((UPPER if c.isupper() else LOWER if c.isalpha() else 0
+                       for c in map(chr, range(0x110000))), np.int8, 0x110000)
+    for kind, chars in ((DIGIT, "0123456789"), (BLANK, SPACE), (SYMBOL, "#*$%&|<>"),
+                        (END, ".!?,;:"), (MARK, "\"'()+-/=@[\\]^_`{}~")):
+        out[[ord(c) for c in chars]] = kind
+    return out
+
+
+def _one_of(kind: np.ndarray, kinds: tuple[int, ...]) -> np.ndarray:
+    out = kind == kinds[0]
+    for k in kinds[1:]:
+        out |= kind == k
+    return out
 
 
 def statistics(text: str | None) -> list[float]:
-    """The document statistics, in the order of ``STATISTICS``."""
+    """The document statistics, in the order of ``STATISTICS``.
+
+    What concerns characters and words is counted over the array of code points, words
+    being its runs without ASCII white space.
+    """
     text = text or ""
-    words = _WORDS.findall(text)
-    n = max(1, len(words))
     raw = text.encode("utf-8", "surrogatepass")
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    size = max(1, len(raw))
-    kind = np.bincount(_CLASS, counts, 7) / size
-    share = counts[counts > 0] / size
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[codes]
+    blank = np.r_[True, kind == BLANK, True]
+    starts = np.flatnonzero(blank[:-2] & ~blank[1:-1])
+    ends = np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+    n, size = max(1, len(starts)), max(1, len(codes))
+    share = np.bincount(kind, minlength=8) / size
+    lengths = ends - starts if len(starts) else np.zeros(1, np.int64)
+
+    def inside(*kinds):
+        """Per word, the number of its characters of the given classes."""
+        return np.add.reduceat(_one_of(kind, kinds), starts, dtype=np.int64) if len(
+            starts) else np.zeros(1, np.int64)
+
+    upper, first = inside(UPPER), kind[starts] == UPPER
+    marked = inside(SYMBOL, MARK)
     lines = [x for x in text.split("\n") if x.strip()]
     k = max(1, len(lines))
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    pairs = len(set(zip(words, words[1:])))
-    of = lambda test: sum(map(test, words)) / n                          # noqa: E731
+    seen = Counter(words := _WORDS.findall(text))
+    frequent = np.bincount(np.frombuffer(raw, np.uint8), minlength=1)
+    parts = frequent[frequent > 0] / max(1, len(raw))
     return [
-        np.log1p(len(text)), np.log1p(len(words)), lengths.mean(), lengths.std(),
-        lengths.max(), kind[1], kind[2], kind[3], kind[4], kind[5], kind[6],
-        counts[128:].sum() / size, len(seen) / n, np.log1p(k), 1 - len(set(lines)) / k,
-        len(words) / k, sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / k,
-        of(lambda w: w[-1] in ".!?,;:"), of(lambda w: w[0].isupper()), of(str.isupper),
-        of(lambda w: _MARK.search(w) is not None),
-        len(re.findall(r"[0-9][^\x20\x09-\x0D]*", text)) / n, (lengths <= 3).mean(),
-        len(zlib.compress(raw, 1)) / size, -(share * np.log2(share)).sum() if len(raw) else 0,
-        of(lambda w: w[1:] != w[1:].lower()), 1 - pairs / max(1, len(words) - 1),
+        np.log1p(len(text)), np.log1p(len(starts)), lengths.mean(), lengths.std(),
+        lengths.max(), share[LOWER], share[UPPER], share[DIGIT], share[BLANK], share[SYMBOL],
+        share[END] + share[MARK], (codes > 127).mean() if len(codes) else 0,
+        len(seen) / n, np.log1p(k), 1 - len(set(lines)) / k, len(words) / k,
+        sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / k,
+        (kind[ends - 1] == END).sum() / n, first.sum() / n,
+        ((upper > 0) & (inside(LOWER) == 0)).sum() / n, (marked > 0).sum() / n,
+        (inside(DIGIT) > 0).sum() / n, (lengths <= 3).mean(),
+        len(zlib.compress(raw, 1)) / max(1, len(raw)),
+        -(parts * np.log2(parts)).sum() if len(raw) else 0,
+        (upper[:len(first)] > first).sum() / n,
+        1 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
         max(seen.values(), default=0) / n]
 
 

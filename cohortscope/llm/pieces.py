@@ -30,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 0.3
 SEED = 1
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 _BLANK = "▁"
 _UNIT = re.compile(r"\x20+[^\x20]*|[^\x20]+")
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
@@ -58,8 +59,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def uniform(key: np.ndarray, *counters) -> np.ndarray:
     """Numbers in (0, 1) drawn by hash from a key and counters."""
     x = key
-    for c in counters:
-        x = _mix((x + np.asarray(c).astype(np.uint64) + np.uint64(1)) * _P1)
+    for c, odd in zip(counters, (_P1, _P2, _P3)):
+        x = x + (np.atleast_1d(c).astype(np.uint64) + np.uint64(1)) * odd
+    x = _mix(x)
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0 ** 52
 
 
@@ -86,24 +88,30 @@ class Vocabulary:
             weight[i] = -np.log(rank + 1) if ranked else sp.get_score(i)
         self.weight = alpha * weight
         self.byte_weight = float(alpha * (weight[ids].min() if ids else 0.0))
-        self.longest, found = 1, []
+        self.longest, found, prefixes = 1, [], []
         for i in ids:
             codes = np.array([ord(c) for c in sp.id_to_piece(i).replace(_BLANK, " ")], np.uint64)
             self.longest = max(self.longest, len(codes))
             h = np.zeros(1, np.uint64)
             for c in codes:
                 h = h * _P1 + _mix(c + _P2 * np.ones(1, np.uint64))
+                prefixes.append(_mix(h)[0])
             found.append(_mix(h)[0])
         order = np.argsort(np.array(found, np.uint64))
         self.hashes, self.ids = np.array(found, np.uint64)[order], np.array(ids)[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.hashes >> np.uint64(44)] = True
+        self.piece_bits, self.prefix_bits = self._bits(found), self._bits(prefixes)
+
+    @staticmethod
+    def _bits(hashes: list) -> np.ndarray:
+        """Which leading 20 bits occur; what is not among them need not be looked up."""
+        out = np.zeros(1 << 20, bool)
+        out[np.array(hashes, np.uint64) >> np.uint64(44)] = True
+        return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, -1 where there is none."""
-        h = _mix(h)
+        """Piece of each mixed hash, -1 where there is none."""
         out = np.full(len(h), -1)
-        at = np.flatnonzero(self.seen[h >> np.uint64(44)])
+        at = np.flatnonzero(self.piece_bits[h >> np.uint64(44)])
         if len(self.hashes):
             slot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
             out[at] = np.where(self.hashes[slot] == h[at], self.ids[slot], -1)
@@ -144,7 +152,11 @@ class Lattices:
             if not len(at):
                 break
             h = h * _P1 + mixed[at + size - 1]
-            found = v.find(h)
+            key = _mix(h)
+            if size > 1:                                        # some piece goes on so
+                ok = v.prefix_bits[key >> np.uint64(44)]
+                at, h, key = at[ok], h[ok], key[ok]
+            found = v.find(key)
             hit = found >= 0
             begin.append(node[at[hit]])
             end.append(node[at[hit]] + size)
@@ -162,20 +174,33 @@ class Lattices:
         unit_of = np.repeat(np.arange(len(units)), sizes + 1)
         depth = end - self.first[unit_of[end]] if len(end) else end
         total = self._forward(begin, end, weight, depth, len(unit_of))
-        order = np.argsort(end, kind="stable")
-        self.begin, self.piece = begin[order], piece[order]
-        end = end[order]
-        self.log_share = total[self.begin] + weight[order] - total[end]
-        self.from_, self.to = np.searchsorted(end, [np.arange(len(unit_of)),
-                                                    np.arange(len(unit_of)) + 1])
+        log_share = total[begin] + weight - total[end]
+        # by node, likeliest first; the size makes keys unique, so that no tie is left open
+        likely = np.minimum(-log_share * 1000, 2.0 ** 20 - 1).astype(np.int64)
+        order = np.argsort((end << 26) | (likely << 6) | np.minimum(end - begin, 63))
+        self.begin, self.piece, end = begin[order], piece[order], end[order]
+        self.log_share = log_share[order]
+        self.from_ = np.searchsorted(end, np.arange(len(unit_of) + 1))
+        self.to, self.from_ = self.from_[1:], self.from_[:-1]
         share = np.cumsum(np.exp(self.log_share))
         before = np.r_[0.0, share][self.from_[end]] if len(end) else share
-        self.reach = end + np.minimum(share - before, 1.0)      # rises over all arcs
+        self.reach = share - before                             # rises over a node's arcs
+        self.reach[self.to[self.to > self.from_] - 1] = 2.0     # the last one ends the search
         others = 1.0 - np.exp(self.log_share)
         alone = (self.to - self.from_)[end] == 1 if len(end) else others > 2
         with np.errstate(divide="ignore"):
             self.log_rest = np.where(alone, -np.inf, np.log(np.maximum(others, 0.0)))
 
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Arc into each node by its share: the likeliest come first, so few steps do."""
+        arc = self.from_[node]
+        go = np.flatnonzero(self.reach[arc] < u)
+        while len(go):
+            on = arc[go] + 1
+            arc[go] = on
+            go = go[self.reach[on] < u[go]]
+        return arc
+
     @staticmethod
     def _forward(begin, end, weight, depth, n):
         """Log of the total weight of all ways to each node, nodes of one depth at a time."""
@@ -183,7 +208,7 @@ class Lattices:
         starts = np.ones(n, bool)
         starts[end] = False
         total[starts] = 0.0
-        order = np.lexsort((end, depth))
+        order = np.argsort((depth << 40) | (end << 6) | np.minimum(end - begin, 63))
         begin, end, weight, depth = begin[order], end[order], weight[order], depth[order]
         cuts = np.r_[np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]]), len(depth)]
         heads = np.r_[True, end[1:] != end[:-1]]
@@ -206,11 +231,12 @@ class Search:
     """
 
     def __init__(self, keys: np.ndarray, texts: list[str], v: Vocabulary, seed: int):
-        ids: dict[str, int] = {}
         per_doc = [_UNIT.findall(" " + t) if t else [] for t in texts]
         counts = np.array([len(x) for x in per_doc], np.int64)
-        self.unit = np.fromiter((ids.setdefault(u, len(ids)) for x in per_doc for u in x),
-                                np.int64, int(counts.sum()))
+        units = list(chain.from_iterable(per_doc))
+        ids = dict.fromkeys(units)
+        ids = dict(zip(ids, range(len(ids))))
+        self.unit = np.fromiter(map(ids.__getitem__, units), np.int64, len(units))
         self.lattice = Lattices(list(ids), v)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.edge = np.r_[0, np.cumsum(counts)]
@@ -224,8 +250,7 @@ class Search:
         first = lat.first[self.unit[units]]
         while len(units):
             u = uniform(self.seed[self.doc[units]], sample, self.place[units], step)
-            arc = np.searchsorted(lat.reach, node + u)
-            arc = np.minimum(arc, lat.to[node] - 1)
+            arc = lat.choose(node, u)
             out.append((units, step, arc))
             node, step = lat.begin[arc], step + 1
             go = node > first
@@ -242,7 +267,11 @@ class Search:
         """
         lat = self.lattice
         unit, step, arc = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((step, unit))
+        # the steps of a unit are numbered without gaps: their order needs no sort
+        edge_of = np.cumsum(np.bincount(unit, minlength=len(self.unit)))
+        spot = np.r_[0, edge_of][unit] + step
+        order = np.empty(len(unit), np.int64)
+        order[spot] = np.arange(len(unit))
         unit, step, arc = unit[order], step[order], arc[order]
         doc = self.doc[unit]
         log_p = lat.log_share[arc]
@@ -341,8 +370,11 @@ class Search:
 
     def ids(self, p, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path in reading order, and where each document's begin."""
-        order = np.lexsort((-p["step"], p["unit"]))
-        piece = self.lattice.piece[p["arc"][order]]
+        unit = p["unit"]
+        size = np.bincount(unit, minlength=len(self.unit))
+        low = np.cumsum(size) - size
+        # a unit's steps run from its end to its begin: turn each unit's steps round
+        piece = self.lattice.piece[p["arc"][low[unit] + size[unit] - 1 - p["step"]]]
         edge = p["edge"]
         low = np.flatnonzero(piece < 0)
         if not len(low):

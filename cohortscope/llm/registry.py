@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortscope.llm import (fingerprints, language, mixing, pii, quality_model, quality_rules,
-                             warc)
+from cohortscope.llm import (fingerprints, language, mixing, pieces, pii, quality_model,
+                             quality_rules, repeats, warc)
 
-MODULES = [fingerprints, pii, quality_model, warc, language, mixing, quality_rules]
+MODULES = [fingerprints, repeats, pii, pieces, quality_model, warc, language, mixing,
+           quality_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

@@ -29,7 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortscope.llm.common import settle, table
@@ -278,6 +278,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     F.coalesce("component", "doc").alias("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Of rows with equal doc_id the first by text, then by the other columns, stays; rows
+    without a doc_id stay all.
+    """
+    first = (near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    order = [F.col(f"`{c}`") for c in ["text", *docs.columns]]
+    mine = Window.partitionBy("doc_id").orderBy(*order)
+    held = (docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(mine))
+            .filter("_n = 1").drop("_n"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return held.select(*cols).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -419,8 +419,8 @@ def _rows(keys, texts, v, k, seed):
         batches.append(pa.RecordBatch.from_arrays(
             [pa.array([keys[d] for d in docs], pa.int64()),
              pa.array(np.full(len(docs), n + 1, np.int32)), lists,
-             pa.array(p["log_p"][docs]), pa.array(top[docs]),
-             pa.array(log_inclusion(p["log_p"][docs], left[docs]))],
+             *[pa.array(np.round(x, 9)) for x in (        # sums end in noise of the batch
+                 p["log_p"][docs], top[docs], log_inclusion(p["log_p"][docs], left[docs]))]],
             ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]))
     return batches
 

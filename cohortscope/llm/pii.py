@@ -162,19 +162,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                "base_sha256 string, spans string, scores string")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with personal data replaced; NULL texts stay NULL."""
+def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The documents with personal data replaced by its kind; NULL texts stay NULL.
+
+    Where a text changes, its length in ``size`` follows, if there is such a column.
+    """
     at = docs.columns.index(text)
+    n_at = docs.columns.index(size) if size in docs.columns else None
 
     def clean(batches):
         for batch in batches:
-            new = []
-            for value in batch.column(at):
-                body = value.as_py()
-                spans = base_spans(body) + added_spans(body) if body else []
-                new.append(replace(body, spans) if spans else body)
+            old = batch.column(at).to_pylist()
+            new = [replace(t, base_spans(t) + added_spans(t)) if t else t for t in old]
             cols = list(batch.columns)
             cols[at] = pa.array(new, batch.schema.field(at).type)
+            if n_at is not None:
+                sizes = [n if a == b else len(b) for a, b, n in
+                         zip(old, new, cols[n_at].to_pylist())]
+                cols[n_at] = pa.array(sizes, batch.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     return docs.mapInArrow(clean, docs.schema)

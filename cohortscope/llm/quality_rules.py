@@ -32,7 +32,7 @@ BATCH_WORDS = 300_000
 SYMBOLS = "#*$%&|<>"
 SCHEMA = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
           "n_dup_lines bigint, n_repeat_words bigint, covered_words bigint, "
-          "longest_repeat bigint")
+          "longest_repeat bigint, base_failed boolean, kept boolean")
 _WORDS = re.compile(WORD)
 
 
@@ -61,47 +61,59 @@ def repetition(docs: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(rows):
-        rep = repetition([r[1] for r in rows])
-        cols = list(zip(*[(i, len(w), sum(map(len, w)), s, d) for i, w, s, d in rows]))
-        arrays = [pa.array(c, pa.int64()) for c in cols] + [pa.array(c) for c in rep.T]
-        return pa.RecordBatch.from_arrays(arrays, names)
+def verdict(n_words, repetition_) -> tuple[np.ndarray, np.ndarray]:
+    """(base_failed, kept) from the number of words and the repetition of each text."""
+    windows, inside, longest = repetition_.T
+    failed = (n_words < MIN_WORDS) | (100 * windows > MAX_REPEAT_PERCENT * n_words)
+    fine = (inside <= MAX_COVERED * n_words) & (
+        (longest < REPEAT_WORDS) | (longest <= MAX_LONGEST * n_words))
+    return failed, ~failed & fine
 
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    rows, words = [], 0
+
+def _portions(batches: Iterator[pa.RecordBatch], at: int):
+    """Rows of the batches, a bounded number of words at a time, with their words."""
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py() or ""
-            found = _WORDS.findall(text)
-            rows.append((i, found, sum(map(text.count, SYMBOLS)), duplicate_lines(text)))
-            words += len(found)
-            if words >= BATCH_WORDS:
-                yield flush(rows)
-                rows, words = [], 0
-    if rows:
-        yield flush(rows)
+        words, first, held = [], 0, 0
+        for i, text in enumerate(batch.column(at)):
+            words.append(_WORDS.findall(text.as_py() or ""))
+            held += len(words[-1])
+            if held >= BATCH_WORDS or i + 1 == batch.num_rows:
+                yield batch.slice(first, i + 1 - first), words
+                words, first, held = [], i + 1, 0
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    for rows, words in _portions(batches, 1):
+        texts = [t or "" for t in rows.column(1).to_pylist()]
+        n, rep = np.array([len(w) for w in words]), repetition(words)
+        counts = [n, [sum(map(len, w)) for w in words],
+                  [sum(map(t.count, SYMBOLS)) for t in texts], [*map(duplicate_lines, texts)]]
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0), *[pa.array(c, pa.int64()) for c in (*counts, *rep.T)],
+             *[pa.array(v) for v in verdict(n, rep)]], names)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The counts that the rules use, one row per document."""
+    """The counts that the rules use and the verdict, one row per document."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text).alias("text")).mapInArrow(_measure, SCHEMA)
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """Add ``base_failed`` and ``kept``."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    base = ((F.col("n_words") < MIN_WORDS)
-            | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    method = ((F.col("covered_words") <= MAX_COVERED * n)
-              & ((F.col("longest_repeat") < REPEAT_WORDS)
-                 | (F.col("longest_repeat") <= MAX_LONGEST * n)))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & method)
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that pass, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for rows, words in _portions(batches, at):
+            kept = verdict(np.array([len(w) for w in words]), repetition(words))[1]
+            yield rows.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(measure(table(spark, sf_dir, "documents")))
+    return measure(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}

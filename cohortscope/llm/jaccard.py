@@ -5,12 +5,12 @@
    order of all sets; any order gives the same links, this one gives short index lists.
 2. *Index.*  The prefix of each set that a similar one must meet.  Shingles of only one set
    leave through one exchange of packed records.
-3. *Leaders.*  Every set in a list is compared to the list's smallest; a set linked to one
-   gets the most similar as its leader, with the exact overlap.  Lists of copies come down to
-   one component here, without a pair of each with each.
+3. *Leaders.*  A set is compared to the smallest set that heads most of its lists; if linked,
+   that is its leader, and the exact overlap is kept.  Lists of copies come down to one
+   component here, without a pair of each with each.
 4. *Lists again, across components.*  Lists are cut in blocks by set size and position; blocks
-   whose best possible overlap is too small are skipped.  Candidates between components get
-   their answer from the leaders' overlap: |x & y| differs from |lx & ly| by no more than what
+   whose best possible overlap is too small are skipped, as are pairs that meet in fewer lists
+   than linked sets must.  Candidates between components get their answer from the leaders' overlap: |x & y| differs from |lx & ly| by no more than what
    the sets lack of their leaders.  Where that settles the question nothing is compared; the
    rest is compared exactly.
 5. *Components* of all links.
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.common import settle, table
 from cohortscope.llm.components import components
-from cohortscope.llm.shared_keys import chunks, n_buckets, records, shared_keys
+from cohortscope.llm.shared_keys import blocks, chunks, n_buckets, records, shared_keys
 
 WIDTH = 5
 PERCENT = 80                # of the union, for a link
+HEADED = 4                  # a head need hold but this part of the lists a leader must share
 FREQUENT_IN_CHUNK = 8       # documents of a chunk that make a shingle worth counting
 MOST_FREQUENT = 1 << 17     # shingles that are put last; orders work, never leaves any out
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,8 +53,12 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The set of each text as ascending hashes; only A-Z are lower-cased."""
+    return [s for a, b in blocks(texts) for s in _shingle_sets(texts[a:b])]
+
+
+def _shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     buf = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
     blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
     start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
@@ -140,22 +145,28 @@ def _sets(batches):
             ["doc", "set"])
 
 
+def sets_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(doc, set) of the documents in ``ids``, written once."""
+    listed = settle(ids.distinct(), f"{name}-ids")
+    return settle(rows.join(listed, "doc", "left_semi").select("doc", "text").mapInArrow(
+        _sets, "doc bigint, set binary"), name)
+
+
 def _overlaps(batches):
     for batch in batches:
-        x, y = batch.column(2), batch.column(3)
         n = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64),
                                 np.frombuffer(b.as_buffer(), np.uint64), True))
-             for a, b in zip(x, y)]
+             for a, b in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["x", "y", "both"])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of the sets of every pair (x, y)."""
     one = sets.select(F.col("doc").alias("x"), F.col("set").alias("of_x"))
     two = sets.select(F.col("doc").alias("y"), F.col("set").alias("of_y"))
-    return settle(pairs.join(one, "x").join(two, "y").select("x", "y", "of_x", "of_y").mapInArrow(
-        _overlaps, "x bigint, y bigint, both bigint"), name)
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "of_x", "of_y").mapInArrow(
+        _overlaps, "x bigint, y bigint, both bigint")
 
 
 def _near(n, m):
@@ -176,19 +187,31 @@ def candidates(lists: DataFrame) -> DataFrame:
     right = rows.select("key", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
                         F.col("doc").alias("y"), F.col("n").alias("ny"),
                         F.col("place").alias("py"), F.col("component").alias("cy"))
-    room = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
+    room = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny"))
                                              & (F.col("x") < F.col("y")))
     return (left.join(right, ["key", "block"])
             .filter((F.col("cx") != F.col("cy")) & smaller & _near(F.col("nx"), F.col("ny"))
                     & (room >= _needed(F.col("nx"), F.col("ny"))))
-            .select("x", "y", "nx", "ny").distinct())
+            .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("met"))
+            .filter(F.col("met") >= _met(F.col("nx"), F.col("ny"))).drop("met"))
 
 
 def _needed(n, m):
     return F.floor((PERCENT * (n + m) + 99 + PERCENT) / (100 + PERCENT))
 
 
+def _met(n, m):
+    """In how many lists linked sets of these sizes meet at least.
+
+    Of the tokens that both have, at most size - prefix of either lie behind its prefix; up
+    to where the shorter reaching prefix ends, the prefixes share all that both have.
+    """
+    def inside(k):
+        return _needed(n, m) - F.floor((PERCENT * k + 99) / 100) + 1
+    return F.greatest(F.least(inside(n), inside(m)), F.lit(1))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(surveyed documents, links): doc, n, digest of each; pairs (a, b) of linked ids.
 
@@ -215,16 +238,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                    .withColumn("doc", F.coalesce("rep", "doc")).drop("rep").distinct(), "lists")
 
     head = lists.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"))
+    x, y = F.col("nx"), F.col("ny")
     stars = (lists.join(head, "key").select(
         F.col("doc").alias("x"), F.col("head.doc").alias("y"), F.col("n").alias("nx"),
         F.col("head.n").alias("ny"))
-        .filter((F.col("x") != F.col("y")) & _near(F.col("nx"), F.col("ny"))).distinct())
+        .filter((F.col("x") != F.col("y")) & _near(x, y))
+        .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("met"))
+        .filter(HEADED * F.col("met") >= _met(x, y))
+        .groupBy("x", "nx").agg(F.max(F.struct("met", (-F.col("y")).alias("low"), "ny")).alias("best"))
+        .select("x", (-F.col("best.low")).alias("y"), "nx", "best.ny"))
     stars = settle(stars, "stars")
-    listed = lists.select("doc").distinct()
-    sets = settle(rows.join(listed, "doc", "left_semi").select("doc", "text").mapInArrow(
-        _sets, "doc bigint, set binary"), "sets")
-    sure = overlaps(stars, sets, "overlaps").join(stars, ["x", "y"])
-    linked = settle(sure.filter(F.col("both") >= _needed(F.col("nx"), F.col("ny"))), "near")
+    sets = sets_of(rows, stars.select(F.explode(F.array("x", "y")).alias("doc")), "sets")
+    linked = settle(overlaps(stars, sets).join(stars, ["x", "y"])
+                    .filter(F.col("both") >= _needed(x, y)), "near")
     equal = member.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     near = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -235,13 +261,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                       F.max("component").alias("high")).filter("low != high")
     open_ = settle(placed.join(mixed.select("key"), "key", "left_semi"), "open")
     pairs = settle(candidates(open_), "candidates")
-    more = _answers(pairs, linked, sets)
+    more = _answers(rows, pairs, linked)
     return known, equal.unionByName(near).unionByName(more)
 
 
-def _answers(pairs: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """Links among candidates (x, y, nx, ny), from the answers of their leaders."""
-    best = linked.groupBy("x").agg(F.max_by(F.struct("y", "both", "ny"), "both").alias("l"))
+    best = linked.select("x", F.struct("y", "both", "ny").alias("l"))
 
     def led(rows, of):
         mine = best.select(F.col("x").alias(of), F.col("l").alias(f"l{of}"))
@@ -253,9 +279,11 @@ def _answers(pairs: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
         }).drop(f"l{of}")
 
     rows = settle(led(led(pairs, "x"), "y"), "led")
+    sets = sets_of(docs, rows.select(F.explode(F.array("x", "y", "lead_x", "lead_y"))
+                                     .alias("doc")), "candidate-sets")
     lead = rows.select(F.col("lead_x").alias("x"), F.col("lead_y").alias("y")).filter(
         "x != y").distinct()
-    known = overlaps(lead, sets, "leaders").select(
+    known = overlaps(lead, sets).select(
         F.col("x").alias("lead_x"), F.col("y").alias("lead_y"), "both")
     need = _needed(F.col("nx"), F.col("ny"))
     rows = rows.join(known, ["lead_x", "lead_y"])
@@ -263,7 +291,7 @@ def _answers(pairs: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
     low = F.col("both") - F.col("gone_x") - F.col("gone_y")
     rows = settle(rows.filter(high >= need).withColumn("sure", low >= need), "bounded")
     rest = rows.filter("NOT sure").select("x", "y", "nx", "ny")
-    exact = overlaps(rest.select("x", "y"), sets, "compared").join(rest, ["x", "y"]).filter(
+    exact = overlaps(rest.select("x", "y"), sets).join(rest, ["x", "y"]).filter(
         F.col("both") >= need)
     return rows.filter("sure").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(
         exact.select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.llm.common import partitions, settle, table
-from cohortscope.llm.shared_keys import n_buckets, records, shared_keys
+from cohortscope.llm.shared_keys import blocks, n_buckets, records, shared_keys
 
 LEAST = 50                  # bytes of a repeat
 KMER = 24
@@ -92,7 +92,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _records(ids, texts):
-    own, at, key = anchors(texts)
+    found = [(own + a, at, key) for a, b in blocks(texts)
+             for own, at, key in [anchors(texts[a:b])]]
+    own, at, key = map(np.concatenate, zip(*found))
     id_ = np.array([-1 if i is None else i for i in ids], np.int64)
     crc = np.array([zlib.crc32(t) for t in texts], np.uint32).view(np.int32)
     r = records(key, id_[own], at, crc[own])

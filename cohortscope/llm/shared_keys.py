@@ -45,6 +45,16 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES):
         yield ids, texts
 
 
+def blocks(texts: list[bytes], size: int = 1 << 20):
+    """(first, last) of runs of texts that numpy works on at once: arrays stay small."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size or i + 1 == len(texts):
+            yield first, i + 1
+            first, held = i + 1, 0
+
+
 def records(key, id_, a, b) -> np.ndarray:
     out = np.zeros(len(key), RECORD)
     out["key"], out["id"], out["a"], out["b"] = key, id_, a, b

@@ -1,6 +1,6 @@
 """Suffix-array deduplication of repeated byte strings across documents.
 
-1. *Anchors.*  Of every window of ``LEAST`` bytes the smallest of its k-mer hashes is an
+1. *Anchors.*  Equal texts are one, with the smallest document; the others go whole.  Of every window of ``LEAST`` bytes the smallest of its k-mer hashes is an
    anchor: equal windows have equal anchors at equal places.  Keys that several documents
    share are found through one exchange of packed records.
 2. *Contexts.*  Around a shared anchor, the bytes that any window anchored there can cover.
@@ -40,6 +40,7 @@ SPAN = LEAST - KMER         # how far before an anchor a window can begin
 WIDTH = SPAN + LEAST        # longest context
 HOT = 20_000                # contexts of an anchor that still share one suffix array
 BATCH = 12_000              # contexts of a suffix array, about
+WHOLE = 2 ** 31 - 1         # bytes of a mark that covers a text to its end
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -92,87 +93,114 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _records(ids, texts):
+    """Anchors of the distinct texts of a chunk; of equal ones the smallest id has them."""
+    least: dict[bytes, int] = {}
+    for i, t in zip(ids, texts):
+        if i is not None and i <= least.get(t, i):
+            least[t] = i
+    ids, texts = list(least.values()), list(least)
+    if not ids:
+        return records([], [], [], [])
     found = [(own + a, at, key) for a, b in blocks(texts)
              for own, at, key in [anchors(texts[a:b])]]
     own, at, key = map(np.concatenate, zip(*found))
-    id_ = np.array([-1 if i is None else i for i in ids], np.int64)
+    id_ = np.array(ids, np.int64)
     crc = np.array([zlib.crc32(t) for t in texts], np.uint32).view(np.int32)
-    r = records(key, id_[own], at, crc[own])
-    known = np.array([i is not None for i in ids], bool)
-    return r if known.all() else r[known[own]]
+    return records(key, id_[own], at, crc[own])
+
+
+def string_hashes(words: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int):
+    """64-bit hashes of the strings of the given places, from words of eight bytes."""
+    h = _mix(size.astype(np.uint64) + np.uint64(seed))
+    for at in range(0, int(size.max()) if len(size) else 0, 8):
+        keep = np.clip(size - at, 0, 8)
+        w = words[np.minimum(begin + at, len(words) - 1)]
+        cut = (8 * np.maximum(8 - keep, 0)).astype(np.uint64)
+        w = np.where(keep > 0, w >> np.minimum(cut, np.uint64(63)), np.uint64(0))
+        h = _mix(h ^ w) + w
+    return h
+
+
+def strings(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings of the given places as one array."""
+    edge = np.r_[0, np.cumsum(size)]
+    at = np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])
+    return pa.Array.from_buffers(pa.binary(), len(begin), [
+        None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(buf[at])])
 
 
 def _contexts(batches):
     """Rows of every shared anchor: key, digest and bytes of the context, where it is."""
     for batch in batches:
-        cols = [[], [], [], [], [], []]
-        for doc, crc, text, spots in zip(*[c for c in batch.columns]):
-            data, doc, crc = text.as_buffer().to_pybytes(), doc.as_py(), crc.as_py()
-            at = np.sort(spots.values.to_numpy(zero_copy_only=False))
-            keys = kmer_hashes(np.frombuffer(data, np.uint8))[at].view(np.int64).tolist()
-            for p, key in zip(at.tolist(), keys):
-                begin = max(0, p - SPAN)
-                part = data[begin:p + LEAST]
-                cols[0].append(key)
-                cols[1].append(hashlib.blake2b(b"%d:" % (p - begin) + part,
-                                               digest_size=16).digest())
-                cols[2].append(part)
-                cols[3].append(doc)
-                cols[4].append(crc)
-                cols[5].append(begin)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
-             pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()),
-             pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32())],
-            ["key", "digest", "part", "doc", "crc", "begin"])
+        texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+        for first, last in blocks(texts):
+            part = batch.slice(first, last - first)
+            spots = part.column(3)
+            count = np.array([len(x) for x in spots], np.int64)
+            at = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in spots])
+            size = np.array([len(t) for t in texts[first:last]], np.int64)
+            base = np.repeat(np.cumsum(size) - size, count)
+            buf = np.frombuffer(b"".join(texts[first:last]), np.uint8)
+            words = words_of_8(np.r_[buf, np.zeros(8, np.uint8)])
+            begin = np.maximum(at - SPAN, 0)
+            wide = np.minimum(at + LEAST, np.repeat(size, count)) - begin
+            place = base + begin
+            digest = np.stack([string_hashes(words, place, wide, seed) + (
+                at - begin).astype(np.uint64) for seed in (1, 2)], 1)
+            docs = np.repeat(np.arange(len(size)), count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kmer_hashes(buf)[base + at].view(np.int64)),
+                 pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(
+                     np.arange(0, 16 * len(at) + 1, 16, np.int32)), pa.py_buffer(digest)]),
+                 strings(buf, place, wide), part.column(0).take(pa.array(docs)),
+                 part.column(1).take(pa.array(docs)), pa.array(begin.astype(np.int32))],
+                ["key", "digest", "part", "doc", "crc", "begin"])
 
 
 def suffix_array(parts: list[bytes], least: int = LEAST):
-    """Suffixes of at least ``least`` bytes in order, and the common prefix of neighbours.
+    """Suffixes that share ``least`` bytes with another one, and their common prefixes.
 
-    Returns (part, offset, common with the one before) as arrays.
+    Only the tree below depth ``least`` is asked for: suffixes are ordered by the hash of
+    their first ``least`` bytes, which drops those that are alone, and then by the bytes
+    that follow.  Returns (part, offset, common with the one before) as arrays; 0 between
+    suffixes that share less.
     """
     size = np.array([len(p) for p in parts], np.int64)
-    wide = -(-int(size.max()) // 8) * 8
-    grid = np.zeros((len(parts), wide + 16), np.uint8)
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    grid[np.repeat(np.arange(len(parts)), size), col] = flat
-    words = words_of_8(grid.ravel())
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    words = words_of_8(np.r_[buf, np.zeros(8, np.uint8)])
     count = np.maximum(size - least + 1, 0)
     part = np.repeat(np.arange(len(parts)), count)
     off = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count)
-    at = part * (wide + 16) + off
-    long = size[part] - off                                 # bytes left
-    steps = range(0, wide, 8)
-    # a word that reaches past its part's end is cut, so that parts do not run together
+    place = (np.cumsum(size) - size)[part] + off
+    head = string_hashes(words, place, np.full(len(place), least), 3)
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    alone = np.r_[True, head[1:] != head[:-1], True]
+    tied = ~(alone[:-1] & alone[1:])[:len(head)]
+    order, group = order[tied], head[tied]
+    part, off, place = part[order], off[order], place[order]
+    rest = size[part] - off - least                         # bytes that follow
     cols = []
-    for s in steps:
-        w = words[np.minimum(at + s, len(words) - 1)]
-        keep = np.clip(long - s, 0, 8).astype(np.uint64)
-        cut = (np.uint64(8) - keep) * np.uint64(8)
-        w = np.where(keep == 0, np.uint64(0), (w >> np.minimum(cut, np.uint64(63))) << np.minimum(
-            cut, np.uint64(63)))
-        cols.append(w)
-    order = np.lexsort([long, *cols[::-1]])
-    part, off, long = part[order], off[order], long[order]
-    common = np.zeros(len(part), np.int64)
-    open_ = np.ones(max(0, len(part) - 1), bool)
+    for at in range(0, int(rest.max()) if len(rest) else 0, 8):
+        keep = np.clip(rest - at, 0, 8)
+        w = words[np.minimum(place + least + at, len(words) - 1)]
+        cut = (8 * np.minimum(8 - keep, 7)).astype(np.uint64)
+        cols.append(np.where(keep > 0, (w >> cut) << cut, np.uint64(0)))
+    order = np.lexsort([rest, *cols[::-1], group])
+    part, off, rest, group = part[order], off[order], rest[order], group[order]
+    more, open_ = np.zeros(max(0, len(part) - 1), np.int64), np.ones(max(0, len(part) - 1), bool)
     for w in cols:
         w = w[order]
         x = w[1:] ^ w[:-1]
         lead = np.full(len(x), 8)
-        hit = x != 0
-        lead[hit] = 7 - (np.floor(np.log2(x[hit].astype(np.float64))).astype(np.int64) // 8)
-        # log2 of a double may round up to the next power of two: check the byte above
-        over = hit & (lead < 7) & ((x >> ((7 - np.minimum(lead, 7)) * 8).astype(np.uint64)) == 0)
-        lead[over] += 1
-        common[1:][open_] += lead[open_]
-        open_ &= ~hit
-        if not open_.any():
-            break
+        for k in range(7, -1, -1):                          # equal leading bytes
+            lead[(x >> np.uint64(8 * (7 - k))) != 0] = k
+        more[open_] += lead[open_]
+        open_ &= x == 0
+    common = np.zeros(len(part), np.int64)
     if len(part):
-        common[1:] = np.minimum(common[1:], np.minimum(long[1:], long[:-1]))
+        more = np.minimum(more, np.minimum(rest[1:], rest[:-1]))
+        common[1:] = np.where(group[1:] == group[:-1], least + more, 0)
     return part, off, common
 
 
@@ -297,7 +325,7 @@ def _remove(batches):
                 begin, all_, mask, starts = s["begin"], s["all"], s["mask"], s["starts"]
                 if all_:
                     change[begin] += 1
-                    change[begin + all_] -= 1
+                    change[min(begin + all_, len(data))] -= 1
                 elif mask is not None:
                     bits = np.unpackbits(np.frombuffer(mask, np.uint8)).astype(np.int8)
                     edge = np.diff(np.r_[0, bits, 0])
@@ -329,11 +357,17 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id",
     """Remove every byte covered by a string that also starts in a smaller document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    keyed = rows.withColumn("crc", F.crc32("text"))
+    mine = rows.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= LEAST)).select(
+        "doc", F.xxhash64("text").alias("hash"), F.crc32("text").alias("crc"))
+    least = mine.groupBy("hash", "crc").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    copies = settle(mine.join(least.filter("low < high").select("hash", "crc", "low"),
+                              ["hash", "crc"]).filter("doc > low").select("doc", "crc").distinct(),
+                    "copies")
     shared = settle(shared_keys(rows.filter(F.octet_length("text") >= LEAST), _records,
                                 n_buckets(rows)), "anchors")
-    keyed = rows.withColumn("crc", F.crc32("text"))
     spots = shared.groupBy(F.col("id").alias("doc"), F.col("b").cast("long").bitwiseAND(0xFFFFFFFF).alias("crc")).agg(
-        F.collect_list("a").alias("spots"))
+        F.collect_list("a").alias("spots")).join(copies, ["doc", "crc"], "left_anti")
     contexts = settle(
         keyed.join(spots, ["doc", "crc"]).select("doc", "crc", "text", "spots").mapInArrow(
             _contexts, "key bigint, digest binary, part binary, doc bigint, crc bigint, begin int"),
@@ -348,6 +382,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id",
                  "begin", F.when(later, F.col("size")).otherwise(0).alias("all"),
                  F.when(~later, F.col("mask")).alias("mask"),
                  F.when(~later, F.col("starts")).alias("starts"))).alias("marks")))
+    marks = marks.unionByName(copies.withColumn("marks", F.array(F.struct(
+        F.lit(0).alias("begin"), F.lit(WHOLE).alias("all"), F.lit(None).cast("binary").alias("mask"),
+        F.lit(None).cast("array<int>").alias("starts")))))
     return keyed.join(marks, ["doc", "crc"], "left").select("doc", "crc", "text", "marks"
                                                             ).mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "

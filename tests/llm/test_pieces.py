@@ -69,7 +69,7 @@ def test_round_trip_and_keys(spark):
     docs = [(1, "Hello  world\n\tx"), (2, None), (3, ""), (4, "▁x é中😀\x00"), (5, "a" * 30_000),
             (6, " lead"), (6, " lead"), (None, "no id")]
     df = H.clashing(H.table(spark, docs))
-    coded = S.encode(df.repartition(3))
+    coded = S.encode(df.repartition(3), check=True)
     rows = S.decode(coded).collect()
     text = {i: t or "" for i, t in docs}
     assert all(r.decoded == text[r.doc_id] for r in rows)

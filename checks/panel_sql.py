@@ -126,7 +126,12 @@ def steady(c, places: int = 6):
 
 
 def uniform(digest: str) -> str:
-    return f"(('0x' || substr({digest}, 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr({digest}, 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def drawn(digest: str, size: str) -> str:
+    """Whole number below ``size`` by integer arithmetic on 52 bits."""
+    return f"CAST((('0x' || substr({digest}, 1, 13))::HUGEINT * {size}) // 4503599627370496 AS BIGINT)"
 
 
 def digest(seed, *cols) -> str:

@@ -255,14 +255,17 @@ def q_d5(spark, sf):
     err("base_salary_not_positive", "base_salary <= 0")]) + ") UNION ALL SELECT 'businesses', * FROM ("
     + rule_rows("businesses", [
         err("bad_zone", "zone NOT IN (1, 2, 3, 4, 5)"), err("null_industry", "industry IS NULL"),
-        err("null_entity_type", "entity_type IS NULL"), err("negative_employees", "zone < 0"),
+        err("null_entity_type", "entity_type IS NULL"), err("negative_employees", "n_employees_base < 0"),
         ("exit_set_share", f"avg({flag('exit_year IS NOT NULL')})", "$ > 0.30", "warning")])
     + f""" UNION ALL SELECT 'duplicate_ids', sum({flag("n > 1")})::DOUBLE, 'error', {flag(f"sum({flag('n > 1')}) = 0")}
   FROM (SELECT business_id, count(*) AS n FROM businesses GROUP BY ALL))""", DIMS)
 def q_d5b(spark, sf):
     ws = Workspace.of(spark, sf)
     a = quality.check_links(ws.links).withColumn("tbl", F.lit("links"))
-    b = quality.check_businesses(ws.businesses).withColumn("tbl", F.lit("businesses"))
+    # every seventh business breaks the rule on employees
+    b = quality.check_businesses(ws.businesses.withColumn("n_employees_base", F.when(
+        C("business_id").cast("long") % 7 == 0, -1).otherwise(C("n_employees_base")))
+    ).withColumn("tbl", F.lit("businesses"))
     return rnd(a.unionByName(b), value=6)
 
 
@@ -343,6 +346,17 @@ def q_json(spark, sf):
                                    "struct<median_home_value:double,n:bigint>")
 
 
+@add("s11_report_sink", "panel", f"""SELECT state, tax_year, count(*) AS n_rows,
+  {r('avg(fraud_label)', 'fraud_rate', 8)} FROM panel GROUP BY ALL""")
+def q_report_sink(spark, sf):
+    """A report written by the sink and read back."""
+    path = _dir(spark, "report")
+    sinks.write_report(sinks.output_summary(Workspace.of(spark, sf).panel, ["state", "tax_year"]),
+                       path)
+    return rnd(spark.read.schema("state string, tax_year int, n_rows bigint, fraud_rate double")
+               .json(path), fraud_rate=8)
+
+
 @add("s7_s14_rate_store", "stats", f"SELECT dim, key, n, {r('rate', 'rate', 8)} FROM rates")
 def q_store(spark, sf):
     path = _dir(spark, "rates")
@@ -369,19 +383,30 @@ def q_overwrite(spark, sf):
         C("irs_risk_score").cast("double"), 4).alias("irs_risk_score"))
 
 
-@add("s3_p2_column_roles", "panel", "SELECT role, name FROM (" + " UNION ALL ".join(
-    f"SELECT '{role}' AS role, unnest({[c for c in cols]}) AS name" for role, cols in
-    merge.column_roles(["tax_year", "zone", "age", "agi", "w2_wages", "taxpayer_type",
-                        "filing_status", "has_gig", "has_rental"]).items()) + ")")
+_ROLES = {"numeric": ["tax_year", "zone", "age", "agi", "w2_wages"],
+          "categorical": ["taxpayer_type", "filing_status"], "binary": ["has_gig", "has_rental"]}
+
+
+@add("s3_p2_column_roles", "panel", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{role}' AS role, '{c}' AS name, count({c}) AS n_known, "
+    f"count(DISTINCT {c}) AS n_values FROM panel"
+    for role, cols in _ROLES.items() for c in cols) + ") WHERE n_values > 1")
 def q_roles(spark, sf):
+    """Roles of the columns that written files have and that hold more than one value."""
     path = _dir(spark, "roles")
     p = Workspace.of(spark, sf).panel.select(
-        "tax_year", "zone", "age", "agi", "w2_wages", "taxpayer_type", "filing_status",
-        "has_gig", "has_rental", "person_id")
+        *[c for cols in _ROLES.values() for c in cols], "person_id")
     sinks.write_parquet(p, path)
+    d = spark.read.parquet(path)
     roles = merge.column_roles(readers.available_columns(spark, path))
-    counted = profile.null_rates(spark.read.parquet(path))     # one row per column read
-    return counted.select(E.lookup("column", {c: k for k, cs in roles.items() for c in cs})
-                          .alias("role"), C("column").alias("name")).filter("role is not null")
+    cols = [(role, c) for role, cs in roles.items() for c in cs]
+    cells = d.groupBy("person_id", *[c for _, c in cols]).agg(F.count(F.lit(1)).alias("n"))
+    pairs = cells.select("n", F.explode(F.array(*[F.struct(
+        F.lit(role).alias("role"), F.lit(c).alias("name"), C(c).cast("string").alias("v"))
+        for role, c in cols])).alias("x")).select("n", "x.*").filter("v IS NOT NULL")
+    values = pairs.groupBy("role", "name", "v").agg(F.sum("n").alias("n"))
+    return values.groupBy("role", "name").agg(
+        F.sum("n").alias("n_known"), F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
+
 
 

@@ -43,7 +43,8 @@ businesses AS (SELECT CAST(s_suppkey AS VARCHAR) AS business_id, n_regionkey + 1
     CAST(2019 + s_suppkey % 5 AS INTEGER) AS open_year,
     CASE WHEN s_suppkey % 3 <> 0 THEN 9999 ELSE CAST(2019 + s_suppkey % 5 + s_suppkey % 4 AS INTEGER) END AS exit_year,
     {case_map("s_suppkey % 9", dict(enumerate(V.INDUSTRIES + ["unlisted"])))} AS industry,
-    {case_map("s_suppkey % 4", dict(enumerate(_ENTITIES)))} AS entity_type
+    {case_map("s_suppkey % 4", dict(enumerate(_ENTITIES)))} AS entity_type,
+    CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_suppkey % 50 END AS n_employees_base
   FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 links AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, CAST(l_suppkey AS VARCHAR) AS business_id,
     min(tax_year) AS link_start, CASE WHEN max(tax_year) = 2025 THEN 9999 ELSE max(tax_year) END AS link_end,
@@ -71,19 +72,25 @@ def q_active(spark, sf):
 
 @add("r2_j9_j14_attach_links", "panel", f"""
 SELECT p.person_id, p.tax_year, f.business_id AS owned_business, b.industry AS owned_industry,
-  {r("least(1 + (p.tax_year - open_year) * 0.08::DOUBLE, 1.6)", "maturity")}, f.n AS n_owned_business
-FROM panel p LEFT JOIN firsts f USING (person_id, tax_year)
+  {r("least(1 + (p.tax_year - open_year) * 0.08::DOUBLE, 1.6)", "maturity")}, f.n AS n_owned_business,
+  e.business_id AS first_employer, e.n AS n_first_employer
+FROM panel p LEFT JOIN (SELECT * FROM firsts WHERE owned) f USING (person_id, tax_year)
+LEFT JOIN (SELECT * FROM firsts WHERE NOT owned) e USING (person_id, tax_year)
 LEFT JOIN businesses b ON b.business_id = f.business_id""", DIMS + f""",
-firsts AS (SELECT person_id, tax_year, business_id, n FROM (SELECT person_id, y AS tax_year, business_id,
-    row_number() OVER (PARTITION BY person_id, y ORDER BY link_start, business_id) AS rn,
-    count(*) OVER (PARTITION BY person_id, y) AS n
-  FROM links, {_YEARS} WHERE link_start <= y AND (link_end >= y OR link_end = 9999)) WHERE rn = 1)""")
+firsts AS (SELECT person_id, tax_year, owned, business_id, n FROM (
+  SELECT person_id, y AS tax_year, owned, business_id,
+    row_number() OVER (PARTITION BY person_id, y, owned ORDER BY link_start, business_id) AS rn,
+    count(*) OVER (PARTITION BY person_id, y, owned) AS n
+  FROM (SELECT *, CAST(business_id AS BIGINT) % 3 = 0 AS owned FROM links), {_YEARS}
+  WHERE link_start <= y AND (link_end >= y OR link_end = 9999)) WHERE rn = 1)""")
 def q_attach(spark, sf):
     ws = Workspace.of(spark, sf)
-    d = links.attach_links(ws.panel.select("person_id", "tax_year"), ws.links, ws.links,
-                           ws.businesses)
+    owned = C("business_id").cast("long") % 3 == 0      # one link in three is ownership
+    d = links.attach_links(ws.panel.select("person_id", "tax_year"), ws.links.filter(owned),
+                           ws.links.filter(~owned), ws.businesses)
     return rnd(d, maturity=6).select("person_id", "tax_year", "owned_business", "owned_industry",
-                                     "maturity", "n_owned_business")
+                                     "maturity", "n_owned_business", "first_employer",
+                                     "n_first_employer")
 
 
 @add("r3_j13_link_overlap", "panel", f"""SELECT person_id, business_id, zone, s AS ownership_start,
@@ -276,7 +283,7 @@ def q_return(spark, sf):
   floor((utility_cost_estimated / greatest(agi * 0.12::DOUBLE, 1.0)) * 1e4 + 0.500001) / 1e4 AS lifestyle_income_ratio,
   floor(((agi + evasion_amount) / greatest(agi, 1.0)) * 1e4 + 0.500001) / 1e4 AS bank_deposit_ratio,
   floor((deduction_taken / greatest(agi, 1.0)) * 1e4 + 0.500001) / 1e4 AS deduction_income_ratio,
-  round(floor(eff * 1e4 + 0.500001) / 1e4 - {case_map("zone", V.ZONE_BASE_RATE)}::DOUBLE, 4) AS effective_rate_vs_zone
+  round(floor(eff * 1e4 + 0.500001) / 1e4 - {case_map("zone", {1: 0.087, 2: 0.074, 3: 0.091, 4: 0.068, 5: 0.062})}::DOUBLE, 4) AS effective_rate_vs_zone
   FROM returns""", RETURNS)
 def q_signals(spark, sf):
     d = returns.detection_signals(returns.compute_return(facts(spark, sf)))

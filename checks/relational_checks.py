@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.panel_sql import case_map, flag, r, steady, with_ctes
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
-from cohortscope.operators import merge, sampling
+from cohortscope.operators import merge, profile, sampling
 from cohortscope.operators.blocks import optional
 from cohortscope.plans.workspace import Workspace
 
@@ -96,10 +96,11 @@ def q_predicates(spark, sf):
         .alias("smaller"))
 
 
-@add("w10_lag_change", "panel", f"""SELECT person_id, tax_year, {r("prev", "previous", 7)} FROM (
+@add("w10_lag_change", "panel", f"""SELECT person_id, tax_year, {r("(agi - prev) / nullif(abs(prev), 0)", "change", 7)} FROM (
   SELECT *, lag(agi) OVER (PARTITION BY person_id ORDER BY tax_year) AS prev FROM panel)""")
 def q_lag(spark, sf):
     # one row per person and year: at most seven rows per window
     w = Window.partitionBy("person_id").orderBy("tax_year")
     return Workspace.of(spark, sf).panel.select(
-        "person_id", "tax_year", steady(F.lag("agi").over(w), 7).alias("previous"))
+        "person_id", "tax_year", steady(profile.percent_change(F.col("agi"), F.lag("agi").over(w)), 7)
+        .alias("change"))

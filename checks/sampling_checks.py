@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.feature_checks import PANEL_FLOATS
-from checks.panel_sql import case_map, digest, r, steady, uniform, with_ctes
+from checks.panel_sql import case_map, digest, drawn, r, steady, uniform, with_ctes
 from checks.profile_checks import index_sql, rnd
 from cohortscope import vocab as V
 from cohortscope.operators import merge, ordering, profile, sampling, splits
@@ -132,8 +132,7 @@ def q_without(spark, sf):
 
 
 @add("l4_sample_with_replacement", "panel", f"""SELECT draw, person_id, tax_year FROM (
-  SELECT i AS draw, CAST(floor({uniform(digest("l4-draw", "i"))} * (SELECT count(*) FROM panel))
-    AS BIGINT) AS position FROM range(3000) t(i)) JOIN (
+  SELECT i AS draw, {drawn(digest("l4-draw", "i"), "(SELECT count(*) FROM panel)")} AS position FROM range(3000) t(i)) JOIN (
   SELECT person_id, tax_year, row_number() OVER (ORDER BY {digest("l4", "person_id", "tax_year")}) - 1
     AS position FROM panel) USING (position)""")
 def q_with(spark, sf):
@@ -162,8 +161,7 @@ def _numbered(name, where, seed):
 
 @add("m11_raise_rate", "panel", f"""SELECT person_id, tax_year, fraud_label, count(*) AS copies FROM (
   SELECT person_id, tax_year, fraud_label FROM panel
-  UNION ALL SELECT person_id, tax_year, fraud_label FROM (SELECT CAST(floor(
-    {uniform(digest("m11-draw", "i"))} * pos) AS BIGINT) AS position
+  UNION ALL SELECT person_id, tax_year, fraud_label FROM (SELECT {drawn(digest("m11-draw", "i"), "pos")} AS position
     FROM counts, range(CAST(ceil(0.35::DOUBLE * neg / (1 - 0.35::DOUBLE)) AS BIGINT) - pos) t(i))
   JOIN evaders USING (position)) GROUP BY ALL""", f"""
 counts AS (SELECT sum(fraud_label)::BIGINT AS pos, (count(*) - sum(fraud_label))::BIGINT AS neg FROM panel),
@@ -175,8 +173,7 @@ def q_raise(spark, sf):
 
 
 @add("m12_fix_rate_constant_n", "panel", f"""SELECT person_id, tax_year, fraud_label, count(*) AS copies FROM (
-  SELECT person_id, tax_year, fraud_label FROM (SELECT CAST(floor(
-    {uniform(digest("m12-1-draw", "i"))} * pos) AS BIGINT) AS position
+  SELECT person_id, tax_year, fraud_label FROM (SELECT {drawn(digest("m12-1-draw", "i"), "pos")} AS position
     FROM counts, range(CAST(round_even(n * 0.35::DOUBLE, 0) AS BIGINT)) t(i))
   JOIN evaders USING (position)
   UNION ALL SELECT person_id, tax_year, fraud_label FROM clean_rows, counts
@@ -370,7 +367,7 @@ def q_policy(spark, sf):
     WHERE k <= want_pos
   UNION ALL SELECT data_source, fraud_label FROM (SELECT *, row_number() OVER (ORDER BY
     {digest("42-0", "person_id", "tax_year")}) - 1 AS position FROM best WHERE fraud_label = 0)
-  JOIN (SELECT CAST(floor({uniform(digest("42-0-draw", "i"))} * neg) AS BIGINT) AS position
+  JOIN (SELECT {drawn(digest("42-0-draw", "i"), "neg")} AS position
     FROM want, range(n - want_pos) t(i)) USING (position)) GROUP BY ALL""", BEST + """,
 want AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.12::DOUBLE, 0) AS BIGINT) AS want_pos,
   (count(*) - sum(fraud_label))::BIGINT AS neg FROM best)""")

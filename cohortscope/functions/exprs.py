@@ -61,6 +61,12 @@ def null_if_nan(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def nan_as_null(df):
+    """NaN means "not known" everywhere: it becomes NULL where a table is read."""
+    return df.withColumns({c: null_if_nan(f"`{c}`") for c, kind in df.dtypes
+                           if kind in ("double", "float")})
+
+
 def norm01(c: Column, lo: float, hi: float) -> Column:
     """Linear map of [lo, hi] onto [0, 1]; an empty range maps to 0."""
     if hi <= lo:
@@ -178,9 +184,24 @@ def draw_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols]))
 
 
+DRAW_BITS = 52
+
+
+def digest_integer(digest: Column) -> Column:
+    """Whole number below 2^52 from the first 13 hex digits of a digest."""
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def digest_uniform(digest: Column) -> Column:
-    """Uniform number in [0, 1) from the first 8 hex digits of a digest."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform number in [0, 1), exact in a double."""
+    return digest_integer(digest).cast("double") / F.lit(float(2 ** DRAW_BITS))
+
+
+def digest_position(digest: Column, size: Column) -> Column:
+    """Whole number below ``size``, by integer arithmetic: every position can be drawn."""
+    whole = digest_integer(digest).cast("decimal(17,0)") * size.cast("decimal(17,0)")
+    unit = F.lit(2 ** DRAW_BITS).cast("decimal(17,0)")
+    return ((whole - whole % unit) / unit).cast("long")         # exact: no rest to round
 
 
 def weighted_choice(u: Column, weights: dict) -> Column:
@@ -221,10 +242,18 @@ def value_bucket(c: Column, per_octave: int = 64) -> Column:
     ``a <= b`` implies ``bucket(a) <= bucket(b)``, so bucket totals give exact ranks
     of bucket edges without sorting the rows.
     """
-    m = F.floor(F.log2(F.abs(c) * F.lit(1e6) + F.lit(1.0)) * float(per_octave)).cast("int")
+    octave = F.least(F.log2(F.abs(c) * F.lit(1e6) + F.lit(1.0)), F.lit(1100.0))   # infinity too
+    m = F.floor(octave * float(per_octave)).cast("int")
     return F.when(c < 0, -m - 1).otherwise(m)
 
 
+def linear_split(v: Column, lo: Column, hi: Column, parts: int) -> Column:
+    """Order-preserving part of ``[lo, hi]`` that holds ``v``; infinite ends are parts of
+    their own."""
+    inside = F.floor(F.nanvl((v - lo) / (hi - lo), F.lit(0.0)) * parts).cast("int")
+    return F.when(v == lo, 0).when(v == hi, parts + 1).otherwise(inside + 1)
+
+
 def rounded(c, places: int) -> Column:
     """Decimal rounding, halves away from zero.
 

@@ -15,8 +15,7 @@ from cohortscope.operators.quantiles import same_keys, unpivot
 from cohortscope.session import stage
 
 HEX = 4          # digest prefix: 65 536 buckets per stratum
-FINE = 256       # linear splits of a value bucket
-HOT_ROWS = 2_000_000
+FINE = 4096      # linear splits of a value bucket
 
 
 # ----------------------------------------------------------------- prefix sums
@@ -30,9 +29,7 @@ def prefix_sums(values: DataFrame, keys: list[str], value: str, sums: list[str])
     cell = keys + ["__b"]
     span = coarse.groupBy(*cell).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     fine = same_keys(coarse, span, cell, "inner").withColumn(
-        "__c", F.when(F.col("__hi") > F.col("__lo"), F.floor(
-            (v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * FINE).cast("int"))
-        .otherwise(0)).drop("__lo", "__hi")
+        "__c", E.linear_split(v, F.col("__lo"), F.col("__hi"), FINE)).drop("__lo", "__hi")
     cell = cell + ["__c"]
     totals = fine.groupBy(*cell).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b", "__c").rowsBetween(
@@ -50,44 +47,16 @@ def prefix_sums(values: DataFrame, keys: list[str], value: str, sums: list[str])
 
 # ------------------------------------------------------------- percentile ranks
 def percent_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
-                  prefix: str = "pct_", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``{prefix}{col}``: 100 x average rank / non-null count in the group, NULL -> 50.
+                  prefix: str = "pct_") -> DataFrame:
+    """``{prefix}{col}``: 100 x average rank / known count in the group; unknown -> 50.
 
     Returns ``row_id``, keys, columns and ranks: rank narrow rows and join the result
-    back by id, so that wide rows are never sorted once per column.  Groups up to
-    ``hot_rows`` are ranked by windows that share one shuffle.  Larger groups, if any,
-    take the value-count route, which has no one-task group.  ``row_id`` must be a stored
-    unique id (a staged table's), so that a retried task sees the same ids.
+    back by id, so that wide rows are never sorted once per column.  Ranks come from counts
+    per distinct value, which combine map-side, for groups of any size; NaN counts as NULL.
+    ``row_id`` must be a stored unique id (a staged table's), so that a retried task sees
+    the same ids.
     """
     narrow = df.select(row_id, *keys, *cols)
-    hot = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(
-        F.col("__n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _window_ranks(narrow, keys, cols, prefix)
-    hot = stage(hot, "hot-groups")     # a handful of keys, broadcast by its real size
-    return _window_ranks(same_keys(narrow, hot, keys, "left_anti"), keys, cols,
-                         prefix).unionByName(
-        _counted_ranks(same_keys(narrow, hot, keys, "left_semi"), row_id, keys, cols, prefix))
-
-
-def _window_ranks(narrow: DataFrame, keys: list[str], cols: list[str],
-                  prefix: str) -> DataFrame:
-    """Ranks by windows over narrow rows: one shuffle, one sort per column."""
-    whole = Window.partitionBy(*keys)
-    out = {}
-    for c in cols:
-        x = F.col(c)
-        upto = whole.orderBy(x.asc_nulls_last())
-        # rank() is the lowest rank of the ties, the running count their highest
-        mean_rank = (F.rank().over(upto) + F.count(x).over(upto)) / 2.0
-        out[prefix + c] = F.when(x.isNull(), 50.0).otherwise(
-            mean_rank / F.count(x).over(whole) * 100)
-    return narrow.withColumns(out)
-
-
-def _counted_ranks(narrow: DataFrame, row_id: str, keys: list[str], cols: list[str],
-                   prefix: str) -> DataFrame:
-    """The same ranks from counts per distinct value, for groups too large for one task."""
     rows = unpivot(narrow, [row_id] + keys, cols)
     group = keys + ["f"]
     counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -167,11 +136,12 @@ def number_by_hash(df: DataFrame, strata: list[str], ids: list[str], seed,
 def draw_with_replacement(df: DataFrame, ids: list[str], seed, n: int, size: int) -> DataFrame:
     """``n`` rows drawn with replacement from the ``size`` rows of ``df``.
 
-    Draw ``i`` picks position ``floor(u_i * size)`` of the hash order.
+    Draw ``i`` picks position ``floor(d_i * size / 2^52)`` of the hash order, ``d_i`` being
+    52 bits of a digest.
     """
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
-    u = E.digest_uniform(E.draw_key(f"{seed}-draw", "draw"))
-    draws = draws.withColumn("position", F.floor(u * size).cast("long"))
+    draws = draws.withColumn("position", E.digest_position(
+        E.draw_key(f"{seed}-draw", "draw"), F.lit(size)))
     numbered = number_by_hash(df, [], ids, seed)
     return draws.join(numbered, "position").drop("position")
 

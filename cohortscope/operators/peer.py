@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
-from cohortscope.operators.ordering import HOT_ROWS, percent_ranks
+from cohortscope.operators.ordering import percent_ranks
 from cohortscope.operators.preprocess import present
 from cohortscope.operators.quantiles import exact_quantiles, same_keys
 from cohortscope.session import stage
@@ -124,7 +124,7 @@ def encode_rates(df: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
 
 
 def peer_scores(core: DataFrame, stats: DataFrame, rates: DataFrame, mean: float,
-                row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+                row_id: str = "row_id") -> DataFrame:
     """Phase 4: ranks inside (year, peer group), z-scores, target encoding."""
     owned = ([f"z_{f}" for f in V.Z_FEATURES] + [f"pct_{f}" for f in V.RANKED]
              + ["n_z_above_2", "n_z_above_3", "max_z_score", "mean_abs_z", "composite_z_score",
@@ -132,7 +132,7 @@ def peer_scores(core: DataFrame, stats: DataFrame, rates: DataFrame, mean: float
              + list(V.RATE_DIMS.values()))
     core = core.drop(*owned)
     ranked = present(core, V.RANKED)
-    narrow = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, ranked, row_id, hot_rows=hot_rows)
+    narrow = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, ranked, row_id)
     needed = [f"{f}_{s}" for f in V.Z_FEATURES for s in ("mean", "std")]
     keep = [c for c in V.PEER_KEYS + ["peer_group_size", "raw_peer_fraud_rate",
                                       "peer_fraud_rate"] + needed if c in stats.columns]

@@ -23,7 +23,8 @@ def present(df: DataFrame, cols) -> list[str]:
 
 
 def fill_basics(df: DataFrame) -> DataFrame:
-    """Unknown categories, zero-filled amounts, AGI rebuilt from its sources."""
+    """NaN as NULL, unknown categories, zero-filled amounts, AGI rebuilt from its sources."""
+    df = E.nan_as_null(df)
     fills = {c: F.coalesce(F.col(c), F.lit(V.UNKNOWN)) for c in ("taxpayer_type", "state")}
     fills.update({c: E.nz(c) for c in present(df, V.ZERO_FILLED + V.INCOME_SOURCES)})
     df = df.withColumns(fills)

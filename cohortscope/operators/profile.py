@@ -15,6 +15,11 @@ from cohortscope.operators.quantiles import exact_quantiles, same_keys
 C = F.col
 
 
+def percent_change(now: Column, before: Column) -> Column:
+    """Change relative to the size of the value before; NULL from nothing or from zero."""
+    return F.when(before != 0, (now - before) / F.abs(before))
+
+
 # ---------------------------------------------------------------- person index
 def lifecycle(n: Column) -> Column:
     out = None

@@ -101,8 +101,8 @@ def long_quantiles(rows: DataFrame, keys: list[str], probs: list[float]) -> Data
             last = _locate(values, cell, F.col("v"), ranks, probs)
             settled.append(last.withColumn("value", F.col("v")))
             break
-        rows = inside.withColumn("b2", F.floor(
-            (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLITS).cast("int"))
+        rows = inside.withColumn("b2", E.linear_split(F.col("v"), F.col("lo"), F.col("hi"),
+                                                      SPLITS))
         rows = rows.drop("lo", "hi")
         found = _locate(_bucket_counts(rows, cell + ["b2"]), cell, F.col("b2"), ranks, probs)
         rows = rows.withColumn("b", F.concat_ws(".", F.col("b").cast("string"), "b2")).drop("b2")
@@ -118,8 +118,9 @@ def long_quantiles(rows: DataFrame, keys: list[str], probs: list[float]) -> Data
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("z"),
         F.max("frac").alias("frac"))
-    return ends.select(*keys, "q", (F.col("a") + (F.col("z") - F.col("a")) * F.col("frac"))
-                       .alias("value"))
+    between = F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")
+    return ends.select(*keys, "q", F.when((F.col("frac") == 0) | (F.col("a") == F.col("z")),
+                                          F.col("a")).otherwise(between).alias("value"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str],

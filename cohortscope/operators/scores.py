@@ -77,7 +77,7 @@ def impossibility_flags(df: DataFrame) -> DataFrame:
     counted = [c for c in df.columns if c.startswith("flag_")
                and not c.endswith("_block_score") and c not in V.UNCOUNTED_FLAGS]
     return df.withColumns({
-        "total_flag_count": F.least(sum((E.nz(c, 0) for c in counted), F.lit(0)), F.lit(127)),
+        "total_flag_count": sum((E.nz(c, 0) for c in counted), F.lit(0)),
         "has_impossibility": E.flag((C("flag_impossible_deductions")
                                      + C("flag_zero_tax_with_income")) > 0),
         "has_legal_violation": E.flag((C("flag_phantom_business")

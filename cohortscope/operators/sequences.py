@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
@@ -13,23 +13,26 @@ C = F.col
 
 def build_sequences(df: DataFrame, features: list[str] | None = None,
                     min_years: int = 3, length: int = V.SEQUENCE_LENGTH) -> DataFrame:
-    """One row per person with at least ``min_years``: ordered steps, zero-padded.
+    """One row per person with at least ``min_years`` rows: the first ``length`` steps by
+    year, zero-padded.
 
-    One slot per calendar year is aggregated, so the state of a person is bounded and
-    combines map-side whatever the number of copies of a row.
+    Any year counts, and all rows count toward the minimum.  Taking the first rows by rank
+    lets Spark cut every person to ``length`` rows in each task before the shuffle, so a
+    person's state is bounded however many rows there are.
     """
     feats = [f for f in (features or V.SEQUENCE_FEATURES) if f in df.columns]
     statics = [s for s in V.SEQUENCE_STATICS if s in df.columns]
     values = F.array(*[E.nz(C(f).cast("double")) for f in feats]).alias("x")
     step = F.struct(C("tax_year").alias("y"), values,
                     *[C(s).alias(f"s_{s}") for s in statics])
-    slots = [F.min(F.when(C("tax_year") == y, step)).alias(f"y{y}") for y in V.YEARS]
-    g = df.groupBy("person_id").agg(*slots)
-    steps = F.filter(F.array(*[C(f"y{y}") for y in V.YEARS]), lambda s: s.isNotNull())
-    g = g.withColumn("steps", steps).withColumn("n_years", F.size("steps"))
-    g = g.filter(C("n_years") >= min_years)
+    by_year = Window.partitionBy("person_id").orderBy("step")
+    first = (df.select("person_id", step.alias("step"))
+             .withColumn("rank", F.row_number().over(by_year)).filter(C("rank") <= length)
+             .groupBy("person_id").agg(F.array_sort(F.collect_list("step")).alias("steps")))
+    counts = df.groupBy("person_id").agg(F.count(F.lit(1)).cast("int").alias("n_years"))
+    g = first.join(counts.filter(C("n_years") >= min_years), "person_id")
     zero = F.array(*[F.lit(0.0) for _ in feats])
-    pad = F.array_repeat(zero, F.greatest(F.lit(length) - C("n_years"), F.lit(0)))
+    pad = F.array_repeat(zero, F.lit(length) - F.size("steps"))
     seq = F.slice(F.concat(F.transform("steps", lambda s: s["x"]), pad), 1, length)
     return g.select("person_id", "n_years", seq.alias("sequence"),
                     *[F.get(C("steps"), F.lit(0))[f"s_{s}"].alias(s) for s in statics])

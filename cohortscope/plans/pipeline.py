@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.operators import blocks, forensic, peer, preprocess, scores
-from cohortscope.operators.ordering import HOT_ROWS
 from cohortscope.session import stage
 
 
@@ -28,18 +27,17 @@ class FittedPanel:
 
 
 def build_core(panel: DataFrame, medians: DataFrame | None = None) -> DataFrame:
-    """Phases 1 and 2, staged by year with a stable row id."""
+    """Phases 1 and 2, staged with a stable row id."""
     clean = preprocess.preprocess(panel, medians)
     core = blocks.core_features(clean).withColumn("row_id", F.monotonically_increasing_id())
-    return stage(core, "core", ["tax_year"])
+    return stage(core, "core")
 
 
-def build_evidence(core: DataFrame, statistics: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
+def build_evidence(core: DataFrame, statistics: dict) -> DataFrame:
     """Phases 4, row part of 5, and 7, staged: everything the final scores probe."""
-    df = peer.peer_scores(core, statistics["peers"], statistics["rates"], statistics["mean"],
-                          hot_rows=hot_rows)
+    df = peer.peer_scores(core, statistics["peers"], statistics["rates"], statistics["mean"])
     df = scores.impossibility_flags(forensic.forensic_features(df))
-    return stage(df, "evidence", ["tax_year"])
+    return stage(df, "evidence")
 
 
 def finish(evidence: DataFrame, statistics: dict) -> DataFrame:
@@ -52,10 +50,10 @@ def finish(evidence: DataFrame, statistics: dict) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("two_")])
 
 
-def run(panel: DataFrame, hot_rows: int = HOT_ROWS) -> FittedPanel:
+def run(panel: DataFrame) -> FittedPanel:
     """All phases.  ``scored`` stays lazy over the staged evidence."""
     medians = preprocess.fit_imputation(panel)
     core = build_core(panel, medians)
     statistics = peer.fit_statistics(core)
-    evidence = build_evidence(core, statistics, hot_rows)
+    evidence = build_evidence(core, statistics)
     return FittedPanel(core, statistics, evidence, finish(evidence, statistics), medians)

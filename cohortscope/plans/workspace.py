@@ -37,7 +37,7 @@ class Workspace:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return stage(fixtures.panel(self.spark, self.sf_dir), "panel", ["tax_year"])
+        return stage(fixtures.panel(self.spark, self.sf_dir), "panel")
 
     @cached_property
     def medians(self) -> DataFrame:
@@ -57,7 +57,7 @@ class Workspace:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return stage(pipeline.finish(self.evidence, self.statistics), "scored", ["tax_year"])
+        return stage(pipeline.finish(self.evidence, self.statistics), "scored")
 
     @cached_property
     def links(self) -> DataFrame:

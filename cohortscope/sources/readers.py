@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortscope.functions import exprs as E
+
 
 def read_panel(spark: SparkSession, base: str, years: list[int] | None = None,
                columns: list[str] | None = None) -> DataFrame:
     """A panel split by ``tax_year``; years prune folders, columns prune the scan."""
-    df = spark.read.parquet(base)
+    df = E.nan_as_null(spark.read.parquet(base))
     if years is not None:
         df = df.filter(F.col("tax_year").isin([int(y) for y in years]))
     return df.select(*[c for c in columns if c in df.columns]) if columns else df

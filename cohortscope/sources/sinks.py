@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
+from cohortscope.session import stage
 
 ROW_GROUP_BYTES = 128 * 1024 * 1024
 
@@ -49,21 +50,24 @@ def with_metadata(df: DataFrame) -> DataFrame:
 def write_outputs(df: DataFrame, base: str) -> dict[str, str]:
     """by_year, by_state and by_state_by_year; absent combinations simply have no folder.
 
-    State output keeps the known states only.  Rows are range-partitioned on the
-    partition columns before each write: a few large files per folder, and a large
-    state or year still spreads over many tasks.
+    States outside the known ones are written under ``other``.  Rows are range-partitioned
+    on (state, year) once and staged; every layout is written from that table without
+    another exchange: a few large files per folder, and a large state or year still spreads
+    over many tasks.
     """
     df = with_metadata(df)
-    safe = df.withColumn("state_safe", E.normalise_label("state"))
-    known = safe.filter(F.col("state_safe").isin(
-        [s.lower().replace(" ", "_") for s in V.STATES]))
-    layout = {"by_year": (df, ["tax_year"]), "by_state": (known, ["state_safe"]),
-              "by_state_by_year": (known, ["state_safe", "tax_year"])}
+    name = E.normalise_label("state")
+    known = name.isin([s.lower().replace(" ", "_") for s in V.STATES])
+    safe = df.withColumn("state_safe", F.when(known, name).otherwise(F.lit("other")))
+    order = ["state_safe", "tax_year", *(["person_id"] if "person_id" in df.columns else [])]
+    safe = stage(safe.repartitionByRange(*order), "outputs")
+    layout = {"by_year": (safe.drop("state_safe"), ["tax_year"]),
+              "by_state": (safe, ["state_safe"]),
+              "by_state_by_year": (safe, ["state_safe", "tax_year"])}
     paths = {}
     for name, (d, cols) in layout.items():
         paths[name] = f"{base.rstrip('/')}/{name}"
-        spread = d.repartitionByRange(*cols, "person_id") if "person_id" in d.columns else d
-        write_parquet(spread, paths[name], cols)
+        write_parquet(d, paths[name], cols)
     return paths
 
 

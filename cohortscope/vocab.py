@@ -165,7 +165,7 @@ WAGE_BASE = {2019: 132_900, 2020: 137_700, 2021: 142_800, 2022: 147_000,
              2023: 160_200, 2024: 168_600, 2025: 176_100}
 DEFAULT_WAGE_BASE = 160_200
 EITC_MAX = {0: 538, 1: 3_584, 2: 5_920, 3: 6_660}
-ZONE_BASE_RATE = {1: 0.08, 2: 0.07, 3: 0.06, 4: 0.05, 5: 0.04}
+ZONE_BASE_RATE = {1: 0.087, 2: 0.074, 3: 0.091, 4: 0.068, 5: 0.062}
 INFLATION = {2019: 0.023, 2020: 0.012, 2021: 0.047, 2022: 0.080,
              2023: 0.041, 2024: 0.030, 2025: 0.026}
 COVID_SHOCK = {2019: 0.0, 2020: 1.0, 2021: 0.3, 2022: 0.05, 2023: 0.0, 2024: 0.0, 2025: 0.0}

@@ -1,12 +1,15 @@
 """Sampling, merge, null policy, links, sequences and pipeline properties."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
-from cohortscope.operators import (blocks, links, merge, peer, preprocess, profile, quality,
-                                   sampling, scores, sequences, splits)
+from cohortscope.functions import exprs as E
+from cohortscope.operators import (blocks, links, merge, ordering, preprocess, profile,
+                                   quality, quantiles, sampling, scores, sequences, splits)
 from cohortscope.plans import pipeline
+from cohortscope.sources import sinks
 
 
 def rows(df, *cols):
@@ -101,17 +104,14 @@ def test_hot_person_with_many_links(spark):
         ("cold", 2019, "z"), ("hot", 2019, "b00000"), ("hot", 2025, "b00000")]
 
 
-def test_sequences_pad_truncate_and_survive_copies(spark):
+def test_sequences_pad_and_take_the_first_rows(spark):
     df = spark.createDataFrame(
-        [("a", 2020, 1.0), ("a", 2021, None), ("a", 2024, 3.0), ("b", 2019, 1.0)]
-        + [("a", 2020, 1.0)] * 300, "person_id string, tax_year int, agi double")
-    got = sequences.build_sequences(df, ["agi"]).collect()
-    assert len(got) == 1 and got[0]["n_years"] == 3
-    assert [x[0] for x in got[0]["sequence"]] == [1.0, 0.0, 3.0, 0.0, 0.0, 0.0, 0.0]
-    seqs = sequences.build_sequences(df, ["agi"])
-    ranges = sequences.fit_range(seqs, 1)
-    back = sequences.denormalise(sequences.normalise(seqs, ranges), ranges)
-    assert back.first()["sequence"] == got[0]["sequence"]
+        [("a", 2024, 3.0), ("a", 2020, 1.0), ("a", 2021, None), ("b", 2019, 1.0)]
+        + [("c", 2020, 1.0)] * 300 + [("c", 2019, 2.0)], "person_id string, tax_year int, agi double")
+    got = {r.person_id: r for r in sequences.build_sequences(df, ["agi"]).collect()}
+    assert set(got) == {"a", "c"} and got["a"]["n_years"] == 3 and got["c"]["n_years"] == 301
+    assert [x[0] for x in got["a"]["sequence"]] == [1.0, 0.0, 3.0, 0.0, 0.0, 0.0, 0.0]
+    assert [x[0] for x in got["c"]["sequence"]] == [2.0] + [1.0] * 6
 
 
 def test_imputation_falls_back_to_year_then_constant(spark):
@@ -146,15 +146,44 @@ def test_scores_are_bounded_and_stages_idempotent(ws):
     assert sorted(twice.columns) == sorted(s.columns)
 
 
-def test_one_dominant_group_gives_the_same_scores(ws):
-    """Forcing every peer group through the hot route changes nothing."""
-    st = ws.statistics
-    plain = ws.evidence.select("row_id", *[f"pct_{c}" for c in V.RANKED])
-    hot = peer.peer_scores(ws.core, st["peers"], st["rates"], st["mean"], hot_rows=0).select(
-        "row_id", *[F.col(f"pct_{c}").alias(f"h_{c}") for c in V.RANKED])
-    off = plain.join(hot, "row_id").filter(" or ".join(
-        f"abs(pct_{c} - h_{c}) > 1e-9" for c in V.RANKED))
-    assert off.isEmpty() and hot.count() == ws.core.count()
+def test_not_a_number_counts_as_unknown(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, nan), (4, None), (5, float("inf"))],
+                               "row_id long, x double").withColumn("g", F.lit("a"))
+    got = {r.row_id: r.pct_x for r in ordering.percent_ranks(df, ["g"], ["x"], "row_id").collect()}
+    assert got == {1: pytest.approx(100 / 3), 2: pytest.approx(200 / 3), 3: 50.0, 4: 50.0, 5: 100.0}
+    q = quantiles.exact_quantiles(df, ["g"], ["x"], {"p50": 0.5, "p100": 1.0}).first()
+    assert (q.x_p50, q.x_p100) == (2.0, float("inf"))
+
+
+def test_sequences_take_any_year_and_count_all_rows(spark):
+    years = [2018, 2024, 2025, 2026, 2027]
+    rows = [("a", y, float(y)) for y in years] + [("b", 2020, 1.0)] * 3 + [("c", 2020, 1.0)]
+    rows += [("d", 2000 + i, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "person_id string, tax_year int, agi double")
+    got = {r.person_id: r for r in sequences.build_sequences(df, ["agi"]).collect()}
+    assert set(got) == {"a", "b", "d"}
+    assert [x[0] for x in got["a"].sequence] == [*map(float, years), 0.0, 0.0]
+    assert got["b"].n_years == 3 and [x[0] for x in got["b"].sequence] == [1.0] * 3 + [0.0] * 4
+    assert got["d"].n_years == 30 and [x[0] for x in got["d"].sequence] == [*map(float, range(7))]
+
+
+def test_draws_reach_positions_beyond_32_bits(spark):
+    size = 10 ** 12
+    d = spark.range(4000).select(E.digest_position(E.draw_key("d", "id"), F.lit(size)).alias("p"))
+    p = sorted(r.p for r in d.collect())
+    assert 0 <= p[0] and p[-1] < size and p[-1] > 0.99 * size and len(set(p)) == 4000
+    assert sum(x % 1000 != 0 for x in p) > 3900
+
+
+def test_outputs_keep_rows_of_unknown_states(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2020, "Texas", 0), (2, 2021, None, 1), (3, 2021, "Moon", 0)],
+                               "person_id int, tax_year int, state string, fraud_label int")
+    paths = sinks.write_outputs(df, str(tmp_path))
+    for path in paths.values():
+        assert spark.read.parquet(path).count() == 3
+    assert {r.state_safe for r in spark.read.parquet(paths["by_state"]).collect()} == {
+        "texas", "other"}
 
 
 def test_pipeline_keeps_every_row(ws):

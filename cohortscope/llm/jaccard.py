@@ -228,7 +228,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = np.sort(frequent.toArrow().column("shingle").to_numpy().view(np.uint64))
     known = survey.filter("often IS NULL").select("doc", "n", "digest")
     filled = known.filter("n > 0 AND doc IS NOT NULL")
-    first = filled.groupBy("digest").agg(F.min("doc").alias("rep"))
+    first = settle(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias(
+        "high")).filter("rep < high").select("digest", "rep"), "classes")
     member = filled.join(first, "digest").select("doc", "rep").filter("doc != rep").distinct()
 
     found = shared_keys(rows.filter("doc IS NOT NULL"), _index(often), n_buckets(rows))

@@ -267,11 +267,15 @@ def _arrays(batches):
     """Covered bytes of contexts that come sorted by key, a few groups at a time."""
     def flush(rows):
         mask = covered([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
-        bits = np.packbits(mask, axis=1)
+        wide = np.zeros((len(rows), mask.shape[1] + 2), np.int8)
+        wide[:, 1:-1] = mask
+        row, edge = np.nonzero(np.diff(wide, axis=1))       # begins and ends by turns
+        runs = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32()),
+            pa.array(edge, pa.int32()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[1] for r in rows], pa.binary()),
-             pa.array([r[3] for r in rows], pa.int64()),
-             pa.array([b.tobytes() for b in bits], pa.binary())], ["digest", "least", "mask"])
+             pa.array([r[3] for r in rows], pa.int64()), runs], ["digest", "least", "runs"])
 
     rows = []
     for batch in batches:
@@ -297,21 +301,21 @@ def _windows(batches):
 
 
 def verdicts(contexts: DataFrame, hot: int = HOT) -> DataFrame:
-    """(digest, least, mask, starts): smallest document of each context, and what of it a
-    repeat with a smaller one covers, as bits or as the starts of covered windows."""
+    """(digest, least, runs): smallest document of each context, and what of it a repeat
+    with a smaller one covers, as begins and ends by turns."""
     one = settle(contexts.groupBy("key", "digest", "part").agg(F.min("doc").alias("least")),
                  "contexts")
     many = settle(one.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot")
     n = partitions(contexts.sparkSession)
     plain = (one.join(many, "key", "left_anti").repartition(n, "key").sortWithinPartitions(
-        "key", "digest").mapInArrow(_arrays, "digest binary, least bigint, mask binary"))
+        "key", "digest").mapInArrow(_arrays, "digest binary, least bigint, runs array<int>"))
     windows = one.join(many, "key", "left_semi").mapInArrow(
         _windows, "window binary, digest binary, offset int, least bigint")
     first = windows.groupBy("window").agg(F.min("least").alias("first"))
-    found = (windows.join(first, "window").groupBy("digest", "least").agg(
-        F.collect_set(F.when(F.col("first") < F.col("least"), F.col("offset"))).alias("starts")))
-    return plain.withColumn("starts", F.lit(None).cast("array<int>")).unionByName(
-        found.select("digest", "least", F.lit(None).cast("binary").alias("mask"), "starts"))
+    found = windows.join(first, "window").groupBy("digest", "least").agg(
+        F.collect_set(F.when(F.col("first") < F.col("least"), F.col("offset"))).alias("starts"))
+    runs = F.flatten(F.transform("starts", lambda o: F.array(o, o + LEAST)))
+    return plain.unionByName(found.select("digest", "least", runs.alias("runs")))
 
 
 def _remove(batches):
@@ -321,19 +325,10 @@ def _remove(batches):
         for text, spots in zip(batch.column(2), batch.column(3)):
             data = text.as_buffer().to_pybytes()
             change = np.zeros(len(data) + 1, np.int64)
-            for s in spots.as_py() or []:
-                begin, all_, mask, starts = s["begin"], s["all"], s["mask"], s["starts"]
-                if all_:
-                    change[begin] += 1
-                    change[min(begin + all_, len(data))] -= 1
-                elif mask is not None:
-                    bits = np.unpackbits(np.frombuffer(mask, np.uint8)).astype(np.int8)
-                    edge = np.diff(np.r_[0, bits, 0])
-                    np.add.at(change, begin + np.flatnonzero(edge), edge[edge != 0])
-                else:
-                    for o in starts:
-                        change[begin + o] += 1
-                        change[begin + o + LEAST] -= 1
+            if spots.is_valid:
+                ends = np.minimum(spots.values.to_numpy(zero_copy_only=False), len(data))
+                change += np.bincount(ends[::2], minlength=len(change))
+                change -= np.bincount(ends[1::2], minlength=len(change))
             gone = np.cumsum(change[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
             spans = edge.reshape(-1, 2)
@@ -373,18 +368,14 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id",
             _contexts, "key bigint, digest binary, part binary, doc bigint, crc bigint, begin int"),
         "occurrences")
     judged = settle(verdicts(contexts, hot), "verdicts")
-    later = F.col("doc") > F.col("least")
+    begin, size = F.col("begin"), F.col("size")
+    runs = F.when(F.col("doc") == F.col("least"), F.transform("runs", lambda x: x + F.col("begin"))
+                  ).when(size >= LEAST, F.array(begin, begin + size))
     marks = (contexts.withColumn("size", F.length("part"))
              .select("digest", "doc", "crc", "begin", "size").join(judged, "digest")
-             .filter((later & (F.col("size") >= LEAST)) | (~later & (
-                 (F.size("starts") > 0) | (F.ltrim(F.hex("mask"), F.lit("0")) != ""))))
-             .groupBy("doc", "crc").agg(F.collect_list(F.struct(
-                 "begin", F.when(later, F.col("size")).otherwise(0).alias("all"),
-                 F.when(~later, F.col("mask")).alias("mask"),
-                 F.when(~later, F.col("starts")).alias("starts"))).alias("marks")))
-    marks = marks.unionByName(copies.withColumn("marks", F.array(F.struct(
-        F.lit(0).alias("begin"), F.lit(WHOLE).alias("all"), F.lit(None).cast("binary").alias("mask"),
-        F.lit(None).cast("array<int>").alias("starts")))))
+             .select("doc", "crc", runs.alias("runs")).filter(F.size("runs") > 0)
+             .groupBy("doc", "crc").agg(F.flatten(F.collect_list("runs")).alias("marks")))
+    marks = marks.unionByName(copies.withColumn("marks", F.array(F.lit(0), F.lit(WHOLE))))
     return keyed.join(marks, ["doc", "crc"], "left").select("doc", "crc", "text", "marks"
                                                             ).mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "

@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.common import partitions
 
-CHUNK_BYTES = 1 << 24               # text that is combined before it is packed
-BUCKET_BYTES = 1 << 25              # text whose records share a bucket, about
+CHUNK_BYTES = 1 << 23               # text that is combined before it is packed
+BUCKET_BYTES = 1 << 25              # text whose records a task of the exchange gets, about
+PER_TASK = 8                        # buckets of such a task: it holds one at a time
 RECORD = np.dtype([("key", "<u8"), ("id", "<i8"), ("a", "<i4"), ("b", "<i4"), ("many", "u1")])
 SCHEMA = "key bigint, id bigint, a int, b int"
 
 
 def n_buckets(docs: DataFrame, text: str = "text") -> int:
-    """Enough buckets to hold what ``docs`` has in ``BUCKET_BYTES`` portions."""
+    """Buckets for what ``docs`` has: ``PER_TASK`` for every ``BUCKET_BYTES``."""
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    return PER_TASK * max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES):
@@ -137,17 +138,25 @@ def shared_keys(rows: DataFrame, make: Callable[[list, list], np.ndarray],
                  pa.array([p[2] for p in packed], pa.binary())], ["bucket", "known", "data"])
 
     def settle(batches):
-        held = []
+        def ended():
+            shared = decide(np.concatenate(held)) if held else np.zeros(0, RECORD)
+            for at in range(0, len(shared), 100_000):
+                yield _batch(shared[at:at + 100_000])
+
+        held, now = [], None
         for batch in batches:
-            for known, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+            rows = zip(*[batch.column(i).to_pylist() for i in (0, 1)], batch.column(2))
+            for bucket, known, data in rows:
+                if bucket != now:
+                    yield from ended()
+                    held, now = [], bucket
                 part = _unpack(data.as_buffer())
                 if known:
                     yield _batch(part)
                 else:
                     held.append(part)
-        shared = decide(np.concatenate(held)) if held else np.zeros(0, RECORD)
-        for at in range(0, len(shared), 100_000):
-            yield _batch(shared[at:at + 100_000])
+        yield from ended()
 
     return (rows.mapInArrow(send, "bucket int, known byte, data binary")
-            .repartition(buckets, "bucket").mapInArrow(settle, SCHEMA))
+            .repartition(max(1, buckets // PER_TASK), "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(settle, SCHEMA))

@@ -426,8 +426,7 @@ homes AS (SELECT {case_map("state", _FITZ)} AS zone, home_value, year, growth FR
   SELECT i, coalesce(m, {case_map("i", V.FALLBACK_HOME_VALUE)}::DOUBLE) AS hv FROM range(1, 6) t(i)
   LEFT JOIN (SELECT zone, median(home_value) AS m FROM homes WHERE home_value > 0 GROUP BY ALL) z ON z.zone = i)""", HOMES)
 def q_housing(spark, sf):
-    h = _homes(spark, sf)
-    return rnd(fit.fit_zone_housing(h, h)[0], median_home_value=4)
+    return rnd(fit.fit_zone_housing(_homes(spark, sf)), median_home_value=4)
 
 
 @add("r11_fit_zone_growth", "sales", f"""SELECT CAST(i AS INTEGER) AS zone, y AS year,
@@ -435,8 +434,7 @@ def q_housing(spark, sf):
   FROM range(1, 6) t(i), {_YEARS} LEFT JOIN (SELECT zone, year, median(growth) AS m FROM homes GROUP BY ALL) g
   ON g.zone = i AND g.year = y""", HOMES)
 def q_growth(spark, sf):
-    h = _homes(spark, sf)
-    return fit.fit_zone_housing(h, h)[1]
+    return fit.fit_zone_growth(_homes(spark, sf))
 
 
 _CODES = list(V.NAICS_TO_INDUSTRY)
@@ -484,6 +482,14 @@ def q_education(spark, sf):
     return rnd(fit.fit_education(d), share=8)
 
 
+@add("r13_age_distribution", "panel", f"""SELECT {r("avg(m)", "mean", 6)}, {r("avg(s)", "std", 6)} FROM (
+  SELECT state, avg(age) AS m, stddev_samp(age) AS s FROM panel GROUP BY state)""")
+def q_age(spark, sf):
+    by_state = Workspace.of(spark, sf).panel.groupBy("state").agg(
+        F.avg("age").alias("mean"), F.stddev_samp("age").alias("std"))
+    return rnd(fit.age_distribution(by_state), mean=6, std=6)
+
+
 _MAR = {"single": "never_married + divorced * 0.6", "married_joint": "married * 0.92",
         "married_separate": "married * 0.08 + separated",
         "head_of_household": "divorced * 0.4 + never_married * 0.15", "qualifying_widow": "widowed"}
@@ -549,6 +555,16 @@ def q_event_seq(spark, sf):
 
 
 # --------------------------------------------------------------- scalar functions
+@add("x11_fitted_norm", "panel", f"""SELECT person_id, tax_year,
+  {r(f"least(greatest((coalesce(agi, 0) - lo) / (hi - lo + {V.EPS}::DOUBLE), 0), 1)", "norm", 6)}
+  FROM panel, (SELECT quantile_cont(agi, 0.01) AS lo, quantile_cont(agi, 0.99) AS hi FROM panel)""")
+def q_fitted_norm(spark, sf):
+    p = Workspace.of(spark, sf).panel.select("person_id", "tax_year", "agi")
+    bounds = forensic.fit_norm_bounds(p, ["agi"])
+    return rnd(p.withColumn("two_agi", F.lit(False)).select(
+        "person_id", "tax_year", forensic.stable_norm("agi", bounds).alias("norm")), norm=6)
+
+
 @add("f20_grouped_benford", "sales", f"""SELECT l_suppkey, n AS n_valid, {r(benford([f"d{k}" for k in range(1, 10)], "n"), "benford_deviation", 8)}
   FROM (SELECT l_suppkey, {", ".join(f"sum({flag(f'd = {k}')})::DOUBLE AS d{k}" for k in range(1, 10))}, count(d) AS n
     FROM (SELECT l_suppkey, {digit("l_extendedprice")} AS d FROM lineitem) GROUP BY ALL)""")

@@ -8,7 +8,7 @@ from checks.feature_checks import PANEL_FLOATS
 from checks.panel_sql import case_map, digest, drawn, r, steady, uniform, with_ctes
 from checks.profile_checks import index_sql, rnd
 from cohortscope import vocab as V
-from cohortscope.operators import merge, ordering, profile, sampling, splits
+from cohortscope.operators import merge, ordering, profile, quality, sampling, splits
 from cohortscope.plans.workspace import Workspace
 from cohortscope.sources import fixtures
 
@@ -221,6 +221,53 @@ def q_person_split(spark, sf):
         "person_id", "tax_year", "split")
 
 
+_BAND = {"target": 0.21, "tol": 0.015}
+
+
+@add("m14_split_bundle", "panel", f"""
+SELECT split, CAST(n + up + down AS BIGINT) AS n_rows,
+  {r("(pos + up) / (n + up + down)::DOUBLE", "rate", 8)}, {_BAND["target"]}::DOUBLE AS target,
+  CASE WHEN abs((pos + up) / (n + up + down)::DOUBLE - {_BAND["target"]}) <= {_BAND["tol"]} THEN 1 ELSE 0 END AS ok,
+  n_persons, n_known, n_persons - n_known AS n_new
+FROM (SELECT *,
+  CASE WHEN NOT trained OR pos / n::DOUBLE >= {_BAND["target"]} - {_BAND["tol"]} THEN 0 ELSE greatest(
+    CAST(ceil({_BAND["target"]}::DOUBLE * (n - pos) / (1 - {_BAND["target"]}::DOUBLE)) AS BIGINT) - pos, 0) END AS up,
+  CASE WHEN NOT trained OR pos / n::DOUBLE <= {_BAND["target"]} + {_BAND["tol"]} THEN 0 ELSE greatest(
+    CAST(ceil((1 - {_BAND["target"]}::DOUBLE) * pos / {_BAND["target"]}::DOUBLE) AS BIGINT) - (n - pos), 0) END AS down
+  FROM (SELECT split, split LIKE '%train' AS trained, count(*) AS n, sum(lab)::BIGINT AS pos,
+      count(DISTINCT person_id) AS n_persons,
+      count(DISTINCT CASE WHEN known THEN person_id END) AS n_known
+    FROM bundle GROUP BY split))""", """
+fixed AS (SELECT person_id, tax_year, CASE WHEN fraud_label = 1 AND fraud_type = 'none' THEN 0
+    ELSE fraud_label END AS lab, person_id IN (
+      SELECT person_id FROM panel WHERE tax_year <= 2023) AS known,
+    CASE WHEN tax_year <= 2023 THEN 'train' WHEN tax_year = 2024 THEN 'val' ELSE 'test' END AS y FROM panel),
+bundle AS (SELECT person_id, lab, known, y AS split FROM fixed
+  UNION ALL SELECT person_id, lab, known, 'person_' || CASE WHEN known THEN 'train' ELSE y END FROM fixed)""")
+def q_bundle(spark, sf):
+    """Use cases A and B with enforced training rates: rows, rates, known persons."""
+    p = Workspace.of(spark, sf).panel.select("person_id", "tax_year", "taxpayer_type",
+                                             "uses_itemized", "fraud_label", "fraud_type")
+    parts = splits.build_splits(p)
+    six = {n: d for n, d in parts.items() if n.removeprefix("person_") in ("train", "val", "test")}
+    return rnd(splits.split_metrics(six, V.RATE_OVERALL, V.RATE_TOLERANCE), rate=8)
+
+
+@add("m15_seed_purity", "panel", """SELECT split, rule, value, severity, passed FROM (
+  SELECT 'seed_evaders' AS split, 'seed_purity' AS rule, 1.0::DOUBLE AS value, 'error' AS severity, 1 AS passed
+  FROM panel WHERE fraud_label = 1 HAVING count(*) > 0
+  UNION ALL SELECT 'seed_compliant', 'seed_purity', 0.0::DOUBLE, 'error', 1
+  FROM panel WHERE fraud_label = 0 HAVING count(*) > 0)""")
+def q_purity(spark, sf):
+    p = Workspace.of(spark, sf).panel
+    seeds = splits.seed_panels(p)
+    tagged = None
+    for name in ("seed_evaders", "seed_compliant"):
+        d = seeds[name].select("tax_year", "fraud_label", F.lit(name).alias("split"))
+        tagged = d if tagged is None else tagged.unionByName(d)
+    return quality.check_splits(tagged, {}).filter("rule = 'seed_purity'")
+
+
 @add("m15_seed_panels", "panel", f"""
 SELECT 'seed_compliant' AS seed, person_id, tax_year FROM (SELECT *, row_number() OVER (ORDER BY
   {digest("42-compliant", "person_id", "tax_year")}) AS rn FROM panel WHERE fraud_label = 0)

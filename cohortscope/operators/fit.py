@@ -64,10 +64,10 @@ def state_log_income(df: DataFrame, value: str) -> DataFrame:
     return g.join(q, "state")
 
 
-def fit_zone_housing(homes: DataFrame, growth: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(zone housing, zone x year growth): medians with fallbacks where a zone is empty.
+def fit_zone_housing(homes: DataFrame) -> DataFrame:
+    """Median home value and rent per zone, with fallbacks where a zone is empty.
 
-    ``homes``: state, home_value.  ``growth``: state, year, growth.
+    ``homes``: state, home_value.
     """
     spark = homes.sparkSession
     hv = exact_quantiles(homes.withColumn("zone", E.lookup("state", fit_zone()))
@@ -77,17 +77,21 @@ def fit_zone_housing(homes: DataFrame, growth: DataFrame) -> tuple[DataFrame, Da
     fallback = E.lookup("zone", {k: float(v) for k, v in V.FALLBACK_HOME_VALUE.items()})
     d = d.select("zone", F.coalesce("home_value_median", fallback).alias("median_home_value"))
     rent = F.floor(C("median_home_value") * E.lookup("zone", V.RENTAL_YIELD) / 12)
-    d = d.withColumn("median_rent_2br", rent.cast("long"))
+    return d.withColumn("median_rent_2br", rent.cast("long"))
+
+
+def fit_zone_growth(growth: DataFrame) -> DataFrame:
+    """Median growth per zone and year, with fallbacks.  ``growth``: state, year, growth."""
+    spark = growth.sparkSession
     g = exact_quantiles(growth.withColumn("zone", E.lookup("state", fit_zone()))
                         .filter("zone is not null and growth is not null"),
                         ["zone", "year"], ["growth"], {"median": 0.5})
     years = _spine(spark).withColumn("year", F.explode(F.array(*[F.lit(y) for y in V.YEARS])))
     default = F.create_map(*[x for z, gs in V.FALLBACK_HOME_GROWTH.items()
                              for x in (F.lit(z), F.array(*[F.lit(v) for v in gs]))])
-    years = years.join(g, ["zone", "year"], "left").select(
+    return years.join(g, ["zone", "year"], "left").select(
         "zone", "year", F.coalesce(F.bround("growth_median", 4), F.get(
             default[C("zone")], C("year") - V.YEARS[0])).alias("growth"))
-    return d, years
 
 
 RECEIPT_FIELDS = ["median_gross_receipts", "mean_gross_receipts", "avg_gross_receipts",

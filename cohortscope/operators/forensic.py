@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
 from cohortscope.operators.preprocess import present
+from cohortscope.operators.quantiles import exact_quantiles
 
 C = F.col
 
@@ -67,12 +68,21 @@ def two_valued(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             .select("tax_year", *[(C(f"many_{c}") == 0).alias(f"two_{c}") for c in cols]))
 
 
-def stable_norm(c: str) -> Column:
-    """Fixed-bounds map to [0, 1]; flags and two-valued columns pass through."""
+def fit_norm_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """First and 99th percentile of the columns that have no fixed bounds: one row."""
+    cols = [c for c in present(df, cols) if c not in V.NORM_BOUNDS]
+    if not cols:
+        return {}
+    q = exact_quantiles(df, [], cols, {"lo": 0.01, "hi": 0.99}).first()
+    return {c: (q[f"{c}_lo"] or 0.0, q[f"{c}_hi"] or 0.0) for c in cols}
+
+
+def stable_norm(c: str, bounds: dict[str, tuple[float, float]] | None = None) -> Column:
+    """Map to [0, 1] by fixed or fitted bounds; flags and two-valued columns pass through."""
     x = E.nz(c)
     if c.startswith(("flag_", "has_")):
         return x
-    lo, hi = V.NORM_BOUNDS[c]
+    lo, hi = V.NORM_BOUNDS[c] if c in V.NORM_BOUNDS else bounds[c]
     return F.when(C(f"two_{c}"), x).otherwise(E.norm01(x, lo, hi))
 
 

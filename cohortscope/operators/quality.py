@@ -189,7 +189,7 @@ def check_splits(tagged: DataFrame, targets: dict[str, float], tag: str = "split
     """Rate near target per split; validation and test hold their single year."""
     g = tagged.groupBy(tag).agg(F.avg("fraud_label").alias("rate"),
                                 F.min("tax_year").alias("lo"), F.max("tax_year").alias("hi"))
-    goal = E.lookup(tag, targets)
+    goal = E.lookup(tag, targets or {"": None})
     year = E.lookup(tag, {"val": V.VALIDATION_YEAR, "test": V.TEST_YEAR})
     rate = g.filter(goal.isNotNull()).select(
         tag, F.lit("rate_near_target").alias("rule"), C("rate").alias("value"),

@@ -25,8 +25,13 @@ def network_features(df: DataFrame, employers: DataFrame | None = None) -> DataF
                  "high_risk_employer", "network_risk_score", "contagion_score")
     if employers is not None and "employer_id" in df.columns:
         d = employer_distribution(employers).first()
-        df = df.join(employers.select("employer_id", "employer_fraud_rate",
-                                      "employer_n_employees"), "employer_id", "left")
+        # rows without an employer meet nobody: spread them instead of sending them to one task
+        spread = F.concat(F.lit("none-"), F.pmod(F.xxhash64(*[
+            c for c in ("row_id", "person_id", "tax_year") if c in df.columns]), F.lit(4096)))
+        right = employers.select(C("employer_id").cast("string").alias("__employer"),
+                                 "employer_fraud_rate", "employer_n_employees")
+        df = df.withColumn("__employer", F.coalesce(C("employer_id").cast("string"), spread)).join(
+            right, "__employer", "left").drop("__employer")
         df = df.withColumns({
             "employer_fraud_rate": F.coalesce(C("employer_fraud_rate"), F.lit(d["mu"])),
             "employer_n_employees": F.coalesce(C("employer_n_employees"), F.lit(0)),

@@ -169,8 +169,26 @@ def build_splits(panel: DataFrame, seed=V.SEED) -> dict[str, DataFrame]:
     return out
 
 
-def split_metrics(df: DataFrame, name: str, target: float, tolerance: float) -> DataFrame:
-    """Rows, rate and band verdict of one split."""
-    g = df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("fraud_label").alias("rate"))
-    return g.select(F.lit(name).alias("split"), "n_rows", "rate", F.lit(target).alias("target"),
-                    E.flag(F.abs(C("rate") - target) <= tolerance).alias("ok"))
+def split_metrics(parts: dict[str, DataFrame], target: float, tolerance: float) -> DataFrame:
+    """Rows, rate, band verdict, persons and persons known from training, per split.
+
+    ``parts`` holds ``train``/``val``/``test`` and the same with ``person_``; a split's
+    persons are known if they are in the training split of the same use case.  One pass
+    groups all splits by person; nothing is collected.
+    """
+    tagged = None
+    for name, d in parts.items():
+        case = "person" if name.startswith("person_") else "year"
+        part = d.select("person_id", "fraud_label", F.lit(name).alias("split"),
+                        F.lit(case).alias("case"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    cells = tagged.groupBy("case", "person_id", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fraud_label").alias("s"))
+    trained = (cells.filter(C("split").endswith("train")).select("case", "person_id")
+               .withColumn("known", F.lit(1)))
+    g = cells.join(trained, ["case", "person_id"], "left").groupBy("split").agg(
+        F.sum("n").alias("n_rows"), (F.sum("s") / F.sum("n")).alias("rate"),
+        F.count(F.lit(1)).alias("n_persons"), F.sum(E.nz("known", 0)).alias("n_known"))
+    return g.select("split", "n_rows", "rate", F.lit(target).alias("target"),
+                    E.flag(F.abs(C("rate") - target) <= tolerance).alias("ok"),
+                    "n_persons", "n_known", (C("n_persons") - C("n_known")).alias("n_new"))

@@ -44,6 +44,8 @@ SAMPLES = 2
 ALPHA = 0.3
 SEED = 1
 BATCH_CHARS = 800_000
+EARLY = 64                  # steps of a path that are always perturbed
+DRAW_LIMIT = 37.0           # -log(-log(u)) of the largest number drawn with 52 bits
 LONG = 48                   # characters of a unit whose weights are summed in logs
 SCALE = 4.0                 # per character, so that shorter units neither vanish nor overflow
 _BLANK = "▁"
@@ -105,8 +107,16 @@ class Vocabulary:
             found.append(_mix(h)[0])
         order = np.argsort(np.array(found, np.uint64))
         self.hashes, self.ids = np.array(found, np.uint64)[order], np.array(ids)[order]
+        self.held: dict[str, np.ndarray] = {}
         self.piece_bits, self.prefix_bits = self._bits(found), self._bits(prefixes)
 
+    def scratch(self, name: str, n: int, kind) -> np.ndarray:
+        """Rows of an array that batches use one after another: new memory costs more."""
+        held = self.held.get(name)
+        if held is None or len(held) < n:
+            held = self.held[name] = np.empty((n + n // 4, self.longest), kind)
+        return held[:n]
+
     @staticmethod
     def _bits(hashes: list) -> np.ndarray:
         """Which leading 20 bits occur; what is not among them need not be looked up."""
@@ -155,8 +165,9 @@ class Lattices:
         n, self.width = int(sizes.sum()) + len(units), v.longest
         node = np.arange(len(codes)) + owner                    # node before a character
         left = self.last[owner] - node                          # characters from it on
-        self.share = np.zeros((n, self.width))                  # weights, to begin with
-        self.piece = np.zeros((n, self.width), np.int32)
+        self.share = v.scratch("share", n, np.float64)          # weights, to begin with
+        self.share.fill(0)
+        self.piece = v.scratch("piece", n, np.int32)
         mixed = _mix(codes.astype(np.uint64) + _P2)
         at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         for size in range(1, self.width + 1):
@@ -181,7 +192,7 @@ class Lattices:
                 self.share[into, 0] = np.exp(v.byte_weight * n_bytes) * SCALE
                 self.piece[into, 0] = -1 - miss
         self.alone = (self.share > 0).sum(1) == 1
-        self.reach = np.zeros((n, self.width), np.float32)
+        self.reach = v.scratch("reach", n, np.float32)          # filled up to the last arc
         depth = np.arange(n) - np.repeat(self.first, sizes + 1)
         long = np.repeat(sizes > LONG, sizes + 1)
         self._forward(np.flatnonzero(~long), depth[~long], n, False)
@@ -260,11 +271,13 @@ class Search:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def path(self, parts, sample: int, top: np.ndarray, fresh_from=None):
+    def path(self, parts, sample: int, top: np.ndarray, k: int, fresh_from=None):
         """Join steps, in order, and perturb what the steps passed by.
 
         ``top`` is the score that the new steps inherit; steps before ``fresh_from`` (unit
         and step per document) were taken with an earlier sample and pass nothing new by.
+        A draw adds at most ``DRAW_LIMIT`` to the location, so steps too deep to reach the
+        k + 1 best are left out without being drawn.
         """
         lat = self.lattice
         unit, step, arc = (np.concatenate(x) for x in zip(*parts))
@@ -279,14 +292,28 @@ class Search:
         edge = np.searchsorted(doc, np.arange(self.n + 1))
         run = np.r_[0.0, np.cumsum(log_p)]
         before = run[:-1] - run[edge[doc]]
-        others = np.where(lat.alone[arc // lat.width], 0.0, -np.expm1(np.minimum(log_p, 0.0)))
-        with np.errstate(divide="ignore"):
-            rest = before + np.log(others)
-        u = uniform(self.seed[doc], sample + 1000, self.place[unit], step)
-        score = truncated_gumbel(rest, top[doc], u)
+        score = np.full(len(unit), -np.inf)
+        inside = np.arange(len(unit)) - edge[doc]
+        old = np.zeros(len(unit), bool)
         if fresh_from is not None:
             at, of = fresh_from
-            score[(unit < at[doc]) | ((unit == at[doc]) & (step <= of[doc]))] = -np.inf
+            old = (unit < at[doc]) | ((unit == at[doc]) & (step <= of[doc]))
+        early = (inside < EARLY) & ~old
+        wanted = np.full((self.n, EARLY), -np.inf)
+        for some in (early, None):
+            if some is None:            # only steps that can still be among the best
+                best = np.partition(wanted, EARLY - 1 - k, axis=1)[:, EARLY - 1 - k]
+                some = (inside >= EARLY) & ~old & (before + DRAW_LIMIT >= best[doc])
+            some = np.flatnonzero(some)
+            others = np.where(lat.alone[arc[some] // lat.width], 0.0,
+                              -np.expm1(np.minimum(log_p[some], 0.0)))
+            with np.errstate(divide="ignore"):
+                rest = before[some] + np.log(others)
+            of_doc = doc[some]
+            u = uniform(self.seed[of_doc], sample + 1000, self.place[unit[some]], step[some])
+            score[some] = truncated_gumbel(rest, top[of_doc], u)
+            first = inside[some] < EARLY
+            wanted[of_doc[first], inside[some][first]] = score[some][first]
         return {"unit": unit, "step": step, "arc": arc, "before": before, "score": score,
                 "edge": edge, "log_p": run[edge[1:]] - run[edge[:-1]]}
 
@@ -297,7 +324,7 @@ class Search:
         lat = self.lattice
         top = -np.log(-np.log(uniform(self.seed, 0, 0, 0)))
         ends = lat.last[self.unit] if len(self.unit) else zero
-        paths = [self.path([self.walk(everything, ends, 0, zero)], 0, top)]
+        paths = [self.path([self.walk(everything, ends, 0, zero)], 0, top, k)]
         tops, alive = [top], [np.ones(self.n, bool)]
         taken: dict[tuple[int, int], list[int]] = {}
         for sample in range(1, k + 1):
@@ -324,7 +351,7 @@ class Search:
             later = everything[mask[self.doc] & (everything > at[self.doc])]
             parts.append(self.walk(later, lat.last[self.unit[later]], sample,
                                    np.zeros(len(later), np.int64)))
-            paths.append(self.path(parts, sample, best, (at, of)))
+            paths.append(self.path(parts, sample, best, k, (at, of)))
             tops.append(best)
             alive.append(mask)
 

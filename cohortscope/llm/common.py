@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import gc
-import os
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cohortscope.session import stage
+from cohortscope.session import staging_root
 
 #: ASCII white space: everything else is part of a word.
 SPACE = " \t\n\x0b\x0c\r"
@@ -30,22 +28,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Shuffle files live until the driver's garbage is collected, which on a driver with
     little to do may be never; a job of several phases asks for it between them.
     """
-    out = stage(df, name)
+    spark = df.sparkSession
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def arrow_rows(batch: pa.RecordBatch, *names: str) -> list:
-    """Columns of a batch as Python lists."""
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-
-
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, by name and type."""
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in like.schema.fields])
-
-
-def own_file(path: str) -> str:
-    """A path below this package's folder."""
-    return os.path.join(os.path.dirname(os.path.abspath(__file__)), path)
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables.  Only for tables whose every reader is written itself: what
+    those wrote does not need them again, whichever executor is lost."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import settle
+from cohortscope.llm.common import forget, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                    .filter("a != b").distinct(), "links")
     state = None
     while True:
-        edges = settle(_star(_star(edges, True), False), "links")
+        before, edges = edges, settle(_star(_star(edges, True), False), "links")
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

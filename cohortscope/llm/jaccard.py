@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import settle, table
+from cohortscope.llm.common import forget, settle, table
 from cohortscope.llm.components import components
 from cohortscope.llm.shared_keys import blocks, chunks, n_buckets, records, shared_keys
 
@@ -252,6 +252,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = sets_of(rows, stars.select(F.explode(F.array("x", "y")).alias("doc")), "sets")
     linked = settle(overlaps(stars, sets).join(stars, ["x", "y"])
                     .filter(F.col("both") >= _needed(x, y)), "near")
+    forget(stars, sets)
     equal = member.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     near = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -261,9 +262,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"),
                                       F.max("component").alias("high")).filter("low != high")
     open_ = settle(placed.join(mixed.select("key"), "key", "left_semi"), "open")
+    forget(lists)
     pairs = settle(candidates(open_), "candidates")
+    forget(open_)
     more = _answers(rows, pairs, linked)
-    return known, equal.unionByName(near).unionByName(more)
+    found = settle(equal.unionByName(near).unionByName(more), "found")
+    forget(more, pairs, linked)
+    return known, found
 
 
 def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
@@ -279,7 +284,7 @@ def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
             f"gone_{of}": F.coalesce(lead["ny"] - lead["both"], F.lit(0)),
         }).drop(f"l{of}")
 
-    rows = settle(led(led(pairs, "x"), "y"), "led")
+    rows = led_ = settle(led(led(pairs, "x"), "y"), "led")
     sets = sets_of(docs, rows.select(F.explode(F.array("x", "y", "lead_x", "lead_y"))
                                      .alias("doc")), "candidate-sets")
     lead = rows.select(F.col("lead_x").alias("x"), F.col("lead_y").alias("y")).filter(
@@ -291,17 +296,21 @@ def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
     high = F.col("both") + F.col("new_x") + F.col("new_y")
     low = F.col("both") - F.col("gone_x") - F.col("gone_y")
     rows = settle(rows.filter(high >= need).withColumn("sure", low >= need), "bounded")
+    forget(led_)
     rest = rows.filter("NOT sure").select("x", "y", "nx", "ny")
     exact = overlaps(rest.select("x", "y"), sets).join(rest, ["x", "y"]).filter(
         F.col("both") >= need)
-    return rows.filter("sure").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(
-        exact.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = settle(rows.filter("sure").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(
+        exact.select(F.col("x").alias("a"), F.col("y").alias("b"))), "more")
+    forget(rows, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Number of shingles and component of every document."""
     known, found = links(docs)
     part = components(found)
+    forget(found)
     return (known.join(part, known["doc"] == part["node"], "left")
             .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.coalesce("component", "doc").alias("component_id")))
@@ -313,7 +322,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with equal doc_id the first by text, then by the other columns, stays; rows
     without a doc_id stay all.
     """
-    first = (near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    first = settle(near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+                   .distinct(), "first")
     order = [F.col(f"`{c}`") for c in ["text", *docs.columns]]
     mine = Window.partitionBy("doc_id").orderBy(*order)
     held = (docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(mine))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import partitions, settle, table
+from cohortscope.llm.common import forget, partitions, settle, table
 from cohortscope.llm.shared_keys import blocks, n_buckets, records, shared_keys
 
 LEAST = 50                  # bytes of a repeat
@@ -315,7 +315,10 @@ def verdicts(contexts: DataFrame, hot: int = HOT) -> DataFrame:
     found = windows.join(first, "window").groupBy("digest", "least").agg(
         F.collect_set(F.when(F.col("first") < F.col("least"), F.col("offset"))).alias("starts"))
     runs = F.flatten(F.transform("starts", lambda o: F.array(o, o + LEAST)))
-    return plain.unionByName(found.select("digest", "least", runs.alias("runs")))
+    out = settle(plain.unionByName(found.select("digest", "least", runs.alias("runs"))),
+                 "verdicts")
+    forget(one, many)
+    return out
 
 
 def _remove(batches):
@@ -367,14 +370,17 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id",
         keyed.join(spots, ["doc", "crc"]).select("doc", "crc", "text", "spots").mapInArrow(
             _contexts, "key bigint, digest binary, part binary, doc bigint, crc bigint, begin int"),
         "occurrences")
-    judged = settle(verdicts(contexts, hot), "verdicts")
+    forget(shared)
+    judged = verdicts(contexts, hot)
     begin, size = F.col("begin"), F.col("size")
     runs = F.when(F.col("doc") == F.col("least"), F.transform("runs", lambda x: x + F.col("begin"))
                   ).when(size >= LEAST, F.array(begin, begin + size))
-    marks = (contexts.withColumn("size", F.length("part"))
-             .select("digest", "doc", "crc", "begin", "size").join(judged, "digest")
-             .select("doc", "crc", runs.alias("runs")).filter(F.size("runs") > 0)
-             .groupBy("doc", "crc").agg(F.flatten(F.collect_list("runs")).alias("marks")))
+    marks = settle(
+        contexts.withColumn("size", F.length("part"))
+        .select("digest", "doc", "crc", "begin", "size").join(judged, "digest")
+        .select("doc", "crc", runs.alias("runs")).filter(F.size("runs") > 0)
+        .groupBy("doc", "crc").agg(F.flatten(F.collect_list("runs")).alias("marks")), "marks")
+    forget(contexts, judged)
     marks = marks.unionByName(copies.withColumn("marks", F.array(F.lit(0), F.lit(WHOLE))))
     return keyed.join(marks, ["doc", "crc"], "left").select("doc", "crc", "text", "marks"
                                                             ).mapInArrow(

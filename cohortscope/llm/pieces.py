@@ -494,7 +494,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Add the text of every segmentation, as ``decoded``."""
     with open(model, "rb") as f:
         data = f.read()
-    at = encoded.columns.index("ids")
+    names = encoded.columns
+    at = names.index("ids")
 
     def run(batches):
         v = vocabulary(data, ALPHA)
@@ -504,7 +505,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             edge = np.r_[0, np.cumsum([len(x) if x.is_valid else 0 for x in lists])]
             texts = [t.decode("utf-8", "surrogatepass") for t in v.decode(ids, edge)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*encoded.columns, "decoded"])
+                                             [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, decoded string")

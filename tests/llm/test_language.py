@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from cohortscope.llm import language as L
 from tests.llm import helpers as H
 
@@ -21,7 +23,8 @@ def test_grams_and_distance():
             s | a << 21 | b << 42, a | b << 21 | s << 42, b | s << 21 | b << 42,
             s | b << 21 | s << 42]
     assert got == sorted(want)
-    p = L.Profiles({"x": L.grams("a"), "y": L.grams("b")}, 3)
+    p = L.Profiles({k: L.top(*np.unique(L.grams(t), return_counts=True), 3)
+                    for k, t in (("x", "a"), ("y", "b"))}, 3)
     assert p.predict("a") == ("x", 1.0) and p.predict("b")[0] == "y"
     assert p.predict("12 !") == p.predict(None) == ("und", 0.0)
     assert L.Profiles({}).predict("a") == ("und", 0.0)

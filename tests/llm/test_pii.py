@@ -24,7 +24,7 @@ def test_checksums_and_context():
 
 
 def test_long_runs_stay_linear():
-    for t in ("a" * 200_000, "1" * 200_000, "+1" + "(" * 200_000, "a@" * 50_000, "1." * 50_000):
+    for t in ("a" * 200_000, "1" * 200_000, "+1" + "(" * 200_000, "a@" * 50_000, "300." * 50_000):
         assert [s[:3] for s in P.in_order(P.base_spans(t))] == []
 
 

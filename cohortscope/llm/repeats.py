@@ -129,6 +129,21 @@ def strings(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
         None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(buf[at])])
 
 
+def digests(words: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray) -> pa.Array:
+    """128 bits that stand for a context: its bytes and where its anchor is."""
+    both = np.stack([string_hashes(words, begin, size, seed) + left.astype(np.uint64)
+                     for seed in (1, 2)], 1)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(
+        np.arange(0, 16 * len(begin) + 1, 16, np.int32)), pa.py_buffer(both)])
+
+
+def digests_of(parts: list[bytes], left: list[int]) -> pa.Array:
+    size = np.array([len(p) for p in parts], np.int64)
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    return digests(words_of_8(np.r_[buf, np.zeros(8, np.uint8)]), np.cumsum(size) - size, size,
+                   np.array(left, np.int64))
+
+
 def _contexts(batches):
     """Rows of every shared anchor: key, digest and bytes of the context, where it is."""
     for batch in batches:
@@ -145,16 +160,14 @@ def _contexts(batches):
             begin = np.maximum(at - SPAN, 0)
             wide = np.minimum(at + LEAST, np.repeat(size, count)) - begin
             place = base + begin
-            digest = np.stack([string_hashes(words, place, wide, seed) + (
-                at - begin).astype(np.uint64) for seed in (1, 2)], 1)
+            left = at - begin
             docs = np.repeat(np.arange(len(size)), count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kmer_hashes(buf)[base + at].view(np.int64)),
-                 pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(
-                     np.arange(0, 16 * len(at) + 1, 16, np.int32)), pa.py_buffer(digest)]),
+                 pa.array(left.astype(np.int32)), digests(words, place, wide, left),
                  strings(buf, place, wide), part.column(0).take(pa.array(docs)),
                  part.column(1).take(pa.array(docs)), pa.array(begin.astype(np.int32))],
-                ["key", "digest", "part", "doc", "crc", "begin"])
+                ["key", "left", "digest", "part", "doc", "crc", "begin"])
 
 
 def suffix_array(parts: list[bytes], least: int = LEAST):
@@ -274,7 +287,7 @@ def _arrays(batches):
             pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32()),
             pa.array(edge, pa.int32()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[1] for r in rows], pa.binary()),
+            [digests_of([r[2] for r in rows], [r[1] for r in rows]),
              pa.array([r[3] for r in rows], pa.int64()), runs], ["digest", "least", "runs"])
 
     rows = []
@@ -291,7 +304,9 @@ def _arrays(batches):
 def _windows(batches):
     for batch in batches:
         out = [(hashlib.blake2b(part[o:o + LEAST], digest_size=16).digest(), digest, o, least)
-               for digest, part, least in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)])
+               for digest, part, least in zip(
+                   digests_of(batch.column(2).to_pylist(), batch.column(1).to_pylist()).to_pylist()
+                   if batch.num_rows else [], *[batch.column(i).to_pylist() for i in (2, 3)])
                for o in range(len(part) - LEAST + 1)]
         cols = list(zip(*out)) or [[]] * 4
         yield pa.RecordBatch.from_arrays(
@@ -303,12 +318,12 @@ def _windows(batches):
 def verdicts(contexts: DataFrame, hot: int = HOT) -> DataFrame:
     """(digest, least, runs): smallest document of each context, and what of it a repeat
     with a smaller one covers, as begins and ends by turns."""
-    one = settle(contexts.groupBy("key", "digest", "part").agg(F.min("doc").alias("least")),
+    one = settle(contexts.groupBy("key", "left", "part").agg(F.min("doc").alias("least")),
                  "contexts")
     many = settle(one.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot")
     n = partitions(contexts.sparkSession)
     plain = (one.join(many, "key", "left_anti").repartition(n, "key").sortWithinPartitions(
-        "key", "digest").mapInArrow(_arrays, "digest binary, least bigint, runs array<int>"))
+        "key", "left").mapInArrow(_arrays, "digest binary, least bigint, runs array<int>"))
     windows = one.join(many, "key", "left_semi").mapInArrow(
         _windows, "window binary, digest binary, offset int, least bigint")
     first = windows.groupBy("window").agg(F.min("least").alias("first"))
@@ -368,7 +383,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id",
         F.collect_list("a").alias("spots")).join(copies, ["doc", "crc"], "left_anti")
     contexts = settle(
         keyed.join(spots, ["doc", "crc"]).select("doc", "crc", "text", "spots").mapInArrow(
-            _contexts, "key bigint, digest binary, part binary, doc bigint, crc bigint, begin int"),
+            _contexts, "key bigint, left int, digest binary, part binary, doc bigint, crc bigint, "
+                       "begin int"),
         "occurrences")
     forget(shared)
     judged = verdicts(contexts, hot)

@@ -139,9 +139,12 @@ def _index(frequent: np.ndarray):
 
 def _sets(batches):
     for ids, texts in chunks(batches):
+        sets = shingle_sets(texts)
+        edge = np.cumsum([0, *map(len, sets)])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()),
-             pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())],
+             pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))],
             ["doc", "set"])
 
 
@@ -149,24 +152,15 @@ def sets_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """(doc, set) of the documents in ``ids``, written once."""
     listed = settle(ids.distinct(), f"{name}-ids")
     return settle(rows.join(listed, "doc", "left_semi").select("doc", "text").mapInArrow(
-        _sets, "doc bigint, set binary"), name)
-
-
-def _overlaps(batches):
-    for batch in batches:
-        n = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64),
-                                np.frombuffer(b.as_buffer(), np.uint64), True))
-             for a, b in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["x", "y", "both"])
+        _sets, "doc bigint, set array<bigint>"), name)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of the sets of every pair (x, y)."""
     one = sets.select(F.col("doc").alias("x"), F.col("set").alias("of_x"))
     two = sets.select(F.col("doc").alias("y"), F.col("set").alias("of_y"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "of_x", "of_y").mapInArrow(
-        _overlaps, "x bigint, y bigint, both bigint")
+    both = F.size(F.array_intersect("of_x", "of_y")).cast("long")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", both.alias("both"))
 
 
 def _near(n, m):

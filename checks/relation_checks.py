@@ -186,8 +186,7 @@ def q_violations(spark, sf):
 def q_coverage(spark, sf):
     from cohortscope.operators import profile
     ws = Workspace.of(spark, sf)
-    return rnd(profile.link_coverage(ws.persons, ws.links.filter("link_start <= 2020"),
-                                     V.W2_TYPES), coverage=8)
+    return rnd(profile.link_coverage(ws.persons, ws.links, V.W2_TYPES), coverage=8)
 
 
 # ----------------------------------------------------------------------- returns

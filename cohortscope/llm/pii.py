@@ -36,6 +36,12 @@ CONTEXT = {
     "tel": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono", "teléfono"),
 }
 AGAINST = ("order", "invoice", "isbn", "serial", "version", "part")
+#: Characters of a bank account number, by country.
+SIZES = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -73,6 +79,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             free = m.end()
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Bank accounts that pass mod-97.
+
+    A proposal takes upper-case words and digits behind the account with it.  It ends at the
+    country's size, else where it ends; of an unknown country, at the last space that passes.
+    The search goes on behind the account, or behind the start of a proposal without one.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        whole, at = m.group(), m.start() + 1
+        ends = [len(whole)] + [k for k in range(len(whole) - 1, 0, -1) if whole[k] == " "]
+        bare = {k: whole[:k].replace(" ", "") for k in ends}
+        if size := SIZES.get(whole[:2]):
+            ends = [k for k in ends if len(bare[k]) == size] + ends[:1]
+        for k in ends:
+            if 15 <= len(bare[k]) <= 34 and mod97(bare[k]):
+                yield m.start(), m.start() + k
+                at = m.start() + k
+                break
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns: leftmost, not overlapping within a kind."""
     out = [(a, b, "email", 1.0) for a, b in emails(text)] if "@" in text else []
@@ -106,15 +133,13 @@ def added_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return []
     out = []
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("tel", _TEL)):
-        for m in pattern.finditer(text):
-            bare = m.group().replace(" ", "")
-            confirmed = kind == "iban" and 15 <= len(bare) <= 34 and mod97(bare)
-            if kind == "iban" and not confirmed:
-                continue
-            value = score(kind, text, m.start(), confirmed)
+    for kind, found in (("iban", accounts(text)),
+                        ("ssn", (m.span() for m in _SSN.finditer(text))),
+                        ("tel", (m.span() for m in _TEL.finditer(text)))):
+        for a, b in found:
+            value = score(kind, text, a, kind == "iban")
             if value >= ACCEPT:
-                out.append((*m.span(), kind, value))
+                out.append((a, b, kind, value))
     return out
 
 

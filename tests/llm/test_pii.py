@@ -45,3 +45,20 @@ def test_find_and_redact(spark):
     assert rows[0].text == "write é to <EMAIL> or <IP>, card <CARD>"
     assert rows[0].n_chars == len(rows[0].text) and rows[1].text is None
     assert P.find(H.table(spark, [])).count() == P.redact(H.table(spark, [])).count() == 0
+
+
+def test_accounts_end_before_the_text_behind_them():
+    es, be, de = "ES9121000418450200051332", "BE71 0961 2345 6769", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{es} BIC CAIXESBB", [es]), (f"{be} EUR", [be]), (f"{be} 2024", [be]),
+             (f"{es} PAYMENT DUE", [es]), (f"{be} {de} EUR", [be, de]), (f"{de} EUR", [de]),
+             (f"AB12 3456 7890 {de}", [de]), (be, [be]), (f"{be[:-1]}8 EUR", [])]
+    odd = next(a for n in range(100) if P.mod97(a := f"ZZ{n:02}096123456769"))
+    cases.append((f"{odd} EUR 2024", [odd]))
+    for text, accounts in cases:
+        assert [text[a:b] for a, b, k, _ in P.added_spans(text) if k == "iban"] == accounts, text
+    assert P.replace(f"pay {be} EUR", P.added_spans(f"pay {be} EUR")) == "pay <IBAN> EUR"
+
+
+def test_account_runs_stay_linear():
+    for t in ("AB12 " * 40_000, "AB12" * 50_000, "DE89 3704 0044 0532 0130 01 " * 8_000):
+        assert P.added_spans(t) == []

@@ -156,9 +156,7 @@ UNION ALL SELECT 'column', c, 'null_pct', v FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS c, " + ("count(*) * 100.0 / count(*)" if c == "education" else f"(count(*) - count({c})) * 100.0 / count(*)")
     + " AS v FROM aligned" for c in _HIGH) + ") WHERE v > 80)", ALIGNED)
 def q_d3(spark, sf):
-    d = _aligned(spark, sf).select("person_id", "tax_year", "data_source", "zone", "fraud_label",
-                                   "fraud_type", *_HIGH)
-    return rnd(quality.merge_report(d), value=6)
+    return rnd(quality.merge_report(_aligned(spark, sf)), value=6)
 
 
 @add("d9_merged_rules", "panel", rule_rows("panel0", [

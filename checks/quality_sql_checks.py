@@ -135,10 +135,6 @@ def q_d10(spark, sf):
     return rnd(quality.split_log(_tagged(spark, sf)), amount=8)
 
 
-_HIGH = ["sex", "education", "w2_wages", "crypto_proceeds", "agi", "fbar_required", "employer_id",
-         "filing_status", "gig_income", "foreign_income"]
-
-
 @add("d3_merge_report", "panel", """
 SELECT dim, key, item, round(value, 6) AS value FROM (
 SELECT 'all' AS dim, 'all' AS key, 'rows' AS item, count(*)::DOUBLE AS value FROM aligned
@@ -153,8 +149,8 @@ UNION ALL SELECT 'zone', CAST(zone AS VARCHAR), 'rows', count(*) FROM aligned GR
 UNION ALL SELECT 'zone', CAST(zone AS VARCHAR), 'fraud_rate', avg(coalesce(fraud_label, 0)) FROM aligned GROUP BY zone
 UNION ALL SELECT 'all', 'all', 'duplicate_person_years', count(*) - count(DISTINCT (person_id, tax_year)) FROM aligned
 UNION ALL SELECT 'column', c, 'null_pct', v FROM (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS c, " + ("count(*) * 100.0 / count(*)" if c == "education" else f"(count(*) - count({c})) * 100.0 / count(*)")
-    + " AS v FROM aligned" for c in _HIGH) + ") WHERE v > 80)", ALIGNED)
+    f"SELECT '{c}' AS c, (count(*) - count({c})) * 100.0 / count(*) AS v FROM aligned"
+    for c in V.CANONICAL) + ") WHERE v > 80)", ALIGNED)
 def q_d3(spark, sf):
     return rnd(quality.merge_report(_aligned(spark, sf)), value=6)
 

@@ -181,7 +181,7 @@ def q_violations(spark, sf):
 
 @add("a28_link_coverage", "panel", f"""SELECT zone, count(*) AS eligible, count(l.person_id) AS covered,
   {r("count(l.person_id) / count(*)", "coverage", 8)}
-  FROM persons p LEFT JOIN (SELECT DISTINCT person_id FROM links WHERE link_start <= 2020) l USING (person_id)
+  FROM persons p LEFT JOIN (SELECT DISTINCT person_id FROM links) l USING (person_id)
   WHERE taxpayer_type IN ('pure_w2', 'w2_with_side_biz') GROUP BY ROLLUP (zone)""", DIMS)
 def q_coverage(spark, sf):
     from cohortscope.operators import profile

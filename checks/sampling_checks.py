@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.feature_checks import PANEL_FLOATS
-from checks.panel_sql import case_map, digest, drawn, r, steady, uniform, with_ctes
+from checks.feature_checks import PANEL_FLOATS, PANEL_INTS, PANEL_TEXT
+from checks.panel_sql import (case_map, clip, digest, drawn, quote, r, steady, uniform,
+                              with_ctes)
 from checks.profile_checks import index_sql, rnd
 from cohortscope import vocab as V
 from cohortscope.operators import merge, ordering, profile, quality, sampling, splits
@@ -27,15 +28,18 @@ def add(name, upto, sql, extra=""):
 TARGET = 500    # rows per state: well under the 1 000+ of the smallest test folder
 
 # -------------------------------------------------------------- state sampling
-TARGETS = index_sql("state, person_id") + f""",
+
+
+def targets_sql(target: int) -> str:
+    return index_sql("state, person_id") + f""",
 cells AS (SELECT state, lifecycle, fraud_pattern, count(*) AS cell_size, sum(n_rows) AS cell_rows
   FROM pindex GROUP BY ALL),
 state_means AS (SELECT state,
     sum(cell_rows) FILTER (WHERE fraud_pattern <> 'clean') / sum(cell_size) FILTER (WHERE fraud_pattern <> 'clean') AS mf,
     sum(cell_rows) FILTER (WHERE fraud_pattern = 'clean') / sum(cell_size) FILTER (WHERE fraud_pattern = 'clean') AS mc
   FROM cells GROUP BY state),
-totals AS (SELECT state, round_even({TARGET}.0::DOUBLE * rate / mf, 0) AS nf,
-    round_even({TARGET}.0::DOUBLE * (1 - rate) / mc * 1.1::DOUBLE, 0) AS nc
+totals AS (SELECT state, round_even({target}.0::DOUBLE * rate / mf, 0) AS nf,
+    round_even({target}.0::DOUBLE * (1 - rate) / mc * 1.1::DOUBLE, 0) AS nc
   FROM (SELECT *, {case_map("state", V.STATE_TARGET_RATE)}::DOUBLE AS rate FROM state_means)),
 targets AS (SELECT state, lifecycle, fraud_pattern, cell_size, least(CAST(round_even(
     CASE fraud_pattern WHEN 'clean' THEN nc
@@ -43,7 +47,9 @@ targets AS (SELECT state, lifecycle, fraud_pattern, cell_size, least(CAST(round_
     * {case_map("lifecycle", V.LIFECYCLE_SHARE)}::DOUBLE, 0) AS BIGINT), cell_size) AS n_target
   FROM cells JOIN totals USING (state))"""
 
-DRAWN = TARGETS + f""",
+
+def drawn_sql(target: int) -> str:
+    return targets_sql(target) + f""",
 strata AS (SELECT *, n_target * n / sum(n) OVER (PARTITION BY state, lifecycle, fraud_pattern) AS exact
   FROM (SELECT state, lifecycle, fraud_pattern, taxpayer_type, count(*) AS n FROM pindex GROUP BY ALL)
   JOIN targets USING (state, lifecycle, fraud_pattern) WHERE n_target > 0),
@@ -61,12 +67,15 @@ gone AS (SELECT state, person_id FROM (
     SELECT d.state, d.person_id, n_rows, rows, sum(n_rows) OVER (PARTITION BY d.state
       ORDER BY {digest(f"{V.SEED}-trim", "d.person_id")}, d.person_id) - n_rows AS removed_before
     FROM drawn d JOIN state_rows USING (state) WHERE fraud_pattern = 'clean')
-  WHERE rows > {TARGET} * 1.025 AND removed_before < rows - {TARGET} - 50),
+  WHERE rows > {target} * 1.025 AND removed_before < rows - {target} - 50),
 sample AS (SELECT * FROM panel p WHERE EXISTS (SELECT 1 FROM drawn d WHERE d.state = p.state
     AND d.person_id = p.person_id) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.state = p.state
     AND g.person_id = p.person_id))"""
 
 
+TARGETS, DRAWN = targets_sql(TARGET), drawn_sql(TARGET)
+
+
 def _index(spark, sf):
     return profile.person_index(Workspace.of(spark, sf).panel, ["state", "person_id"])
 
@@ -85,11 +94,19 @@ def q_drawn(spark, sf):
     return d.select("state", "person_id", "lifecycle", "fraud_pattern", "taxpayer_type")
 
 
-@add("w7_m7_trimmed_persons", "panel", "SELECT state, person_id FROM gone", DRAWN)
+TRIMMED = 100   # rows per state that whole states are trimmed to: all hold more
+
+
+@add("w7_m7_trimmed_persons", "panel", "SELECT state, person_id, n_rows FROM trimmed", index_sql(
+    "state, person_id") + f""",
+held AS (SELECT state, sum(n_rows) AS rows FROM pindex GROUP BY ALL),
+trimmed AS (SELECT state, person_id, n_rows FROM (
+    SELECT p.state, p.person_id, n_rows, rows, sum(n_rows) OVER (PARTITION BY p.state
+      ORDER BY {digest(f"{V.SEED}-trim", "p.person_id")}, p.person_id) - n_rows AS removed_before
+    FROM pindex p JOIN held USING (state) WHERE fraud_pattern = 'clean')
+  WHERE rows > {TRIMMED} * 1.025 AND removed_before < rows - {TRIMMED} - 50)""")
 def q_trim(spark, sf):
-    index = _index(spark, sf)
-    d = sampling.sampled_persons(index, sampling.cell_targets(index, TARGET))
-    return sampling.trim_persons(d, TARGET).select("state", "person_id")
+    return sampling.trim_persons(_index(spark, sf), TRIMMED).select("state", "person_id", "n_rows")
 
 
 @add("m6_m8_state_samples", "panel", f"SELECT state, person_id, tax_year, fraud_label, "
@@ -327,17 +344,28 @@ _SHOW = ["age", "first_year_filing", "has_schedule_c", "has_gig", "fraud_label",
 _TEXT = ["taxpayer_type", "employer_id", "filing_status", "sex", "fraud_type", "fraud_category"]
 _NUM = ["w2_wages", "federal_withheld", "gross_receipts", "rental_net", "crypto_proceeds",
         "foreign_income", "social_security_income", "gig_income", "agi"]
-# the rest of the canonical numbers: they decide which of two equal-ranked rows is kept
-_REST = [c for c in V.CANONICAL if c in PANEL_FLOATS + ["n_rental_units"] and c not in _NUM]
+_HELD = {*PANEL_TEXT, *PANEL_INTS, *PANEL_FLOATS}
+_VALUES = [c for c in V.CANONICAL if c not in ("person_id", "tax_year", "data_source")]
+
+
+def shown(cols, places=7):
+    """Columns of a twin, floating ones rounded."""
+    return ", ".join(r(c, c, places) if c in PANEL_FLOATS else c for c in cols)
+
+
+def whole(df, cols, places=7):
+    """The same columns on the Spark side."""
+    return rnd(df.select(*cols), **{c: places for c in cols if c in PANEL_FLOATS})
 
 
 def _source_sql(i, tag):
     missing = {"ctab_w2": ["crypto_proceeds", "crypto_cost_basis", "gig_income"],
                "timegan_evader": ["employer_id", "filing_status"]}.get(tag, [])
     cols = []
-    for c in _SHOW + _TEXT + _NUM + _REST:
-        none = c in missing or c in ("sex", "fbar_required")
-        kind = "BIGINT" if c in _SHOW else "VARCHAR" if c in _TEXT else "DOUBLE"
+    for c in _VALUES:
+        none = c in missing or c not in _HELD
+        kind = ("BIGINT" if c in V.CANONICAL_INT else
+                "VARCHAR" if c in V.CANONICAL_STRING else "DOUBLE")
         cols.append(f"CAST({'NULL' if none else c} AS {kind}) AS {c}")
     acc, arms, whole = 0, [], float(sum(V.TRAIN_YEAR_WEIGHTS.values()))
     for y, w in list(V.TRAIN_YEAR_WEIGHTS.items())[:-1]:
@@ -349,8 +377,7 @@ def _source_sql(i, tag):
                 "ELSE 2023 END) END")
     copies = "UNION ALL SELECT * FROM panel WHERE CAST(person_id AS BIGINT) % 6 = 0 AND CAST(person_id AS BIGINT) % 4 = 0" if tag == "real" else ""
     return f"""SELECT '{V.SOURCE_PREFIX[tag]}_' || person_id AS person_id, {year} AS tax_year,
-    '{tag}' AS data_source, {i} AS prio, CAST(zone AS BIGINT) AS zone, CAST(has_foreign_account AS BIGINT)
-    AS has_foreign_account, {", ".join(cols)}
+    '{tag}' AS data_source, {i} AS prio, {", ".join(cols)}
     FROM (SELECT *, {uniform(digest(f"42-{tag}", "person_id"))} AS u FROM (
       SELECT * FROM panel WHERE CAST(person_id AS BIGINT) % 6 = {i} {copies}))"""
 
@@ -372,12 +399,9 @@ def q_align(spark, sf):
 
 
 # the winner of equal source rank is the smallest row in canonical column order
-_ORDER = [c for c in V.CANONICAL if c not in ("person_id", "tax_year")]
-_KNOWN = {"zone", "has_foreign_account", *(_SHOW + _TEXT + _NUM + _REST)}
 BEST = ALIGNED + """,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id, tax_year ORDER BY prio,
-  """ + ", ".join(f"{c} NULLS FIRST" for c in _ORDER if c in _KNOWN and c not in (
-    "person_id", "tax_year")) + """) AS rn FROM aligned) WHERE rn = 1)"""
+  """ + ", ".join(f"{c} NULLS FIRST" for c in _VALUES) + """) AS rn FROM aligned) WHERE rn = 1)"""
 
 
 @add("w8_priority_dedup", "panel",
@@ -387,25 +411,34 @@ def q_dedup(spark, sf):
         "person_id", "tax_year", "data_source")
 
 
-POLICY = """
-policed AS (SELECT * REPLACE (
-  CASE WHEN taxpayer_type IN ('pure_se', 'w2_with_side_biz', 'business_owner', 'multi_biz_owner', 'gig_only')
-    THEN gross_receipts END AS gross_receipts,
-  CASE WHEN has_rental <> 0 OR has_rental IS NULL THEN rental_net END AS rental_net,
-  CASE WHEN has_crypto <> 0 THEN crypto_proceeds END AS crypto_proceeds,
-  CASE WHEN has_foreign_account <> 0 THEN foreign_income END AS foreign_income,
-  CASE WHEN age >= 62 OR age IS NULL THEN social_security_income END AS social_security_income,
-  CASE WHEN NOT (taxpayer_type IN ('pure_w2', 'w2_with_side_biz') AND coalesce(w2_wages, 0) = 0)
-    THEN w2_wages END AS w2_wages,
-  CASE WHEN NOT (taxpayer_type IN ('pure_w2', 'w2_with_side_biz') AND coalesce(w2_wages, 0) = 0)
-    THEN federal_withheld END AS federal_withheld) FROM {src})"""
-
-
-@add("p12_null_policy", "panel", f"""SELECT person_id, tax_year, {", ".join(r(c, c, 7) for c in _NUM)}
-  FROM policed""", POLICY.replace("{src}", "panel"))
+def policed(cols) -> str:
+    """Every column under the null policy."""
+    out = []
+    for c in cols:
+        x = c
+        if c in V.SE_COLUMNS:
+            x = f"CASE WHEN taxpayer_type IN ({quote(V.SE_INCOME_TYPES)}) THEN {x} END"
+        for switch, gated in V.NULL_WHEN_FLAG_OFF.items():
+            if c in gated:
+                x = f"CASE WHEN coalesce({switch} <> 0, TRUE) THEN {x} END"
+        if c == "social_security_income":
+            x = f"CASE WHEN coalesce(age >= 62, TRUE) THEN {x} END"
+        if c in V.WAGE_COLUMNS:
+            x = (f"CASE WHEN NOT coalesce(taxpayer_type IN ({quote(V.W2_TYPES)}) "
+                 f"AND coalesce(w2_wages, 0) = 0, FALSE) THEN {x} END")
+        if c in V.INT_FLAGS:
+            x = f"CAST(coalesce({x}, 0) AS BIGINT)"
+        out.append(f"{x} AS {c}")
+    return ", ".join(out)
+
+
+_PANEL = ["person_id", "tax_year", *PANEL_TEXT, *PANEL_INTS, *PANEL_FLOATS]
+
+
+@add("p12_null_policy", "panel", f"SELECT {shown(_PANEL)} FROM policed",
+     f"policed AS (SELECT {policed(_PANEL)} FROM panel)")
 def q_policy(spark, sf):
-    d = merge.null_policy(Workspace.of(spark, sf).panel).select("person_id", "tax_year", *_NUM)
-    return rnd(d, **dict.fromkeys(_NUM, 7))
+    return whole(merge.null_policy(Workspace.of(spark, sf).panel), _PANEL)
 
 
 @add("m16_merge_counts", "panel", f"""SELECT data_source, fraud_label, count(*) AS n_rows FROM (
@@ -424,6 +457,27 @@ def q_merge(spark, sf):
     return d.groupBy("data_source", "fraud_label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_MERGED = ["person_id", "tax_year", "data_source", *_VALUES]
+
+
+@add("m16_merged_rows", "panel", f"""SELECT {shown(_MERGED)} FROM (
+  SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (ORDER BY
+    {digest("42-1", "person_id", "tax_year")}) AS k FROM clean WHERE fraud_label = 1), want
+    WHERE k <= want_pos
+  UNION ALL BY NAME SELECT * EXCLUDE position FROM (SELECT *, row_number() OVER (ORDER BY
+    {digest("42-0", "person_id", "tax_year")}) - 1 AS position FROM clean WHERE fraud_label = 0)
+  JOIN (SELECT {drawn(digest("42-0-draw", "i"), "neg")} AS position
+    FROM want, range(n - want_pos) t(i)) USING (position))""", BEST + f""",
+policed AS (SELECT {policed(_MERGED)} FROM best),
+clean AS (SELECT * REPLACE (CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_type END AS fraud_type,
+  CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_category END AS fraud_category) FROM policed),
+want AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.12::DOUBLE, 0) AS BIGINT) AS want_pos,
+  (count(*) - sum(fraud_label))::BIGINT AS neg FROM clean)""")
+def q_merged(spark, sf):
+    parts = fixtures.sources(Workspace.of(spark, sf).panel)
+    return whole(merge.merge_sources(parts, 0.12, 0.01), _MERGED)
+
+
 @add("p15_fill_for_model", "panel", f"""SELECT person_id, tax_year, coalesce(employer_id,
   (SELECT employer_id FROM panel WHERE employer_id IS NOT NULL GROUP BY ALL
    ORDER BY count(*) DESC, employer_id LIMIT 1)) AS employer_id, coalesce(fraud_type, 'none') AS fraud_type,
@@ -433,28 +487,66 @@ def q_fill(spark, sf):
     return rnd(d, agi=5).select("person_id", "tax_year", "employer_id", "fraud_type", "agi", "age")
 
 
-@add("p16_repair_generated", "panel", f"""SELECT person_id, tax_year, {r("CASE WHEN agi IS NOT NULL THEN least(greatest(taxable_income, 0), greatest(agi, 0)) END", "taxable_income", 7)},
-  CASE WHEN effective_tax_rate IS NOT NULL THEN {r("least(greatest(effective_tax_rate, 0), 0.37)", "x")[:-5]} END AS effective_tax_rate,
-  CASE WHEN age IS NOT NULL THEN least(greatest(age, 18), 85) END AS age,
-  {r("CASE WHEN cogs IS NULL AND gross_receipts IS NULL THEN NULL ELSE least(cogs, gross_receipts) END", "cogs", 7)},
-  {r("greatest(gross_receipts - coalesce(least(cogs, gross_receipts), 0) - coalesce(te, 0), -200000) + CASE WHEN gross_receipts IS NULL THEN NULL ELSE 0 END", "net_se_income", 7)}
-  FROM (SELECT *, greatest(deduction_taken, 0) AS te FROM panel)""")
+# rows as a model may make them: below zero, beyond bounds, between labels
+_MADE = {"agi": "agi - 20000", "effective_tax_rate": "effective_tax_rate", "age": "age * 1.5 - 15",
+         "w2_wages": "w2_wages - 30000", "gross_receipts": "gross_receipts - 10000",
+         "cogs": "cogs * 9 - 500", "total_expenses": "deduction_taken - 14000",
+         "itemized_salt": "deduction_taken - 12500", "taxable_income": "taxable_income",
+         "fraud_label": "fraud_label * 1.6 - 0.2 + CAST(person_id AS BIGINT) % 3 * 0.3",
+         "total_tax_liability": "total_tax_liability - 5000", "net_se_income": "net_se_income",
+         "social_security_income": "social_security_income", "uses_itemized": "uses_itemized",
+         "fraud_type": "fraud_type", "fraud_category": "fraud_category"}
+_MODELS = ["w2", "se", "itemizers"]
+
+
+def _made_sql(c):
+    return f"CAST({_MADE[c]} AS DOUBLE) AS {c}" if c not in (
+        "fraud_type", "fraud_category", "uses_itemized") else c
+
+
+def _repaired(model):
+    cogs = f"least({clip('cogs', 0)}, {clip('gross_receipts', 0)})"
+    out = {"agi": clip("agi", 0), "taxable_income": f"least({clip('taxable_income', 0)}, {clip('agi', 0)})",
+           "effective_tax_rate": clip("effective_tax_rate", 0, 0.37),
+           "age": f"CAST(round_even({clip('age', 18, 85)}, 0) AS INT)",
+           "total_tax_liability": clip("total_tax_liability", 0),
+           "fraud_label": f"CAST(round_even({clip('fraud_label', 0, 1)}, 0) AS INT)"}
+    for c in ("fraud_type", "fraud_category"):
+        out[c] = f"CASE WHEN {out['fraud_label']} = 0 THEN 'none' ELSE {c} END"
+    if model == "w2":
+        out["w2_wages"] = clip("w2_wages", 0)
+        out["social_security_income"] = (
+            f"CASE WHEN coalesce({out['age']} >= 62, TRUE) THEN social_security_income END")
+    if model == "se":
+        out["gross_receipts"], out["total_expenses"] = clip("gross_receipts", 0), clip("total_expenses", 0)
+        out["cogs"] = cogs
+        net = f"{out['gross_receipts']} - coalesce({cogs}, 0) - coalesce({out['total_expenses']}, 0)"
+        out["net_se_income"] = clip(net, -200000)
+    if model == "itemizers":
+        out["itemized_salt"], out["uses_itemized"] = clip("itemized_salt", 0, 10000), "1"
+    text = ("age", "fraud_label", "fraud_type", "fraud_category", "uses_itemized")
+    cols = ", ".join(f"{out.get(c, c)} AS {c}" if c in text else
+                     r(out.get(c, c), c, 6 if c == "effective_tax_rate" else 5) for c in _MADE)
+    return f"SELECT '{model}' AS model, person_id, tax_year, {cols} FROM made"
+
+
+@add("p16_repair_generated", "panel", " UNION ALL ".join(map(_repaired, _MODELS)),
+     "made AS (SELECT person_id, tax_year, " + ", ".join(map(_made_sql, _MADE)) + " FROM panel)")
 def q_repair(spark, sf):
-    p = Workspace.of(spark, sf).panel.withColumn("total_expenses", C("deduction_taken"))
-    d = merge.repair_generated(p, "se")
-    return rnd(d, taxable_income=7, effective_tax_rate=6, cogs=7, net_se_income=7).select(
-        "person_id", "tax_year", "taxable_income", "effective_tax_rate", "age", "cogs",
-        "net_se_income")
-
-
-@add("p1_training_frame", "panel", "SELECT " + ", ".join(
-    (r(c, c, 7) if c in V.NUMERIC_FEATURES and c not in ("tax_year", "zone", "age", "entry_cohort",
-                                                          "n_rental_units") else c)
-    for c in ["tax_year", "zone", "age", "entry_cohort", "w2_wages", "federal_withheld", "agi",
-              "irs_risk_score", "has_gig", "filing_status", "taxpayer_type", "fraud_label"])
-    + " FROM panel")
+    made = Workspace.of(spark, sf).panel.select("person_id", "tax_year", *[
+        F.expr(_MADE[c]).cast("double").alias(c) if c not in (
+            "fraud_type", "fraud_category", "uses_itemized") else c for c in _MADE])
+    parts = [merge.repair_generated(made, m).withColumn("model", F.lit(m)) for m in _MODELS]
+    d = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    floats = [c for c in _MADE if c not in ("age", "fraud_label", "fraud_type", "fraud_category",
+                                            "uses_itemized", "effective_tax_rate")]
+    return rnd(d, **dict.fromkeys(floats, 5), effective_tax_rate=6).select(
+        "model", "person_id", "tax_year", *_MADE)
+
+
+_TRAINING = [c for c in V.FEATURES if c in _HELD or c == "tax_year"] + [V.TARGET]
+
+
+@add("p1_training_frame", "panel", f"SELECT {shown(_TRAINING)} FROM panel")
 def q_training(spark, sf):
-    d = merge.training_frame(Workspace.of(spark, sf).panel)
-    return rnd(d, w2_wages=7, federal_withheld=7, agi=7, irs_risk_score=7).select(
-        "tax_year", "zone", "age", "entry_cohort", "w2_wages", "federal_withheld", "agi",
-        "irs_risk_score", "has_gig", "filing_status", "taxpayer_type", "fraud_label")
+    return whole(merge.training_frame(Workspace.of(spark, sf).panel), _TRAINING)

@@ -6,7 +6,8 @@ import gc
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortscope.session import staging_root
 
@@ -23,6 +24,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the struct ``row``: apart from names that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` in the shared folder, read it back, and let go of its shuffle files.
 

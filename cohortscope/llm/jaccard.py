@@ -1,6 +1,7 @@
 """N-gram Jaccard join: links between documents whose shingle sets are similar.
 
-1. *Sets.*  Word shingles as 64-bit hashes.  Equal sets are one class from here on.  Shingles
+1. *Sets.*  Word shingles as 64-bit hashes.  Equal sets are one node from here on, named by a
+   64-bit hash of theirs; ids come back at the end.  Shingles
    that many documents of a chunk have are counted, and the most frequent come last in the
    order of all sets; any order gives the same links, this one gives short index lists.
 2. *Index.*  The prefix of each set that a similar one must meet.  Shingles of only one set
@@ -16,8 +17,8 @@
 5. *Components* of all links.
 
 Defined cases: texts without words (NULL, empty) have the empty set, 0 shingles and no link;
-fewer than five words are one shingle; texts are used whole; rows of equal doc_id are one
-node, linked by any of their texts, and keep their own n_shingles; rows without a doc_id get
+fewer than five words are one shingle; texts are used whole; rows of equal doc_id are linked
+by any of their texts, whatever these are, and keep their own n_shingles; rows without a doc_id get
 their n_shingles and no component; an empty table gives an empty one; other columns are not
 looked at.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import forget, settle, table
+from cohortscope.llm.common import forget, settle, table, whole_row
 from cohortscope.llm.components import components
 from cohortscope.llm.shared_keys import blocks, chunks, n_buckets, records, shared_keys
 
@@ -94,18 +95,23 @@ def prefix(size: int) -> int:
     return size - -(-PERCENT * size // 100) + 1
 
 
+def node_of(s: np.ndarray) -> int:
+    """The name of a set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _survey(batches):
     """A row per document, and rows of shingles that a chunk has often."""
-    names = ["doc", "n", "digest", "shingle", "often"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["doc", "n", "node", "shingle", "often"]
+    types = [pa.int64()] * 5
     for ids, texts in chunks(batches):
         sets = shingle_sets(texts)
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        nodes = [node_of(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, types[0]), pa.array([len(s) for s in sets], types[1]),
-             pa.array(digest, types[2]), pa.nulls(len(ids), types[3]),
+             pa.array(nodes, types[2]), pa.nulls(len(ids), types[3]),
              pa.nulls(len(ids), types[4])], names)
-        distinct = list({d: s for d, s in zip(digest, sets)}.values())
+        distinct = list(dict(zip(nodes, sets)).values())
         key, n = np.unique(np.concatenate(distinct), return_counts=True)
         key, n = key[n >= FREQUENT_IN_CHUNK], n[n >= FREQUENT_IN_CHUNK]
         yield pa.RecordBatch.from_arrays(
@@ -114,26 +120,26 @@ def _survey(batches):
 
 
 def _index(frequent: np.ndarray):
-    """Prefix records of a chunk's distinct sets: hash, document, size, position."""
-    def make(ids, texts):
-        keys, docs, sizes, places, seen = [], [], [], [], set()
-        for i, s in zip(ids, shingle_sets(texts)):
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            if not len(s) or digest in seen:
+    """Prefix records of a chunk's distinct sets: hash, set, size, position."""
+    def make(_, texts):
+        keys, nodes, sizes, places, seen = [], [], [], [], set()
+        for s in shingle_sets(texts):
+            node = node_of(s)
+            if not len(s) or node in seen:
                 continue
-            seen.add(digest)
+            seen.add(node)
             if len(frequent):
                 spot = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                 late = frequent[spot] == s
                 s = np.r_[s[~late], s[late]]
             k = prefix(len(s))
             keys.append(s[:k])
-            docs.append(np.full(k, i))
+            nodes.append(np.full(k, node))
             sizes.append(np.full(k, len(s)))
             places.append(np.arange(k))
         if not keys:
             return records([], [], [], [])
-        return records(*map(np.concatenate, (keys, docs, sizes, places)))
+        return records(*map(np.concatenate, (keys, nodes, sizes, places)))
     return make
 
 
@@ -143,22 +149,33 @@ def _sets(batches):
         edge = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()),
+            [pa.array(ids, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
              pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))],
-            ["doc", "set"])
+            ["doc", "node", "set"])
+
+
+def sets_of(rows: DataFrame, known: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node, set) of the given nodes, each once, written.
+
+    A set is read from the smallest document that has it.  A document of one row has no other
+    set; sets of documents of several rows are picked out and made distinct.
+    """
+    nodes = nodes.distinct().join(known.select("node", "doc", "rows"), "node")
+    listed = settle(nodes.groupBy("node").agg(F.min(F.struct("doc", "rows")).alias("m"))
+                    .select("node", "m.doc", "m.rows"), f"{name}-ids")
 
+    def read(which):
+        return rows.join(listed.filter(which).select("doc").distinct(), "doc", "left_semi").select(
+            "doc", "text").mapInArrow(_sets, "doc bigint, node bigint, set array<bigint>")
 
-def sets_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(doc, set) of the documents in ``ids``, written once."""
-    listed = settle(ids.distinct(), f"{name}-ids")
-    return settle(rows.join(listed, "doc", "left_semi").select("doc", "text").mapInArrow(
-        _sets, "doc bigint, set array<bigint>"), name)
+    several = read("rows > 1").join(listed, ["doc", "node"], "left_semi").dropDuplicates(["node"])
+    return settle(read("rows = 1").unionByName(several).select("node", "set"), name)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of the sets of every pair (x, y)."""
-    one = sets.select(F.col("doc").alias("x"), F.col("set").alias("of_x"))
-    two = sets.select(F.col("doc").alias("y"), F.col("set").alias("of_y"))
+    one = sets.select(F.col("node").alias("x"), F.col("set").alias("of_x"))
+    two = sets.select(F.col("node").alias("y"), F.col("set").alias("of_y"))
     both = F.size(F.array_intersect("of_x", "of_y")).cast("long")
     return pairs.join(one, "x").join(two, "y").select("x", "y", both.alias("both"))
 
@@ -176,10 +193,10 @@ def candidates(lists: DataFrame) -> DataFrame:
     """
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9)
     rows = lists.withColumn("block", block)
-    left = rows.select("key", "block", F.col("doc").alias("x"), F.col("n").alias("nx"),
+    left = rows.select("key", "block", F.col("node").alias("x"), F.col("n").alias("nx"),
                        F.col("place").alias("px"), F.col("component").alias("cx"))
     right = rows.select("key", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
-                        F.col("doc").alias("y"), F.col("n").alias("ny"),
+                        F.col("node").alias("y"), F.col("n").alias("ny"),
                         F.col("place").alias("py"), F.col("component").alias("cy"))
     room = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny"))
@@ -207,65 +224,76 @@ def _met(n, m):
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(surveyed documents, links): doc, n, digest of each; pairs (a, b) of linked ids.
+    """(surveyed documents, links): doc, n, node of each; pairs (a, b) of linked ids.
 
-    Links join classes of equal sets to their smallest document and hold, between different
+    Links join documents of equal sets to the smallest of them and hold, between different
     sets, enough links for the components: every link lies inside one of them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"),
                        F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     survey = settle(rows.mapInArrow(
-        _survey, "doc bigint, n bigint, digest binary, shingle bigint, often bigint"), "survey")
+        _survey, "doc bigint, n bigint, node bigint, shingle bigint, often bigint"), "survey")
     frequent = (survey.filter("shingle IS NOT NULL").groupBy("shingle")
                 .agg(F.sum("often").alias("often"))
                 .orderBy(F.desc("often"), "shingle").limit(MOST_FREQUENT).select("shingle"))
     often = np.sort(frequent.toArrow().column("shingle").to_numpy().view(np.uint64))
-    known = survey.filter("often IS NULL").select("doc", "n", "digest")
+    known = survey.filter("often IS NULL").select("doc", "n", "node")
     filled = known.filter("n > 0 AND doc IS NOT NULL")
-    first = settle(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias(
-        "high")).filter("rep < high").select("digest", "rep"), "classes")
-    member = filled.join(first, "digest").select("doc", "rep").filter("doc != rep").distinct()
+    several = settle(filled.groupBy("doc").agg(F.count("*").alias("rows"))
+                     .filter("rows > 1"), "several")
+    held = (filled.select("doc", "node").distinct().join(several, "doc", "left")
+            .withColumn("rows", F.coalesce("rows", F.lit(1))))
+    first = held.groupBy("node").agg(F.min("doc").alias("rep"), F.min(F.struct("doc", "rows"))
+                                     .alias("m"), F.max("doc").alias("top"))
+    first = settle(first.select("node", "rep", F.col("m.doc").alias("doc"),
+                                F.col("m.rows").alias("rows"), (F.col("top") > F.col("rep"))
+                                .alias("shared")), "classes")
+    equal = (held.select("doc", "node").join(first.filter("shared").select("node", "rep"), "node")
+             .filter("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
 
     found = shared_keys(rows.filter("doc IS NOT NULL"), _index(often), n_buckets(rows))
-    lists = found.select("key", F.col("id").alias("doc"), F.col("a").alias("n"),
-                         F.col("b").alias("place"))
-    lists = settle(lists.join(member, "doc", "left")
-                   .withColumn("doc", F.coalesce("rep", "doc")).drop("rep").distinct(), "lists")
+    lists = settle(found.select("key", F.col("id").alias("node"), F.col("a").alias("n"),
+                                F.col("b").alias("place")).distinct(), "lists")
 
-    head = lists.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"))
+    head = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"))
     x, y = F.col("nx"), F.col("ny")
     stars = (lists.join(head, "key").select(
-        F.col("doc").alias("x"), F.col("head.doc").alias("y"), F.col("n").alias("nx"),
+        F.col("node").alias("x"), F.col("head.node").alias("y"), F.col("n").alias("nx"),
         F.col("head.n").alias("ny"))
         .filter((F.col("x") != F.col("y")) & _near(x, y))
         .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("met"))
         .filter(HEADED * F.col("met") >= _met(x, y))
-        .groupBy("x", "nx").agg(F.max(F.struct("met", (-F.col("y")).alias("low"), "ny")).alias("best"))
-        .select("x", (-F.col("best.low")).alias("y"), "nx", "best.ny"))
+        .groupBy("x", "nx").agg(F.min(F.struct((-F.col("met")).alias("met"), "y", "ny")).alias("best"))
+        .select("x", "best.y", "nx", "best.ny"))
     stars = settle(stars, "stars")
-    sets = sets_of(rows, stars.select(F.explode(F.array("x", "y")).alias("doc")), "sets")
+    sets = sets_of(rows, first, stars.select(F.explode(F.array("x", "y")).alias("node")), "sets")
     linked = settle(overlaps(stars, sets).join(stars, ["x", "y"])
                     .filter(F.col("both") >= _needed(x, y)), "near")
     forget(stars, sets)
-    equal = member.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     near = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    part = components(near)
-    placed = (lists.join(part, lists["doc"] == part["node"], "left")
-              .withColumn("component", F.coalesce("component", "doc")).drop("node"))
+    part = components(near).withColumnRenamed("node", "in")
+    placed = (lists.join(part, lists["node"] == part["in"], "left")
+              .withColumn("component", F.coalesce("component", "node")).drop("in"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"),
                                       F.max("component").alias("high")).filter("low != high")
     open_ = settle(placed.join(mixed.select("key"), "key", "left_semi"), "open")
     forget(lists)
     pairs = settle(candidates(open_), "candidates")
     forget(open_)
-    more = _answers(rows, pairs, linked)
-    found = settle(equal.unionByName(near).unionByName(more), "found")
+    more = _answers(rows, first, pairs, linked)
+    rep = first.select("node", "rep")
+    named = near.unionByName(more)
+    for side in ("a", "b"):
+        named = named.join(rep, named[side] == rep["node"]).drop("node", side).withColumnRenamed(
+            "rep", side)
+    found = settle(equal.unionByName(named), "found")
     forget(more, pairs, linked)
     return known, found
 
 
-def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
+def _answers(docs: DataFrame, known: DataFrame, pairs: DataFrame,
+             linked: DataFrame) -> DataFrame:
     """Links among candidates (x, y, nx, ny), from the answers of their leaders."""
     best = linked.select("x", F.struct("y", "both", "ny").alias("l"))
 
@@ -279,14 +307,14 @@ def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
         }).drop(f"l{of}")
 
     rows = led_ = settle(led(led(pairs, "x"), "y"), "led")
-    sets = sets_of(docs, rows.select(F.explode(F.array("x", "y", "lead_x", "lead_y"))
-                                     .alias("doc")), "candidate-sets")
+    sets = sets_of(docs, known, rows.select(F.explode(F.array("x", "y", "lead_x", "lead_y"))
+                                            .alias("node")), "candidate-sets")
     lead = rows.select(F.col("lead_x").alias("x"), F.col("lead_y").alias("y")).filter(
         "x != y").distinct()
-    known = overlaps(lead, sets).select(
+    leads = overlaps(lead, sets).select(
         F.col("x").alias("lead_x"), F.col("y").alias("lead_y"), "both")
     need = _needed(F.col("nx"), F.col("ny"))
-    rows = rows.join(known, ["lead_x", "lead_y"])
+    rows = rows.join(leads, ["lead_x", "lead_y"])
     high = F.col("both") + F.col("new_x") + F.col("new_y")
     low = F.col("both") - F.col("gone_x") - F.col("gone_y")
     rows = settle(rows.filter(high >= need).withColumn("sure", low >= need), "bounded")
@@ -316,14 +344,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with equal doc_id the first by text, then by the other columns, stays; rows
     without a doc_id stay all.
     """
-    first = settle(near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-                   .distinct(), "first")
-    order = [F.col(f"`{c}`") for c in ["text", *docs.columns]]
-    mine = Window.partitionBy("doc_id").orderBy(*order)
-    held = (docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(mine))
-            .filter("_n = 1").drop("_n"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return held.select(*cols).unionByName(docs.filter("doc_id IS NULL"))
+    first = settle(near_duplicates(docs).filter("doc_id = component_id")
+                   .select(F.col("doc_id").alias("id")).distinct(), "first")
+    mine = Window.partitionBy("id").orderBy(*[F.col(f"row.`{c}`") for c in ["text", *docs.columns]])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_row(docs))
+    held = (rows.join(first, "id", "left_semi").withColumn("place", F.row_number().over(mine))
+            .filter("place = 1"))
+    return held.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

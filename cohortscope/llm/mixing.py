@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import SPACE, settle, table
+from cohortscope.llm.common import SPACE, settle, table, whole_row
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -57,35 +57,37 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add size, source_size, target and copies to every document.
+    """Per document: doc_id, size, source_size, target, copies, and the whole row as ``row``.
 
+    The given row travels as one struct, so that no column of it meets a name used here.
     Only the table of targets, one row per source, meets all documents; it is written
     first, so that Spark knows its size and joins it by that.
     """
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    aims = settle(targets(sums), "mix-targets").withColumnRenamed("source", "_source")
+    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"),
+                        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"),
+                        whole_row(docs))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = settle(targets(sums), "mix-targets").withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-             F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return (sized.join(aims, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("_rate", rate).withColumn("_copies", (
-                F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-            ).cast("long")))
+    u = draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest"))
+    return (sized.join(aims, F.col("source").eqNullSafe(F.col("of")))
+            .withColumn("rate", rate).select(
+                "doc_id", "size", "source_size", "target", (
+                    F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+                ).cast("long").alias("copies"), "row"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as many times as it is taken."""
-    out = plan(docs, seed).withColumn("_copy", F.explode(F.expr(
-        "IF(_copies > 0, sequence(1L, _copies), array())")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = plan(docs, seed).select("row", F.explode(F.expr(
+        "IF(copies > 0, sequence(1L, copies), array())")).alias("copy"))
+    return out.select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(docs).select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * F.col("_copies")).alias("taken"))
+    return plan(docs).select("doc_id", "size", "source_size", "target",
+                             (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = f"""

@@ -107,16 +107,8 @@ class Vocabulary:
             found.append(_mix(h)[0])
         order = np.argsort(np.array(found, np.uint64))
         self.hashes, self.ids = np.array(found, np.uint64)[order], np.array(ids)[order]
-        self.held: dict[str, np.ndarray] = {}
         self.piece_bits, self.prefix_bits = self._bits(found), self._bits(prefixes)
 
-    def scratch(self, name: str, n: int, kind) -> np.ndarray:
-        """Rows of an array that batches use one after another: new memory costs more."""
-        held = self.held.get(name)
-        if held is None or len(held) < n:
-            held = self.held[name] = np.empty((n + n // 4, self.longest), kind)
-        return held[:n]
-
     @staticmethod
     def _bits(hashes: list) -> np.ndarray:
         """Which leading 20 bits occur; what is not among them need not be looked up."""
@@ -150,10 +142,12 @@ def vocabulary(model: bytes, alpha: float) -> Vocabulary:
 
 
 class Lattices:
-    """Lattices of distinct units: a row per node, a column per size of the arc into it.
+    """Lattices of distinct units: nodes of a unit follow each other, arcs are listed.
 
-    Nodes of a unit follow each other.  ``share`` is the arc's share of the weight of all
-    ways to the node, ``piece`` its id or, for bytes, minus one minus the code point.
+    Arcs into a node follow each other by size, nodes by depth, so that one pass over the
+    list, depth by depth, sums the weights of all ways.  ``share`` is an arc's share of the
+    weight of all ways to its node, ``piece`` its id or, for bytes, minus one minus the code
+    point, ``begin`` and ``into`` its nodes.
     """
 
     def __init__(self, units: list[str], v: Vocabulary):
@@ -162,15 +156,13 @@ class Lattices:
         owner = np.repeat(np.arange(len(units)), sizes)
         self.first = np.cumsum(sizes + 1) - sizes - 1           # node where a unit begins
         self.last = self.first + sizes
-        n, self.width = int(sizes.sum()) + len(units), v.longest
+        n = int(sizes.sum()) + len(units)
         node = np.arange(len(codes)) + owner                    # node before a character
         left = self.last[owner] - node                          # characters from it on
-        self.share = v.scratch("share", n, np.float64)          # weights, to begin with
-        self.share.fill(0)
-        self.piece = v.scratch("piece", n, np.int32)
         mixed = _mix(codes.astype(np.uint64) + _P2)
         at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        for size in range(1, self.width + 1):
+        found_arcs = []                                         # (into, size, weight, piece)
+        for size in range(1, v.longest + 1):
             ok = left[at] >= size
             at, h = at[ok], h[ok]
             if not len(at):
@@ -181,57 +173,81 @@ class Lattices:
                 ok = v.prefix_bits[key >> np.uint64(44)]
                 at, h, key = at[ok], h[ok], key[ok]
             found = v.find(key)
-            hit = found >= 0
-            into = node[at[hit]] + size
-            self.share[into, size - 1] = v.factor[found[hit]] * SCALE ** size
-            self.piece[into, size - 1] = found[hit]
-            if size == 1 and not hit.all():
-                miss = codes[at[~hit]].astype(np.int64)
+            hit = np.flatnonzero(found >= 0)
+            ids = found[hit]
+            found_arcs.append((node[at[hit]] + size, size, v.factor[ids] * SCALE ** size, ids))
+            if size == 1 and len(hit) < len(at):
+                at_miss = at[found < 0]
+                miss = codes[at_miss].astype(np.int64)
                 n_bytes = 1 + (miss > 0x7F) + (miss > 0x7FF) + (miss > 0xFFFF)
-                into = node[at[~hit]] + 1
-                self.share[into, 0] = np.exp(v.byte_weight * n_bytes) * SCALE
-                self.piece[into, 0] = -1 - miss
-        self.alone = (self.share > 0).sum(1) == 1
-        self.reach = v.scratch("reach", n, np.float32)          # filled up to the last arc
+                found_arcs.append((node[at_miss] + 1, 1, np.exp(v.byte_weight * n_bytes) * SCALE,
+                                   -1 - miss))
+        self._list(found_arcs, n, sizes)
+
+    def _list(self, found, n: int, sizes: np.ndarray) -> None:
         depth = np.arange(n) - np.repeat(self.first, sizes + 1)
         long = np.repeat(sizes > LONG, sizes + 1)
-        self._forward(np.flatnonzero(~long), depth[~long], n, False)
-        self._forward(np.flatnonzero(long), depth[long], n, True)
-
-    def _forward(self, nodes: np.ndarray, depth: np.ndarray, n: int, logs: bool) -> None:
-        """Turn weights into shares, nodes of one depth at a time; in logs for long units."""
-        if not len(nodes):
-            return
-        total = np.zeros(n) if logs else np.ones(n)
-        kind = np.int16 if depth.max() < 2 ** 15 else np.int32
-        order = nodes[np.argsort(depth.astype(kind), kind="stable")]
-        cuts = np.cumsum(np.bincount(depth))
-        for d in range(1, len(cuts)):
-            at = order[cuts[d - 1]:cuts[d]]
-            k = min(d, self.width)
-            x, before = self.share[at, :k], total[at[:, None] - np.arange(1, k + 1)]
-            if logs:
-                with np.errstate(divide="ignore"):
-                    x = np.log(x) + before
-                top = x.max(1, keepdims=True)
-                x = np.exp(x - top)
-            else:
-                x *= before
-            whole = x.sum(1, keepdims=True)
-            total[at] = (top + np.log(whole) if logs else whole)[:, 0]
-            x /= whole
-            self.share[at, :k] = x
-            reach = np.cumsum(x, 1)
-            reach[reach > 1 - 1e-7] = 2.0                       # the last arc takes the rest
-            self.reach[at, :k] = reach
+        kind = np.int16 if depth.max(initial=0) < 2 ** 14 else np.int32
+        # nodes of short units, by depth, then those of long ones
+        order = np.argsort((depth + long * (LONG + 1)).astype(kind), kind="stable")
+        self.count = np.zeros(n, np.int32)
+        for into, *_ in found:
+            self.count[into] += 1                               # at most one arc of a size
+        upto = np.cumsum(self.count[order])
+        self.start = np.empty(n, np.int64)
+        self.start[order] = upto - self.count[order]
+        total = int(upto[-1]) if n else 0
+        self.share, self.piece = np.empty(total), np.empty(total, np.int32)
+        self.into, self.begin = np.empty(total, np.int32), np.empty(total, np.int32)
+        filled = np.zeros(n, np.int32)
+        for into, size, weight, piece in found:
+            slot = self.start[into] + filled[into]
+            filled[into] += 1
+            self.share[slot], self.piece[slot] = weight, piece
+            self.into[slot], self.begin[slot] = into, into - size
+        self.reach = np.empty(total, np.float32)
+        key = (depth + long * (LONG + 1))[order]
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if n else [0]
+        whole = np.ones(n)                                      # weight of all ways to a node
+        whole[long] = 0.0                                       # in logs, for long units
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            nodes = order[low:high]
+            nodes = nodes[self.count[nodes] > 0]
+            if len(nodes):
+                self._depth(nodes, whole, bool(long[nodes[0]]))
+
+    def _depth(self, nodes: np.ndarray, whole: np.ndarray, logs: bool) -> None:
+        """Shares of the arcs into nodes of one depth."""
+        count = self.count[nodes]
+        low = self.start[nodes]
+        arcs = slice(int(low[0]), int(low[-1] + count[-1]))
+        edge = low - low[0]
+        x = self.share[arcs]
+        if logs:
+            x = np.log(x) + whole[self.begin[arcs]]
+            top = np.maximum.reduceat(x, edge)
+            x = np.exp(x - np.repeat(top, count))
+            total = np.add.reduceat(x, edge)
+            whole[nodes] = top + np.log(total)
+        else:
+            x = x * whole[self.begin[arcs]]
+            total = np.add.reduceat(x, edge)
+            whole[nodes] = total
+        x = x / np.repeat(total, count)
+        self.share[arcs] = x
+        upto = np.cumsum(x)
+        reach = upto - np.repeat(upto[edge] - x[edge], count)
+        reach[edge + count - 1] = 2.0                           # the last arc takes the rest
+        self.reach[arcs] = reach
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Arc into each node by its share; arcs are numbered row by row."""
-        return node * self.width + (self.reach[node] > u[:, None]).argmax(1)
-
-    def begin(self, arc):
-        """The node that an arc comes from."""
-        return arc // self.width - arc % self.width - 1
+        """Arc into each node by its share."""
+        arc = self.start[node]
+        open_ = np.flatnonzero(self.reach[arc] <= u)
+        while len(open_):
+            arc[open_] += 1
+            open_ = open_[self.reach[arc[open_]] <= u[open_]]
+        return arc
 
 
 class Search:
@@ -264,7 +280,7 @@ class Search:
             u = uniform(self.seed[self.doc[units]], sample, self.place[units], step)
             arc = lat.choose(node, u)
             out.append((units, step, arc))
-            node, step = lat.begin(arc), step + 1
+            node, step = lat.begin[arc], step + 1
             go = node > first
             units, node, step, first = units[go], node[go], step[go], first[go]
         if not out:
@@ -288,7 +304,7 @@ class Search:
         order[spot] = np.arange(len(unit))
         unit, step, arc = unit[order], step[order], arc[order]
         doc = self.doc[unit]
-        log_p = np.log(lat.share.ravel()[arc])
+        log_p = np.log(lat.share[arc])
         edge = np.searchsorted(doc, np.arange(self.n + 1))
         run = np.r_[0.0, np.cumsum(log_p)]
         before = run[:-1] - run[edge[doc]]
@@ -305,7 +321,7 @@ class Search:
                 best = np.partition(wanted, EARLY - 1 - k, axis=1)[:, EARLY - 1 - k]
                 some = (inside >= EARLY) & ~old & (before + DRAW_LIMIT >= best[doc])
             some = np.flatnonzero(some)
-            others = np.where(lat.alone[arc[some] // lat.width], 0.0,
+            others = np.where(lat.count[lat.into[arc[some]]] == 1, 0.0,
                               -np.expm1(np.minimum(log_p[some], 0.0)))
             with np.errstate(divide="ignore"):
                 rest = before[some] + np.log(others)
@@ -326,7 +342,7 @@ class Search:
         ends = lat.last[self.unit] if len(self.unit) else zero
         paths = [self.path([self.walk(everything, ends, 0, zero)], 0, top, k)]
         tops, alive = [top], [np.ones(self.n, bool)]
-        taken: dict[tuple[int, int], list[int]] = {}
+        taken = np.zeros(0, np.int64)
         for sample in range(1, k + 1):
             best, where, which = self._best(paths)
             if sample == k:
@@ -335,18 +351,13 @@ class Search:
             mask = np.zeros(self.n, bool)
             mask[docs] = True
             at, of = np.full(self.n, -1), np.full(self.n, -1)
-            head, old = [], []
-            for d in docs:
-                p, i = paths[which[d]], where[d]
-                at[d], of[d] = p["unit"][i], p["step"][i]
-                old.append((which[d], p["edge"][d], i))
-                head.append(self._open(p, which[d], i, d, taken, best[d], sample))
+            new, taken = self._open(paths, docs, where, which, taken, best, sample, at, of)
+            old = [(which[d], paths[which[d]]["edge"][d], where[d]) for d in docs]
             parts = [self._before(paths, old)]
-            new = np.array(head, np.int64)
             parts.append((at[docs], of[docs], new))
-            go = docs[lat.begin(new) > lat.first[self.unit[at[docs]]]] if len(docs) else docs
+            go = docs[lat.begin[new] > lat.first[self.unit[at[docs]]]] if len(docs) else docs
             begin = np.zeros(self.n, np.int64)
-            begin[docs] = lat.begin(new)
+            begin[docs] = lat.begin[new]
             parts.append(self.walk(at[go], begin[go], sample, of[go] + 1))
             later = everything[mask[self.doc] & (everything > at[self.doc])]
             parts.append(self.walk(later, lat.last[self.unit[later]], sample,
@@ -360,36 +371,58 @@ class Search:
         best = np.full(self.n, -np.inf)
         where, which = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         for k, p in enumerate(paths):
-            filled = np.flatnonzero(p["edge"][1:] > p["edge"][:-1])
+            size = np.diff(p["edge"])
+            filled = np.flatnonzero(size)
             if not len(filled):
                 continue
             high = np.maximum.reduceat(p["score"], p["edge"][filled])
+            spot = np.flatnonzero(p["score"] == np.repeat(high, size[filled]))
+            first = spot[np.searchsorted(spot, p["edge"][filled])]
             up = high > best[filled]
-            for d, s in zip(filled[up], high[up]):
-                a, b = p["edge"][d], p["edge"][d + 1]
-                best[d], where[d], which[d] = s, a + int(p["score"][a:b].argmax()), k
+            of = filled[up]
+            best[of], where[of], which[of] = high[up], first[up], k
         return best, where, which
 
-    def _open(self, p, which, i, d, taken, top, sample) -> int:
-        """Choose among the arcs not yet taken at a step; the others stay open."""
-        lat, arc = self.lattice, int(p["arc"][i])
-        gone = taken.setdefault((which, i), [arc])
-        low = arc - arc % lat.width
-        row = lat.share[arc // lat.width]
-        left = [low + k for k in np.flatnonzero(row > 0).tolist() if low + k not in gone]
-        share = row[np.array(left, int) - low]
-        key = self.seed[d:d + 1]
-        place, step = self.place[p["unit"][i]], p["step"][i]
-        u = uniform(key, sample + 2000, place, step)[0] * share.sum()
-        pick = min(int(np.searchsorted(np.cumsum(share), u)), len(left) - 1)
-        gone.append(left[pick])
-        rest = share.sum() - share[pick] if len(left) > 1 else 0.0
-        p["score"][i] = -np.inf
-        if rest > 0:
-            u = uniform(key, sample + 3000, place, step)
-            p["score"][i] = truncated_gumbel(
-                np.array([p["before"][i] + np.log(rest)]), np.array([top]), u)[0]
-        return left[pick]
+    def _open(self, paths, docs, where, which, taken, best, sample, at, of):
+        """Choose, per document, among the arcs not yet taken at its step, which then passes
+        the others by; notes the steps in ``at`` and ``of`` and returns the arcs, and those
+        taken so far as numbers of path, step and arc."""
+        lat = self.lattice
+        arc, before = np.zeros(len(docs), np.int64), np.zeros(len(docs))
+        for k, p in enumerate(paths):
+            mine = np.flatnonzero(which[docs] == k)
+            step = where[docs[mine]]
+            arc[mine], before[mine] = p["arc"][step], p["before"][step]
+            at[docs[mine]], of[docs[mine]] = p["unit"][step], p["step"][step]
+        if not len(docs):
+            return arc, taken
+        node = lat.into[arc]
+        number = (which[docs] << 44 | where[docs]) << 8         # a node has fewer arcs
+        taken = np.union1d(taken, number | (arc - lat.start[node]))
+        count = lat.count[node].astype(np.int64)
+        doc = np.repeat(np.arange(len(docs)), count)
+        local = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        free = ~np.isin(number[doc] | local, taken)
+        doc, local = doc[free], local[free]
+        arcs = lat.start[node[doc]] + local
+        left = np.bincount(doc, minlength=len(docs))            # never none: the score was open
+        edge = np.cumsum(left) - left
+        share = lat.share[arcs]
+        upto = np.cumsum(share)
+        upto -= np.repeat(upto[edge] - share[edge], left)
+        total = upto[edge + left - 1]
+        place = self.place[at[docs]]
+        u = uniform(self.seed[docs], sample + 2000, place, of[docs]) * total
+        pick = np.minimum(np.bincount(doc, upto < np.repeat(u, left), len(docs)).astype(np.int64),
+                          left - 1) + edge
+        rest = np.where(left > 1, np.maximum(total - share[pick], 0.0), 0.0)
+        u = uniform(self.seed[docs], sample + 3000, place, of[docs])
+        with np.errstate(divide="ignore"):
+            score = truncated_gumbel(before + np.log(rest), best[docs], u)
+        for k, p in enumerate(paths):
+            mine = np.flatnonzero(which[docs] == k)
+            p["score"][where[docs[mine]]] = score[mine]
+        return arcs[pick], np.union1d(taken, number | local[pick])
 
     @staticmethod
     def _before(paths, old):
@@ -405,7 +438,7 @@ class Search:
         size = np.bincount(unit, minlength=len(self.unit))
         low = np.cumsum(size) - size
         # a unit's steps run from its end to its begin: turn each unit's steps round
-        piece = self.lattice.piece.ravel()[p["arc"][low[unit] + size[unit] - 1 - p["step"]]]
+        piece = self.lattice.piece[p["arc"][low[unit] + size[unit] - 1 - p["step"]]]
         edge = p["edge"]
         low = np.flatnonzero(piece < 0)
         if not len(low):

@@ -1,9 +1,9 @@
 """Personal data: regular expressions propose, checksums confirm, context adjusts.
 
-Base kinds (email, ip, card, phone) follow fixed patterns and are always reported.  The
-method adds bank accounts (``iban``, mod-97), social security numbers (``ssn``) and phone
-numbers without a plus sign (``tel``): every proposal has a score, a passed checksum raises
-it, words nearby raise or lower it, and proposals from ``ACCEPT`` on are reported.
+Every proposal has a score: a passed checksum (Luhn, mod-97) or range raises it, words on
+either side raise or lower it.  Base kinds (email, ip, card, phone) follow fixed patterns and
+are always reported, with their scores.  The method adds bank accounts (``iban``), social
+security numbers (``ssn``) and phone numbers without a plus sign (``tel``) from ``ACCEPT`` on.
 
 Every pattern needs linear time: runs are possessive and start where a run starts, and
 addresses grow from their ``@``.
@@ -27,21 +27,34 @@ from cohortscope.llm.common import table
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel")
 BASE = KINDS[:4]
 ACCEPT = 0.6
-NEAR = 48                   # code points before a span that are searched for context words
-PROPOSED = {"iban": 0.2, "ssn": 0.3, "tel": 0.3}
-CONFIRMED = {"iban": 0.6}
+NEAR = 48                   # code points before and behind a span searched for context words
+PROPOSED = {"email": 0.8, "ip": 0.4, "card": 0.2, "phone": 0.5, "iban": 0.2, "ssn": 0.3, "tel": 0.3}
+CONFIRMED = {"ip": 0.1, "card": 0.5, "phone": 0.1, "iban": 0.6}     # by checksum or range
+RAISED, LOWERED = 0.4, 0.3
 CONTEXT = {
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security", "taxpayer"),
-    "tel": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono", "teléfono"),
+    "email": ("mail", "email", "contact", "write", "kontakt", "correo", "courriel"),
+    "ip": ("ip", "host", "server", "address", "ping", "adresse", "servidor", "serveur"),
+    "card": ("card", "visa", "mastercard", "credit", "debit", "payment", "karte", "kreditkarte",
+             "tarjeta", "carte"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "telefon", "handy", "anrufen",
+              "telefono", "teléfono", "llamar", "téléphone", "appeler"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "überweisung", "compte", "virement",
+             "cuenta", "transferencia"),
+    "ssn": ("ssn", "social", "security", "taxpayer", "identification"),
+    "tel": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "telefon", "handy", "anrufen",
+            "telefono", "teléfono", "llamar", "téléphone", "appeler"),
 }
-AGAINST = ("order", "invoice", "isbn", "serial", "version", "part")
-#: Characters of a bank account number, by country.
-SIZES = {c: int(n) for n, cs in (x.split(":") for x in (
-    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
-    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
-    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
-    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+AGAINST = ("order", "invoice", "isbn", "serial", "version", "part", "bestellung", "rechnung",
+           "commande", "facture", "pedido", "factura")
+#: Characters of a bank account number, and the countries that use so many (fixed values).
+COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+SIZES = {country: size for size, named in COUNTRIES.items() for country in named.split()}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,31 +114,33 @@ def accounts(text: str) -> Iterator[tuple[int, int]]:
 
 
 def base_spans(text: str) -> list[Span]:
-    """Spans of the fixed patterns: leftmost, not overlapping within a kind."""
-    out = [(a, b, "email", 1.0) for a, b in emails(text)] if "@" in text else []
-    if not _DIGIT.search(text):
-        return out
-    for m in _IP.finditer(text):
-        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255
-               for part in m.group().split(".")):
-            out.append((*m.span(), "ip", 1.0))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 14:
-            digits = m.group().replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                out.append((*m.span(), "card", 1.0))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 10 <= len(_DIGIT.findall(m.group())) <= 15:
-                out.append((*m.span(), "phone", 1.0))
-    return out
-
-
-def score(kind: str, text: str, start: int, confirmed: bool) -> float:
+    """Spans of the fixed patterns: leftmost, not overlapping within a kind.  All are kept,
+    whatever their score."""
+    out = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255
+                   for part in m.group().split(".")):
+                out.append((*m.span(), "ip"))
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 14:
+                digits = m.group().replace(" ", "").replace("-", "")
+                if 14 <= len(digits) <= 19 and luhn(digits):
+                    out.append((*m.span(), "card"))
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                if 10 <= len(_DIGIT.findall(m.group())) <= 15:
+                    out.append((*m.span(), "phone"))
+    return [(a, b, kind, score(kind, text, a, b)) for a, b, kind in out]
+
+
+def score(kind: str, text: str, start: int, end: int) -> float:
+    """Of a span whose checksum, if it has one, has passed: words on either side adjust it."""
     words = set(_WORD.findall(text[max(0, start - NEAR):start].lower()))
-    value = PROPOSED[kind] + (CONFIRMED.get(kind, 0.0) if confirmed else 0.0)
-    value += 0.4 if words.intersection(CONTEXT[kind]) else 0.0
-    return round(min(1.0, value - (0.3 if words.intersection(AGAINST) else 0.0)), 3)
+    words.update(_WORD.findall(text[end:end + NEAR].lower()))
+    value = PROPOSED[kind] + CONFIRMED.get(kind, 0.0)
+    value += RAISED if words.intersection(CONTEXT[kind]) else 0.0
+    return round(max(0.0, min(1.0, value - (LOWERED if words.intersection(AGAINST) else 0.0))), 3)
 
 
 def added_spans(text: str) -> list[Span]:
@@ -137,7 +152,7 @@ def added_spans(text: str) -> list[Span]:
                         ("ssn", (m.span() for m in _SSN.finditer(text))),
                         ("tel", (m.span() for m in _TEL.finditer(text)))):
         for a, b in found:
-            value = score(kind, text, a, kind == "iban")
+            value = score(kind, text, a, b)
             if value >= ACCEPT:
                 out.append((a, b, kind, value))
     return out

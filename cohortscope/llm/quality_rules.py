@@ -1,9 +1,13 @@
 """Quality rules: repetition by suffix array, and counts of words, symbols and lines.
 
-Per text, a suffix array over its words with the lengths that neighbours share gives the
-maximal repeated substrings; the union of their spans and the longest of them are limited.
-
-Defined cases: NULL is an empty text, which has no words and fails; texts are used whole;
+Per text, a suffix array over its words with the lengths that neighbours share gives
+common-prefix intervals; those whose occurrences differ on the left are the maximal repeated
+substrings, of ``WINDOW`` words and more; the union of their spans and the longest of them are
+limited.
+
+Defined cases: NULL is an empty text, which has no words and fails; texts are used whole, and
+one text's suffix array, about 100 bytes a word and 4 more for each doubling of its longest
+repeat, has to fit a worker;
 repeated rows get the same verdict, each its own row; an empty table gives an empty one;
 other columns are not looked at.
 """
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.llm.common import WORD, table
-from cohortscope.llm.suffixes import covered, longest_repeat, suffix_array
+from cohortscope.llm.suffixes import covered, maximal_repeats, suffix_array
 
 MIN_WORDS = 10
 WINDOW = 5                  # words of a window that counts as repeated
@@ -52,12 +56,13 @@ def repetition(docs: list[list[str]]) -> np.ndarray:
     ids: dict[str, int] = {}
     tokens = np.fromiter((ids.setdefault(w, len(ids)) for d in docs for w in d), np.int64, n)
     owner = np.repeat(np.arange(len(docs)), sizes)
-    longest = longest_repeat(*suffix_array(tokens, owner))
-    for col, (least, width) in enumerate(((WINDOW, WINDOW), (REPEAT_WORDS, None))):
+    # words in repeated windows are those of maximal repeats at least a window long
+    order, common = suffix_array(tokens, owner)
+    longest = maximal_repeats(tokens, owner, order, common, WINDOW)
+    for col, least in enumerate((WINDOW, REPEAT_WORDS)):
         at = np.flatnonzero(longest >= least)
-        spans = np.full(len(at), width) if width else longest[at]
-        out[:, col] = np.bincount(owner[covered(at, spans, n)], minlength=len(docs))
-    np.maximum.at(out[:, 2], owner, longest)
+        out[:, col] = np.bincount(owner[covered(at, longest[at], n)], minlength=len(docs))
+    np.maximum.at(out[:, 2], owner[order], common)      # of any length
     return out
 
 

@@ -64,11 +64,63 @@ def _common(order, levels, end, n):
     return common
 
 
-def longest_repeat(order: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """For each position, the longest prefix of its suffix that starts elsewhere too."""
+def intervals(common: np.ndarray, least: int):
+    """Common-prefix intervals of at least ``least``, by a stack scan.
+
+    Returns lengths, first and last places in suffix order, parents (-1: none), and for each
+    place the interval whose length it shares with the one before (-1: below ``least``).
+    """
+    length, first, last, parent = [], [], [], []
+    owner = np.full(len(common), -1)
+    stack: list[int] = []
+    places = np.flatnonzero(common >= least)
+
+    def close(upto: int, place: int) -> int:
+        """Pop the intervals longer than ``upto``; the first place of the last one."""
+        low = place - 1
+        while stack and length[stack[-1]] > upto:
+            low_id = stack.pop()
+            last[low_id], low = place - 1, first[low_id]
+            # hangs on the next longer one: what stays below, or what will be opened here
+            parent[low_id] = (stack[-1] if stack and length[stack[-1]] >= upto
+                              else len(length) if upto >= least else -1)
+        return low
+
+    before = -2
+    for place, shared in zip(places.tolist(), common[places].tolist()):
+        if place != before + 1:
+            close(0, before + 1)
+        low = close(shared, place)
+        if not stack or length[stack[-1]] < shared:
+            stack.append(len(length))
+            length.append(shared), first.append(low), last.append(-1), parent.append(
+                stack[-2] if len(stack) > 1 else -1)
+        owner[place] = stack[-1]
+        before = place
+    close(0, before + 1)
+    return (*[np.array(x, np.int64) for x in (length, first, last, parent)], owner)
+
+
+def maximal_repeats(tokens, sequence, order, common, least: int) -> np.ndarray:
+    """For each position, the longest maximal repeat of at least ``least`` that starts there.
+
+    An interval's prefix cannot be longer to the right; it is a maximal repeat if its
+    occurrences are also preceded by different tokens, or one by none.
+    """
     out = np.zeros(len(order), np.int64)
-    if len(order):
-        out[order] = np.maximum(common, np.r_[common[1:], 0])
+    length, first, last, parent, owner = intervals(common, least)
+    if not len(length):
+        return out
+    begins = np.r_[True, sequence[1:] != sequence[:-1]]
+    left = np.where(begins, -1, np.r_[-1, tokens[:-1]])[order]
+    change = np.cumsum(np.r_[False, left[1:] != left[:-1]])
+    maximal = change[last] > change[first]
+    longest = np.where(maximal, length, 0)
+    for i in np.argsort(length, kind="stable"):         # parents are shorter
+        if not maximal[i] and parent[i] >= 0:
+            longest[i] = longest[parent[i]]
+    held = np.r_[longest, 0][owner]
+    out[order] = np.maximum(held, np.r_[held[1:], 0])
     return out
 
 

@@ -25,7 +25,9 @@ def clashing(df):
     """The same table with further columns whose names operators use inside."""
     from pyspark.sql import functions as F
     out = df
-    for name in ("n", "key", "_size", "words", "print", "id", "kept", "score", "node", "y"):
+    for name in ("n", "key", "_size", "words", "print", "id", "kept", "score", "node", "y",
+                 "target", "source_size", "_copies", "_n", "size", "copies", "row", "copy", "rep",
+                 "place", "digest", "of"):
         out = out.withColumn(name, F.lit("clash"))
     return out
 
@@ -56,8 +58,9 @@ def shingles(text):
 
 
 def jaccard_components(docs, percent=80):
-    """doc_id -> (shingles, smallest reachable doc_id)."""
-    sets = {i: shingles(t) for i, t in docs}
+    """doc_id -> (shingles of its last text, smallest doc_id reachable by any text)."""
+    rows = [(i, shingles(t)) for i, t in docs]
+    sets = dict(rows)
     root = {i: i for i in sets}
 
     def find(i):
@@ -65,14 +68,12 @@ def jaccard_components(docs, percent=80):
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1:]:
-            x, y = sets[a], sets[b]
+    for n, (a, x) in enumerate(rows):
+        for b, y in rows[n + 1:]:
             if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i)) for i in sorted(sets)}
 
 
 def near_copies(seed=3, clusters=10):

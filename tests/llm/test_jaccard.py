@@ -1,3 +1,5 @@
+import random
+
 from cohortscope.llm import jaccard as J
 from cohortscope.llm.components import components
 from tests.llm import helpers as H
@@ -14,6 +16,22 @@ def test_equals_brute_force(spark):
     assert got == H.jaccard_components(docs)
 
 
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    base = [f"w{k}" for k in range(60)]
+    other = [f"v{k}" for k in range(60)]
+    near = other[:50] + ["x", "y"] + other[50:]
+    docs = [(3, " ".join(base)), (7, " ".join(base)), (7, " ".join(other)), (9, " ".join(near)),
+            (7, " ".join(other)), (9, " ".join(near)), (11, "else " * 30), (11, None)]
+    rnd = random.Random(5)
+    many = [(rnd.randrange(40), t) for _, t in H.near_copies(seed=8, clusters=6)]
+    for rows in (docs, many, docs + many + docs):
+        df = H.table(spark, rows).repartition(3)
+        want = H.jaccard_components(rows)
+        got = {(r.doc_id, r.component_id) for r in J.near_duplicates(df).collect()}
+        assert got == {(i, c) for i, (_, c) in want.items()}
+    assert H.jaccard_components(docs)[9][1] == 3
+
+
 def test_keeps_one_of_each_group(spark):
     text = "one two three four five six seven eight nine ten"
     docs = [(3, text), (1, text.upper()), (1, text), (2, "else " + text * 3), (None, text),

@@ -36,14 +36,15 @@ def test_mix_repeats_rows_and_meets_targets(spark):
     docs = [(i, "w " * (1 + i % 9), "en", ["a", "b", None][i % 3], 0) for i in range(3000)]
     docs += [(9000, None, "en", "a", 0), (9001, "", None, "b", 0), (5, docs[5][1], "en", None, 0)]
     df = H.clashing(H.table(spark, docs))
-    plan = X.plan(df.drop("_size")).collect()
+    plan = X.plan(df).collect()
     assert len(plan) == len(docs)
     for source in ("a", "b", None):
-        rows = [r for r in plan if r.source == source]
-        taken = sum(r._size * r._copies for r in rows)
+        rows = [r for r in plan if r.row.source == source]
+        taken = sum(r["size"] * r.copies for r in rows)
         assert taken == pytest.approx(rows[0].target, rel=0.1)
-        assert all(r._copies <= 3 for r in rows)
-    mixed = X.mix(H.table(spark, docs))
-    assert mixed.columns == [c.split()[0] for c in H.COLUMNS.split(", ")]
-    assert mixed.count() == sum(r._copies for r in plan)
+        assert all(r.copies <= 3 for r in rows)
+    mixed = X.mix(df)
+    assert mixed.columns == df.columns and mixed.schema == df.schema
+    assert {r.target for r in mixed.collect()} == {"clash"}
+    assert mixed.count() == sum(r.copies for r in plan)
     assert X.mix(H.table(spark, [])).count() == 0

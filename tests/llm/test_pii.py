@@ -23,6 +23,22 @@ def test_checksums_and_context():
     assert not P.added_spans("555-123-4567") and not P.added_spans("phone order 555-123-4567")
 
 
+def test_context_is_read_on_both_sides_and_scores_all_kinds():
+    assert {s[2] for s in P.added_spans("my number is 123-45-6789, that is my SSN")} == {"ssn"}
+    assert {s[2] for s in P.added_spans("555-123-4567 is where you can call me")} == {"tel"}
+    assert not P.added_spans("123-45-6789 " + "word " * 12 + "social security")
+    assert not P.added_spans("call 555-123-4567 about the invoice")
+    card = "4111 1111 1111 1111"
+    scores = {t: P.base_spans(t)[0][3] for t in (
+        f"{card}", f"my visa {card}", f"{card} (Kreditkarte)", f"order {card}", f"{card} invoice")}
+    assert list(scores.values()) == [0.7, 1.0, 1.0, 0.4, 0.4]
+    for text in ("+49 30 1234567890", "10.0.0.1", "ann@example.org"):
+        alone = P.base_spans(text)[0][3]
+        assert 0 < P.base_spans(f"serial {text}")[0][3] < alone <= P.base_spans(
+            f"phone mail server {text}")[0][3]
+    assert P.SIZES["DE"] == 22 and P.SIZES["MT"] == 31 and len(P.SIZES) > 80
+
+
 def test_long_runs_stay_linear():
     for t in ("a" * 200_000, "1" * 200_000, "+1" + "(" * 200_000, "a@" * 50_000, "300." * 50_000):
         assert [s[:3] for s in P.in_order(P.base_spans(t))] == []

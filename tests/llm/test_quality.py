@@ -5,6 +5,7 @@ import numpy as np
 
 from cohortscope.llm import quality_model as M
 from cohortscope.llm import quality_rules as Q
+from cohortscope.llm.suffixes import maximal_repeats, suffix_array
 from tests.llm import helpers as H
 
 
@@ -42,6 +43,33 @@ def test_repetition_equals_brute_force():
         assert tuple(got[2]) == (0, 0, 0)
 
 
+def test_maximal_repeats_equal_brute_force():
+    rnd = random.Random(2)
+    for n in range(300):
+        docs = [[rnd.randrange(rnd.choice([1, 2, 3])) for _ in range(rnd.randint(0, 40))]
+                for _ in range(2)]
+        least = rnd.choice([1, 2, 5])
+        tokens = np.array([t for d in docs for t in d], np.int64)
+        owner = np.repeat([0, 1], [len(d) for d in docs])
+        if not len(tokens):
+            continue
+        want = np.zeros(len(tokens), np.int64)
+        for k, d in enumerate(docs):
+            base = 0 if k == 0 else len(docs[0])
+            for m in range(least, len(d)):
+                starts = {}
+                for i in range(len(d) - m + 1):
+                    starts.setdefault(tuple(d[i:i + m]), []).append(i)
+                for at in starts.values():
+                    left = {d[i - 1] if i else None for i in at}
+                    right = {d[i + m] if i + m < len(d) else (None, i) for i in at}
+                    if len(at) > 1 and len(left) > 1 and len(right) > 1:
+                        for i in at:
+                            want[base + i] = max(want[base + i], m)
+        got = maximal_repeats(tokens, owner, *suffix_array(tokens, owner), least)
+        assert got.tolist() == want.tolist(), (docs, least)
+
+
 def test_method_rejects_a_long_repeat_that_the_base_lets_pass():
     rnd = random.Random(1)
     body = [f"w{rnd.randrange(10 ** 6)}" for _ in range(600)]

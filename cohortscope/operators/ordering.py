@@ -45,6 +45,41 @@ def prefix_sums(values: DataFrame, keys: list[str], value: str, sums: list[str])
     return out.drop("__b", "__c", *[f"__o_{s}" for s in sums])
 
 
+_COMBINE = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+            "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(values: DataFrame, keys: list[str], value: str, aggs: dict[str, tuple[str, str]],
+            descending: bool = False) -> DataFrame:
+    """Add running aggregates over the values of a group up to each row's, its own included.
+
+    ``aggs`` names, per new column, ``sum``, ``min`` or ``max`` and the column it runs over.
+    ``values`` holds one row per (keys, value); windows run inside one bucket, and over one
+    row per bucket.
+    """
+    v = F.col(value)
+    coarse = values.withColumn("__b", E.value_bucket(v))
+    cell = keys + ["__b"]
+    span = coarse.groupBy(*cell).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    fine = same_keys(coarse, span, cell, "inner").withColumn(
+        "__c", E.linear_split(v, F.col("__lo"), F.col("__hi"), FINE)).drop("__lo", "__hi")
+    cell = cell + ["__c"]
+    turn = F.desc if descending else F.asc
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(turn("__b"), turn("__c"))
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*cell).orderBy(turn(value)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    totals = fine.groupBy(*cell).agg(*[_COMBINE[f][0](c).alias(f"__t_{n}")
+                                       for n, (f, c) in aggs.items()])
+    offsets = totals.select(*cell, *[_COMBINE[f][0](f"__t_{n}").over(before).alias(f"__o_{n}")
+                                     for n, (f, _) in aggs.items()])
+    out = same_keys(fine, offsets, cell, "inner")
+    for n, (f, c) in aggs.items():
+        fold, both = _COMBINE[f]
+        out = out.withColumn(n, both(fold(c).over(inside), F.col(f"__o_{n}")))
+    return out.drop("__b", "__c", *[f"__o_{n}" for n in aggs])
+
+
 # ------------------------------------------------------------- percentile ranks
 def percent_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
                   prefix: str = "pct_") -> DataFrame:

@@ -457,10 +457,10 @@ def q_merge(spark, sf):
     return d.groupBy("data_source", "fraud_label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_MERGED = ["person_id", "tax_year", "data_source", *_VALUES]
+MERGED = ["person_id", "tax_year", "data_source", *_VALUES]
 
 
-@add("m16_merged_rows", "panel", f"""SELECT {shown(_MERGED)} FROM (
+@add("m16_merged_rows", "panel", f"""SELECT {shown(MERGED)} FROM (
   SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (ORDER BY
     {digest("42-1", "person_id", "tax_year")}) AS k FROM clean WHERE fraud_label = 1), want
     WHERE k <= want_pos
@@ -468,14 +468,14 @@ _MERGED = ["person_id", "tax_year", "data_source", *_VALUES]
     {digest("42-0", "person_id", "tax_year")}) - 1 AS position FROM clean WHERE fraud_label = 0)
   JOIN (SELECT {drawn(digest("42-0-draw", "i"), "neg")} AS position
     FROM want, range(n - want_pos) t(i)) USING (position))""", BEST + f""",
-policed AS (SELECT {policed(_MERGED)} FROM best),
+policed AS (SELECT {policed(MERGED)} FROM best),
 clean AS (SELECT * REPLACE (CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_type END AS fraud_type,
   CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_category END AS fraud_category) FROM policed),
 want AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.12::DOUBLE, 0) AS BIGINT) AS want_pos,
   (count(*) - sum(fraud_label))::BIGINT AS neg FROM clean)""")
 def q_merged(spark, sf):
     parts = fixtures.sources(Workspace.of(spark, sf).panel)
-    return whole(merge.merge_sources(parts, 0.12, 0.01), _MERGED)
+    return whole(merge.merge_sources(parts, 0.12, 0.01), MERGED)
 
 
 @add("p15_fill_for_model", "panel", f"""SELECT person_id, tax_year, coalesce(employer_id,

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from checks.panel_sql import r, with_ctes
 from checks.profile_checks import rnd
 from checks.relation_checks import DIMS
+from checks.sampling_checks import BEST, MERGED, policed, shown, whole
 from cohortscope import vocab as V
-from cohortscope.operators import intervals, sketches
+from cohortscope.operators import intervals, links, merge, peer, preprocess, sketches
 from cohortscope.plans.workspace import Workspace
-from cohortscope.session import staging_root
+from cohortscope.session import stage, staging_root
+from cohortscope.sources import fixtures, readers, stores
 
 QUERIES, ORACLE = {}, {}
 C = F.col
@@ -116,3 +118,142 @@ def q_theta_states(spark, sf):
     """Employers that states share."""
     return sketches.sketch_overlaps(sketches.key_sketches(
         Workspace.of(spark, sf).panel.filter("employer_id IS NOT NULL"), "state", "employer_id"))
+
+
+# ------------------------------------------------------------------------ stores
+_NULLABLE = ["agi", "employer_id", "rental_net"]
+_SEEN = (["count(*) AS rows", "count(*) FILTER (fraud_label = 1) AS positives"]
+         + [f"count(*) FILTER (tax_year = {y}) AS rows_{y}" for y in V.YEARS]
+         + ["count(*) FILTER (tax_year NOT BETWEEN 2019 AND 2025) AS rows_other"]
+         + [f"count(*) FILTER ({c} IS NULL) AS nulls_{c}" for c in _NULLABLE]
+         + ["count(*) FILTER (agi < 0) AS broken_negative_agi",
+            "count(*) FILTER (effective_tax_rate > 1) AS broken_rate_above_1"])
+
+
+def _long(load, source):
+    return f"""SELECT '{load}' AS load, item, value FROM (UNPIVOT (SELECT {", ".join(_SEEN)} FROM {source})
+  ON COLUMNS(*) INTO NAME item VALUE value)"""
+
+
+@add("s12_s13_observed_writes", "panel", " UNION ALL ".join([
+    _long("all", "panel"), _long("2021", "again"), """SELECT 'stored', CAST(tax_year AS VARCHAR), count(*)
+  FROM (SELECT tax_year FROM panel WHERE tax_year <> 2021 UNION ALL SELECT tax_year FROM again) GROUP BY tax_year"""]),
+     "again AS (SELECT * FROM panel WHERE tax_year = 2021 AND agi IS NOT NULL)")
+def q_observed(spark, sf):
+    """All years are written, then one is replaced: what both jobs saw, and what is stored."""
+    panel, path = Workspace.of(spark, sf).panel, folder(spark, "by-year")
+    rules = {"negative_agi": C("agi") < 0, "rate_above_1": C("effective_tax_rate") > 1}
+    metrics = stores.summary_metrics(years=V.YEARS, nullable=_NULLABLE, rules=rules)
+    rows = panel.repartition("tax_year", F.pmod(F.xxhash64("person_id"), F.lit(4)))
+    one = stores.write_observed(rows, path, ["tax_year"], metrics)
+    again = rows.filter("tax_year = 2021 AND agi IS NOT NULL")
+    two = stores.write_observed(again, path, ["tax_year"], metrics)
+    stored = spark.read.parquet(path).groupBy("tax_year").count().select(
+        F.lit("stored").alias("load"), C("tax_year").cast("string").alias("item"),
+        C("count").alias("value"))
+    return stores.metric_rows(spark, "all", one).unionByName(
+        stores.metric_rows(spark, "2021", two)).unionByName(stored)
+
+
+def bucketed(spark, sf, buckets=8):
+    """Two narrow tables of the panel, bucketed by person."""
+    panel = Workspace.of(spark, sf).panel
+    stores.co_bucketed(spark)
+    parts = {"clean": ["agi", "gross_receipts"], "raw": ["fraud_label", "employer_id", "filing_status"]}
+    out = {}
+    for part, cols in parts.items():
+        path = folder(spark, f"bucketed_{part}")
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        out[part] = stores.write_bucketed(panel.select("person_id", "tax_year", *cols), name, path,
+                                          "person_id", buckets, ["tax_year"])
+    return out
+
+
+@add("j8_j11_bucketed_joins", "panel", f"""SELECT a.person_id, a.tax_year, {r("a.agi", "agi", 5)},
+  a.fraud_label, a.employer_id, a.filing_status, {r("b.gross_receipts", "prior_receipts", 5)}
+  FROM panel a LEFT JOIN panel b ON b.person_id = a.person_id AND b.tax_year = a.tax_year - 1""")
+def q_bucketed(spark, sf):
+    t = bucketed(spark, sf)
+    d = preprocess.reattach_raw(t["clean"], t["raw"], ["person_id", "tax_year"])
+    d = links.prior_year(d, "gross_receipts", "prior_receipts")
+    return rnd(d, agi=5, prior_receipts=5).drop("gross_receipts")
+
+
+@add("j6_s2_bloom_lookup", "panel", f"""SELECT person_id, tax_year, employer_id, {r("agi", "agi", 5)}
+  FROM panel WHERE CAST(employer_id AS BIGINT) % 97 = 5""")
+def q_lookup(spark, sf):
+    panel, path = Workspace.of(spark, sf).panel, folder(spark, "by-id")
+    stores.write_lookup(panel, path, ["person_id", "employer_id"], 100_000)
+    # the ids asked for: a list that the caller holds
+    ids = [x[0] for x in panel.filter("CAST(employer_id AS BIGINT) % 97 = 5").select(
+        "employer_id").distinct().collect()]
+    return rnd(stores.lookup(spark, path, "employer_id", ids).select(
+        "person_id", "tax_year", "employer_id", "agi"), agi=5)
+
+
+@add("w8_m16_incremental_merge", "panel", f"""SELECT {shown(MERGED)} FROM (SELECT * REPLACE (
+  CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_type END AS fraud_type,
+  CASE WHEN fraud_label = 0 THEN 'none' ELSE fraud_category END AS fraud_category)
+  FROM (SELECT {policed(MERGED)} FROM best))""", BEST)
+def q_incremental(spark, sf):
+    """Sources arrive in three batches, the best last; the result is that of one merge."""
+    parts, path = fixtures.sources(Workspace.of(spark, sf).panel), folder(spark, "merged")
+    names = list(parts)
+    for batch in (names[4:], names[1:4], names[:1]):
+        merge.merge_batch(spark, path, {n: parts[n] for n in batch}, 8)
+    return whole(merge.merged_rows(spark, path), MERGED)
+
+
+_RANKED = ["agi", "deduction_taken"]
+
+
+@add("w1_arriving_ranks", "panel", " UNION ALL ".join(f"""
+SELECT person_id, tax_year, '{c}' AS feature, {r(f"CASE WHEN x IS NULL OR size = 0 THEN 50 WHEN same > 0 THEN (below + 1 + below + same) / 2.0::DOUBLE / size * 100 ELSE least((below + 0.5::DOUBLE) / size * 100, 100) END", "pct", 6)}
+FROM (SELECT a.person_id, a.tax_year, any_value(a.{c}) AS x, count(b.{c}) AS size,
+    count(*) FILTER (b.{c} < a.{c}) AS below, count(*) FILTER (b.{c} = a.{c}) AS same
+  FROM arriving a LEFT JOIN panel b ON b.tax_year <= 2023 AND b.state = a.state
+    AND b.taxpayer_type = a.taxpayer_type GROUP BY ALL)""" for c in _RANKED),
+     """arriving AS (SELECT * FROM panel WHERE tax_year = 2025 UNION ALL
+  SELECT * FROM panel WHERE tax_year = 2019 AND CAST(person_id AS BIGINT) % 10 = 0)""")
+def q_arriving(spark, sf):
+    """Ranks of a later year, and of some stored rows, among the training years."""
+    panel, keys = Workspace.of(spark, sf).panel, ["state", "taxpayer_type"]
+    points = stage(peer.rank_breakpoints(panel.filter("tax_year <= 2023"), keys, _RANKED), "points")
+    new = panel.filter("tax_year = 2025 OR (tax_year = 2019 AND CAST(person_id AS BIGINT) % 10 = 0)")
+    new = new.withColumn("id", F.concat_ws("-", "person_id", "tax_year"))
+    d = peer.ranks_of_arriving(new, points, keys, _RANKED, "id")
+    name = F.split("id", "-")
+    d = d.select(F.get(name, F.lit(0)).alias("person_id"), F.get(name, F.lit(1)).cast("int").alias(
+        "tax_year"), F.expr("stack(2, 'agi', pct_agi, 'deduction_taken', pct_deduction_taken) as (feature, pct)"))
+    return rnd(d, pct=6)
+
+
+_FIELDS = {"n": ("$.n", "bigint"), "mean": ("$.income.mean", "double"),
+           "second_rate": ("$.income.by_year[1].rate", "double"), "years": ("$.years", "array<int>"),
+           "note": ("$.note", "double"), "p99": ("$.income.p99", "double")}
+
+
+@add("s6_variant_parameters", "panel", f"""SELECT state, n, mean, second_rate, years, problems FROM (
+  SELECT state, count(*) AS n, {r("avg(agi)", "mean", 3)},
+    {r("avg(fraud_label) FILTER (tax_year = 2020)", "second_rate", 6)}, list(DISTINCT tax_year ORDER BY tax_year) AS years,
+    CASE WHEN state = 'Texas' THEN 'note:null,p99:missing' ELSE 'note:wrong type,p99:missing' END AS problems
+  FROM panel GROUP BY state)""")
+def q_variant(spark, sf):
+    """Parameters at three depths, in a list of objects and in a list of numbers."""
+    panel, path = Workspace.of(spark, sf).panel, folder(spark, "nested")
+    rate = panel.groupBy("state", "tax_year").agg(F.avg("fraud_label").alias("rate")).groupBy(
+        "state").agg(F.sort_array(F.collect_list(F.struct("tax_year", "rate"))).alias("by_year"))
+    g = panel.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("agi").alias("mean")).join(
+        rate, "state")
+    value = F.to_json(F.struct(
+        "n", F.struct("mean", "by_year").alias("income"), C("by_year.tax_year").alias("years"),
+        F.when(C("state") != "Texas", F.lit("free text")).alias("note")), {"ignoreNullFields": "false"})
+    doc = g.agg(F.concat(F.lit('{"_comment": "made from the panel", '), F.array_join(F.collect_list(
+        F.concat(F.lit('"'), "state", F.lit('": '), value)), ", "), F.lit("}")).alias("value"))
+    doc.coalesce(1).write.text(path)
+    values = readers.read_variant(spark, path, "state")
+    problems = readers.variant_problems(values, _FIELDS).groupBy("state").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat("field", F.lit(":"), "problem"))), ",")
+        .alias("problems"))
+    return rnd(readers.variant_fields(values, _FIELDS).drop("note", "p99").join(
+        problems, "state"), mean=3, second_rate=6)

@@ -221,3 +221,37 @@ def merge_sources(parts: dict[str, DataFrame], target: float = V.RATE_OVERALL,
 def with_state(df: DataFrame) -> DataFrame:
     """State name of a zone (output map; the fitting map is a different one)."""
     return df.withColumn("state", E.lookup("zone", V.ZONE_TO_STATE))
+
+
+# --------------------------------------------------------------- incremental merge
+BUCKETS = 64
+
+
+def merge_batch(spark, path: str, parts: dict[str, DataFrame], buckets: int = BUCKETS,
+                seed=V.SEED) -> DataFrame:
+    """Merge arriving sources into the table at ``path``; returns the buckets rewritten.
+
+    Rows lie in partitions by a hash of the person.  Only partitions of arriving persons are
+    read, merged and replaced; the best row per person-year is kept as it came, since the
+    smallest of smallest rows is the same in whatever batches they arrive.  ``merged_rows``
+    applies policy and label cleaning on reading.
+    """
+    new = union_sources([align(d, tag, seed) for tag, d in parts.items()])
+    new = stage(new.withColumn("bucket", F.pmod(F.xxhash64("person_id"), F.lit(buckets))
+                               .cast("int")), "arrived")
+    touched = stage(new.select("bucket").distinct(), "touched")
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base):
+        # at most ``buckets`` numbers: as a literal list they prune the folders that are read
+        wanted = [r["bucket"] for r in touched.collect()]
+        new = new.unionByName(spark.read.schema(new.schema).parquet(path)
+                              .filter(C("bucket").isin(wanted)))
+    best = stage(keep_best(new, ["person_id", "tax_year", "bucket"]), "merged-batch")
+    (best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    return touched
+
+
+def merged_rows(spark, path: str) -> DataFrame:
+    """The merged table under null policy and with clean labels."""
+    return clean_labels(null_policy(spark.read.parquet(path).drop("bucket")))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
-from cohortscope.operators.ordering import percent_ranks
+from cohortscope.operators.ordering import percent_ranks, running
 from cohortscope.operators.preprocess import present
-from cohortscope.operators.quantiles import exact_quantiles, same_keys
+from cohortscope.operators.quantiles import exact_quantiles, same_keys, unpivot
 from cohortscope.session import stage
 
 C = F.col
@@ -153,3 +153,34 @@ def fit_statistics(core: DataFrame) -> dict:
     if "employer_id" in core.columns:
         out["employers"] = stage(employer_stats(train, mean), "employer-stats")
     return out
+
+
+# ------------------------------------------------------- ranks of arriving rows
+def rank_breakpoints(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Stored once: per group and feature, every value with its count, as (*keys, f, v, n)."""
+    return unpivot(df, keys, cols).groupBy(*keys, "f", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranks_of_arriving(new: DataFrame, points: DataFrame, keys: list[str], cols: list[str],
+                      row_id: str, prefix: str = "pct_") -> DataFrame:
+    """Percentile ranks of rows that arrive later, among the stored ones.
+
+    A stored value has the rank that it has among the stored rows; another falls half-way
+    between its neighbours'; below or above all of them it goes towards 0 or 100; unknown
+    values, and groups that nobody has stored, rank 50.  Both sides meet in value buckets:
+    no join by range, no group in one task.
+    """
+    group = [*keys, "f"]
+    rows = unpivot(new.select(row_id, *keys, *cols), [row_id, *keys], cols)
+    asked = rows.select(*group, "v").distinct().withColumn("n", F.lit(0).cast("long"))
+    counts = points.unionByName(asked).groupBy(*group, "v").agg(F.sum("n").alias("n"))
+    sizes = points.groupBy(*group).agg(F.sum("n").alias("size"))
+    swept = running(counts, group, "v", {"upto": ("sum", "n")})
+    ranked = same_keys(swept, sizes, group, "inner").select(*group, "v", F.when(
+        C("n") > 0, (C("upto") - C("n") + 1 + C("upto")) / 2.0 / C("size") * 100).otherwise(
+        (C("upto") + 0.5) / C("size") * 100).alias("pct"))
+    ranked = ranked.withColumn("pct", F.least("pct", F.lit(100.0)))
+    wide = same_keys(rows, ranked, [*group, "v"], "left").groupBy(row_id).agg(
+        *[F.max(F.when(C("f") == i, C("pct"))).alias(prefix + c) for i, c in enumerate(cols)])
+    return new.select(row_id, *keys, *cols).join(wide, row_id, "left").withColumns(
+        {prefix + c: F.coalesce(C(prefix + c), F.lit(50.0)) for c in cols})

@@ -85,3 +85,37 @@ def read_parameters(spark: SparkSession, path: str, key: str,
     out = text.select(F.explode(parsed).alias(key, "v"))
     out = out.filter(~F.col(key).startswith("_") & F.col("v").isNotNull())
     return out.select(key, "v.*") if fields.startswith("struct") else out
+
+
+# ------------------------------------------------------ parameters of mixed nesting
+def read_variant(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A JSON object, one per file, whose values are nested in different ways: the outer key
+    and its value as VARIANT.  Keys starting with ``_`` are comments; files may differ."""
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    out = doc.select(F.explode(F.col("doc").cast("map<string,variant>")).alias(key, "value"))
+    return out.filter(~F.col(key).startswith("_"))
+
+
+def variant_fields(values: DataFrame, fields: dict[str, tuple[str, str]],
+                   value: str = "value") -> DataFrame:
+    """Typed fields of VARIANT values: ``fields`` names, per column, a path and a type.  What
+    is missing or of another type is NULL; ``variant_problems`` says which."""
+    rest = [c for c in values.columns if c != value]
+    return values.select(*rest, *[F.try_variant_get(value, path, kind).alias(n)
+                                  for n, (path, kind) in fields.items()])
+
+
+def variant_problems(values: DataFrame, fields: dict[str, tuple[str, str]],
+                     value: str = "value") -> DataFrame:
+    """One row per wanted field that is ``missing``, ``null`` or of the ``wrong type``."""
+    rest = [c for c in values.columns if c != value]
+
+    def problem(path, kind):
+        raw = F.try_variant_get(value, path, "variant")
+        return (F.when(raw.isNull(), "missing").when(F.is_variant_null(raw), "null")
+                .when(F.try_variant_get(value, path, kind).isNull(), "wrong type"))
+
+    found = F.array(*[F.struct(F.lit(n).alias("field"), problem(path, kind).alias("problem"))
+                      for n, (path, kind) in fields.items()])
+    return values.select(*rest, F.explode(found).alias("x")).select(*rest, "x.*").filter(
+        "problem IS NOT NULL")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,26 @@ def forget(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:             # another C library frees as it sees fit
+        return None
+
+
+def keep_memory() -> None:
+    """For a task that goes through large arrays: what one batch frees the next one uses,
+    instead of fresh pages from the system each time."""
+    if libc := _libc():
+        libc.mallopt(-3, 1 << 29)       # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 30)       # M_TRIM_THRESHOLD
+
+
+def give_back_memory() -> None:
+    """At the end of a task: Spark keeps Python workers, and with them what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)

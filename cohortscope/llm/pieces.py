@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm.common import table
+from cohortscope.llm.common import give_back_memory, keep_memory, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -96,24 +96,27 @@ class Vocabulary:
         self.weight = alpha * weight
         self.factor = np.exp(self.weight)
         self.byte_weight = float(alpha * (weight[ids].min() if ids else 0.0))
-        self.longest, found, prefixes = 1, [], []
-        for i in ids:
-            codes = np.array([ord(c) for c in sp.id_to_piece(i).replace(_BLANK, " ")], np.uint64)
-            self.longest = max(self.longest, len(codes))
-            h = np.zeros(1, np.uint64)
-            for c in codes:
-                h = h * _P1 + _mix(c + _P2 * np.ones(1, np.uint64))
-                prefixes.append(_mix(h)[0])
-            found.append(_mix(h)[0])
-        order = np.argsort(np.array(found, np.uint64))
-        self.hashes, self.ids = np.array(found, np.uint64)[order], np.array(ids)[order]
+        spelled = [sp.id_to_piece(i).replace(_BLANK, " ") for i in ids]
+        length = np.array([len(t) for t in spelled], np.int64)
+        self.longest = int(length.max(initial=1))
+        codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(length) - length
+        found, prefixes, h = np.zeros(len(ids), np.uint64), [], np.zeros(len(ids), np.uint64)
+        for k in range(self.longest):           # all pieces, a character at a time
+            on = np.flatnonzero(length > k)
+            h[on] = h[on] * _P1 + _mix(codes[first[on] + k].astype(np.uint64) + _P2)
+            found[on] = _mix(h[on])
+            prefixes.append(found[on])
+        prefixes = np.concatenate(prefixes)
+        order = np.argsort(found)
+        self.hashes, self.ids = found[order], np.array(ids, np.int64)[order]
         self.piece_bits, self.prefix_bits = self._bits(found), self._bits(prefixes)
 
     @staticmethod
-    def _bits(hashes: list) -> np.ndarray:
+    def _bits(hashes: np.ndarray) -> np.ndarray:
         """Which leading 20 bits occur; what is not among them need not be looked up."""
         out = np.zeros(1 << 20, bool)
-        out[np.array(hashes, np.uint64) >> np.uint64(44)] = True
+        out[hashes >> np.uint64(44)] = True
         return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -508,6 +511,7 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(data, alpha)
         keys, texts, held = [], [], 0
+        keep_memory()
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(key)
@@ -518,6 +522,7 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
                     keys, texts, held = [], [], 0
         if keys:
             yield from _rows(keys, texts, v, samples, seed, check)
+        give_back_memory()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(
         run, SCHEMA + (", decoded_sha256 string" if check else ""))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from checks.panel_sql import r, with_ctes
 from checks.profile_checks import rnd
-from checks.relation_checks import DIMS
-from checks.sampling_checks import BEST, MERGED, policed, shown, whole
+from checks.relation_checks import DIMS, SEQ
+from checks.relation_checks import _FEATS as FEATURES
+from checks.sampling_checks import ALIGNED, BEST, MERGED, _aligned as aligned, policed, shown, whole
 from cohortscope import vocab as V
-from cohortscope.operators import intervals, links, merge, peer, preprocess, sketches
+from cohortscope.operators import (intervals, links, merge, peer, preprocess, quality, sequences,
+                                   sketches, splits)
 from cohortscope.plans.workspace import Workspace
 from cohortscope.session import stage, staging_root
 from cohortscope.sources import fixtures, readers, stores
@@ -257,3 +259,69 @@ def q_variant(spark, sf):
         .alias("problems"))
     return rnd(readers.variant_fields(values, _FIELDS).drop("note", "p99").join(
         problems, "state"), mean=3, second_rate=6)
+
+
+# ------------------------------------------------------- years outside a range
+_EARLIER = {"train": [2020, 2021, 2022], "val": 2023, "test": 2024}
+
+
+@add("m13_rows_outside_splits", "panel", """
+SELECT use_case, count(*) AS n_rows, count(*) FILTER (split IS NULL) AS n_outside,
+  min(tax_year) FILTER (split IS NULL) AS first_year, max(tax_year) FILTER (split IS NULL) AS last_year
+FROM (SELECT 'by_year' AS use_case, tax_year, y AS split FROM ranged
+  UNION ALL SELECT 'by_person', tax_year, CASE WHEN person_id IN (
+    SELECT person_id FROM panel WHERE tax_year BETWEEN 2020 AND 2022) THEN 'train' ELSE y END FROM ranged)
+GROUP BY use_case""", """ranged AS (SELECT *, CASE WHEN tax_year BETWEEN 2020 AND 2022 THEN 'train'
+  WHEN tax_year = 2023 THEN 'val' WHEN tax_year = 2024 THEN 'test' END AS y FROM panel)""")
+def q_outside(spark, sf):
+    """Splits over an earlier range of years, and what falls in none of them."""
+    panel = Workspace.of(spark, sf).panel.select("person_id", "tax_year")
+    return splits.outside_splits({"by_year": splits.split_by_year(panel, **_EARLIER),
+                                  "by_person": splits.split_by_person(panel, **_EARLIER)})
+
+
+@add("j12_links_in_years", "panel", """
+SELECT item, NULL AS tax_year, n FROM (UNPIVOT (SELECT count(*) AS n_intervals,
+    count(*) FILTER (link_start <= 2023 AND link_end >= 2021 AND (link_start < 2021 OR link_end BETWEEN 2024 AND 9998)) AS n_cut,
+    count(*) FILTER (link_start > 2023 OR link_end < 2021) AS n_outside FROM links)
+  ON COLUMNS(*) INTO NAME item VALUE n)
+UNION ALL SELECT 'n_active', y, count(*) FROM links, (SELECT CAST(2021 + i AS INTEGER) AS y FROM range(3) t(i))
+  WHERE link_start <= y AND link_end >= y GROUP BY y""", DIMS)
+def q_links_in_years(spark, sf):
+    """Active links of an inner range of years, and what the range cuts or leaves out."""
+    ws, years = Workspace.of(spark, sf), (2021, 2023)
+    n = links.outside_years(ws.links, "link_start", "link_end", years).select(F.expr(
+        "stack(3, 'n_intervals', n_intervals, 'n_cut', n_cut, 'n_outside', n_outside) as (item, n)"))
+    d = links.active_years(ws.links, "link_start", "link_end", years=years)
+    active = d.groupBy("tax_year").agg(F.count(F.lit(1)).alias("n")).withColumn("item", F.lit("n_active"))
+    return active.unionByName(n.withColumn("tax_year", F.lit(None).cast("int")))
+
+
+_NEEDED = [*V.FEATURES, V.TARGET]
+_TABLES = {"orders": True, "lineitem": True, "returns": True, "audits": False}
+
+
+@add("d9_required_columns", "panel", "SELECT * FROM (VALUES " + ", ".join(
+    f"('has_{c}', {float(c in V.CANONICAL)}::DOUBLE, 'error', {int(c in V.CANONICAL)})" for c in _NEEDED)
+    + ", ('missing_returns', NULL, 'MISSING_REQUIRED', 0), ('missing_audits', NULL, 'MISSING_OPTIONAL', 0)"
+    + ") t(rule, value, severity, passed) UNION ALL SELECT 'rows', count(*), 'all', 1 FROM aligned", ALIGNED)
+def q_required(spark, sf):
+    """The features and the target in the aligned table, and tables that a run expects."""
+    merged = aligned(spark, sf)
+    gone = quality.missing_tables(_TABLES, {"orders", "lineitem"}, merged).select(
+        F.concat(F.lit("missing_"), "table").alias("rule"), F.lit(None).cast("double").alias("value"),
+        C("status").alias("severity"), F.lit(0).alias("passed"))
+    rows = merged.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("rows").alias("rule"), "value", F.lit("all").alias("severity"), F.lit(1).alias("passed"))
+    return quality.required_columns(merged, _NEEDED).unionByName(gone).unionByName(rows)
+
+
+@add("f24_denormalised_sequences", "panel", f"""SELECT person_id, CAST(tax_year AS INTEGER) AS tax_year,
+  {", ".join(r(f, f, 4) for f in FEATURES)} FROM steps""", SEQ)
+def q_denormalised(spark, sf):
+    """Scaled sequences, as a model returns them, back in their own units."""
+    seqs = sequences.build_sequences(Workspace.of(spark, sf).panel, FEATURES).select(
+        "person_id", "sequence")
+    ranges = sequences.fit_range(seqs, len(FEATURES))
+    d = sequences.denormalise(sequences.normalise(seqs, ranges), ranges)
+    return rnd(sequences.flatten_sequences(d, FEATURES), **dict.fromkeys(FEATURES, 4))

@@ -19,18 +19,30 @@ C = F.col
 LAST = V.YEARS[-1]
 
 
-def until(end: Column) -> Column:
+def until(end: Column, last: int = LAST) -> Column:
     """Last active year of an interval; open intervals run to the last panel year."""
-    return F.least(F.when(end == V.OPEN_ENDED, LAST).otherwise(end), F.lit(LAST))
+    return F.least(F.when(end == V.OPEN_ENDED, last).otherwise(end), F.lit(last))
 
 
-def active_years(df: DataFrame, start: str, end: str, year: str = "tax_year") -> DataFrame:
-    """One row per year of ``[start, end]``; intervals that never meet the panel vanish."""
-    lo, hi = F.greatest(C(start), F.lit(V.YEARS[0])), until(C(end))
+def active_years(df: DataFrame, start: str, end: str, year: str = "tax_year",
+                 years: tuple[int, int] = (V.YEARS[0], LAST)) -> DataFrame:
+    """One row per year of ``[start, end]`` inside ``years``; intervals that never meet these
+    years vanish, ``outside_years`` counts them."""
+    lo, hi = F.greatest(C(start), F.lit(years[0])), until(C(end), years[1])
     return (df.withColumns({"__lo": lo, "__hi": hi}).filter("__lo <= __hi")
             .withColumn(year, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi"))
 
 
+def outside_years(df: DataFrame, start: str, end: str,
+                  years: tuple[int, int] = (V.YEARS[0], LAST)) -> DataFrame:
+    """One row: intervals, how many are cut by the years, and how many lie outside."""
+    s, e = C(start), C(end)
+    outside = F.coalesce((s > years[1]) | (e < years[0]) | (s > e), F.lit(True))
+    cut = ~outside & ((s < years[0]) | ((e > years[1]) & (e != V.OPEN_ENDED)))
+    return df.agg(F.count(F.lit(1)).alias("n_intervals"), F.count(F.when(cut, 1)).alias("n_cut"),
+                  F.count(F.when(outside, 1)).alias("n_outside"))
+
+
 def expand_active_years(persons: DataFrame) -> DataFrame:
     """Person x active year with current age and first-filing flag."""
     d = active_years(persons, "entry_year", "exit_year")

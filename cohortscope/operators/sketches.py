@@ -99,7 +99,7 @@ def key_sketches(df: DataFrame, by: str, key: str, lg: int = THETA_LG) -> DataFr
         F.theta_sketch_agg(C(key), F.lit(lg)).alias("sketch"))
 
 
-def sketch_overlaps(sketches: DataFrame) -> DataFrame:
+def sketch_overlaps(sketches: DataFrame, lg: int = THETA_LG) -> DataFrame:
     """Sizes of every two sets, of what they share and of their union, from their sketches.
 
     There is one row per set, a handful; they are paired with each other as one array.
@@ -114,4 +114,4 @@ def sketch_overlaps(sketches: DataFrame) -> DataFrame:
         F.theta_sketch_estimate(a).alias("n_a"), F.theta_sketch_estimate(b).alias("n_b"),
         F.theta_sketch_estimate(F.theta_intersection(a, b)).alias("n_both"),
         F.theta_sketch_estimate(F.theta_difference(a, b)).alias("n_only_a"),
-        F.theta_sketch_estimate(F.theta_union(a, b)).alias("n_union"))
+        F.theta_sketch_estimate(F.theta_union(a, b, F.lit(lg))).alias("n_union"))

@@ -28,11 +28,27 @@ def fix_contradictions(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def split_by_year(df: DataFrame) -> DataFrame:
-    """Use case A: train / validation / test by year (a pruning-friendly column rule)."""
+def split_by_year(df: DataFrame, train: list[int] = V.TRAIN_YEARS, val: int = V.VALIDATION_YEAR,
+                  test: int = V.TEST_YEAR) -> DataFrame:
+    """Use case A: train / validation / test by year (a pruning-friendly column rule).
+
+    Rows of other years, or without one, have a NULL split; ``outside_splits`` counts them.
+    """
     y = C("tax_year")
-    return df.withColumn("split", F.when(y.isin(V.TRAIN_YEARS), "train")
-                         .when(y == V.VALIDATION_YEAR, "val").when(y == V.TEST_YEAR, "test"))
+    return df.withColumn("split", F.when(y.isin(train), "train")
+                         .when(y == val, "val").when(y == test, "test"))
+
+
+def outside_splits(tagged: dict[str, DataFrame], tag: str = "split") -> DataFrame:
+    """Per use case: rows, and rows that fall in no split, with their years' range."""
+    parts = [d.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(C(tag).isNull(), 1))
+                   .alias("n_outside"), F.min(F.when(C(tag).isNull(), C("tax_year"))).alias("first_year"),
+                   F.max(F.when(C(tag).isNull(), C("tax_year"))).alias("last_year"))
+             .select(F.lit(name).alias("use_case"), "*") for name, d in tagged.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def year_subsets(train: DataFrame) -> dict[str, DataFrame]:
@@ -44,15 +60,16 @@ def year_subsets(train: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def split_by_person(df: DataFrame) -> DataFrame:
+def split_by_person(df: DataFrame, train: list[int] = V.TRAIN_YEARS,
+                    val: int = V.VALIDATION_YEAR, test: int = V.TEST_YEAR) -> DataFrame:
     """Use case B: validation and test hold unseen persons only.
 
     Later rows of persons seen in training move to train.  Known persons come from one
     combining aggregate and one join, not from an id set on the driver.
     """
-    seen = (df.filter(C("tax_year").isin(V.TRAIN_YEARS)).select("person_id").distinct()
+    seen = (df.filter(C("tax_year").isin(train)).select("person_id").distinct()
             .withColumn("__seen", F.lit(1)))
-    d = split_by_year(df).join(seen, "person_id", "left")
+    d = split_by_year(df, train, val, test).join(seen, "person_id", "left")
     split = F.when(C("__seen") == 1, "train").otherwise(C("split"))
     return d.withColumn("split", split).drop("__seen")
 

@@ -4,8 +4,9 @@ Every record is a gzip member of its own.  Spark's text writer writes the files,
 task retries and lost executors are its commit protocol's business and any file system it
 knows will do; what it puts between rows is an empty gzip member, which readers of
 concatenated members pass over (its files end in ``.txt``; their content is ``.warc.gz``).
-The reader decompresses a member piece by piece, cuts the record at its content length and
-verifies both digests.
+Files end after ``FILE_BYTES``, so that each can be read as one value, however large pages
+are.  The reader decompresses a member piece by piece, cuts the record at its content length,
+verifies both digests and passes records on in batches of bounded bytes.
 
 Defined cases: NULL html is an empty payload, a NULL url leaves the target out; a row whose
 page_id equals the smallest of its payload, or is NULL, is a response, so repeated rows with
@@ -31,7 +32,9 @@ from cohortscope.llm.common import table
 from cohortscope.session import staging_root
 
 MIN_BYTES = 0               # payloads from this size on can be revisits
-RECORDS_PER_FILE = 2_000
+RECORDS_PER_FILE = 20_000
+FILE_BYTES = 1 << 26        # compressed; a file ends with the record that reaches it
+BATCH_BYTES = 1 << 24       # payloads that the reader passes on at once
 PIECE = 1 << 16             # bytes handed to the decompressor at a time
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,20 +146,31 @@ def with_references(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def _records(batches):
-    for batch in batches:
-        out = [build_record(i.as_py(), u.as_py(), p.as_py(), r.as_py())
-               for i, u, p, r in zip(*batch.columns)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+def _records(file_bytes: int):
+    """Records, and the number of the file within the task that each goes to."""
+    def run(batches):
+        number, size = 0, 0
+        for batch in batches:
+            out, numbers = [], []
+            for i, u, p, r in zip(*batch.columns):
+                out.append(build_record(i.as_py(), u.as_py(), p.as_py(), r.as_py()))
+                numbers.append(number)
+                size += len(out[-1])
+                if size >= file_bytes:
+                    number, size = number + 1, 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.binary()), pa.array(numbers, pa.int32())], ["record", "file"])
+    return run
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES,
-                   per_file: int = RECORDS_PER_FILE) -> None:
+                   per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write archive files of the pages (``page_id``, ``url``, ``html``) to ``folder``."""
-    records = with_references(pages, min_bytes).mapInArrow(_records, "record binary")
-    (records.select(F.col("record").cast("string"))
+    records = with_references(pages, min_bytes).mapInArrow(
+        _records(file_bytes), "record binary, file int")
+    (records.select(F.col("record").cast("string").alias("record"), "file")
      .write.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1"))
-     .option("maxRecordsPerFile", per_file).text(folder))
+     .option("maxRecordsPerFile", per_file).partitionBy("file").text(folder))
 
 
 def _read(batches):
@@ -164,16 +178,27 @@ def _read(batches):
              "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(),
              pa.binary()]
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
     for batch in batches:
         for content in batch.column(0):
-            cols = list(zip(*read_archive(content.as_buffer()))) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types)], names)
+            held, size = [], 0
+            for record in read_archive(content.as_buffer()):
+                held.append(record)
+                size += 200 + len(record[-1] or b"")
+                if size >= BATCH_BYTES:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all archive files in ``folder``; a file is one task's input at most."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        folder).select("content")
     return files.mapInArrow(_read, "page_id bigint, url string, record_type string, "
                                    "refers_to bigint, payload_bytes bigint, "
                                    "payload_digest string, payload binary")

@@ -17,6 +17,7 @@ from cohortscope.operators import (intervals, links, merge, peer, preprocess, qu
 from cohortscope.plans.workspace import Workspace
 from cohortscope.session import stage, staging_root
 from cohortscope.sources import fixtures, readers, stores
+from cohortscope.streaming import prior
 
 QUERIES, ORACLE = {}, {}
 C = F.col
@@ -325,3 +326,29 @@ def q_denormalised(spark, sf):
     ranges = sequences.fit_range(seqs, len(FEATURES))
     d = sequences.denormalise(sequences.normalise(seqs, ranges), ranges)
     return rnd(sequences.flatten_sequences(d, FEATURES), **dict.fromkeys(FEATURES, 4))
+
+
+# ------------------------------------------------------------------ year files
+@add("j11_prior_year_stream", "panel", f"""SELECT a.person_id, a.tax_year, {r("b.gross_receipts", "prior_receipts", 7)}
+  FROM panel a LEFT JOIN panel b ON b.person_id = a.person_id AND b.tax_year = a.tax_year - 1""")
+def q_prior_stream(spark, sf):
+    """Year files replayed as a stream, with a restart from the checkpoint half-way."""
+    rows = Workspace.of(spark, sf).panel.select("person_id", "tax_year", "gross_receipts")
+    source, out, state = (folder(spark, f"years-{x}") for x in ("in", "out", "state"))
+
+    def arrive(years, closing=None):
+        for y in years:
+            rows.filter(C("tax_year") == y).coalesce(1).write.mode("append").parquet(source)
+        if closing:
+            closing.coalesce(1).write.mode("append").parquet(source)
+        one, two = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+                    .parquet(source) for _ in range(2))
+        query = (prior.prior_year_arrivals(one, two, "gross_receipts", "prior_receipts")
+                 .writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+
+    arrive(V.YEARS[:3])
+    arrive(V.YEARS[3:], prior.closing_row(rows, V.YEARS[-1] + 10))
+    got = spark.read.parquet(out)
+    return rnd(got, prior_receipts=7).select("person_id", "tax_year", "prior_receipts")

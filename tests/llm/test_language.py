@@ -38,3 +38,44 @@ def test_edges(spark):
     assert set(profiles) == {"x"}
     assert L.predict(docs, L.Profiles(profiles)).count() == 4
     assert L.learn(docs.limit(0)) == {}
+
+
+def out_of_place(text, profiles, length):
+    """Rank-order distance over plain lists, and the nearest language."""
+    from collections import Counter
+
+    def ranked(t, most):
+        seen = Counter(L.grams(t).tolist())
+        return [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))][:most]
+
+    own = ranked(text, length)
+    if not own:
+        return "und", 0.0
+    distance = {}
+    for lang, profile in profiles.items():
+        place = {g: k for k, g in enumerate(profile)}
+        distance[lang] = sum(abs(place[g] - k) if g in place else length for k, g in enumerate(own))
+    best = min(sorted(distance), key=distance.get)
+    return best, 1 - distance[best] / (length * len(own))
+
+
+def test_distance_over_long_profiles_equals_brute_force():
+    import random
+    rnd = random.Random(7)
+    words = {k: ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 8))) for _ in range(80)]
+             for k, letters in {"a": "abcdefgh", "b": "efghijklé", "c": "abcxyzß"}.items()}
+
+    def text(k, n):
+        return " ".join(rnd.choice(words[k]) for _ in range(n))
+
+    for length in (5, 40, 300):
+        profiles = {k: L.top(*np.unique(L.grams(text(k, 3000)), return_counts=True), length)
+                    for k in words}
+        fast = L.Profiles(profiles, length)
+        lists = {k: v.tolist() for k, v in profiles.items()}
+        for n in (0, 1, 3, 20, 400):
+            for k in [*words, *words]:
+                t = text(k, n) + rnd.choice(["", " 12!", " ZZ"])
+                lang, score = fast.predict(t)
+                want = out_of_place(t, lists, length)
+                assert lang == want[0] and abs(score - want[1]) < 1e-12

@@ -116,3 +116,65 @@ def test_model_edges(spark):
                                 "doc_id long, quality int")
     assert all(r.score > 0.9 for r in M.score(docs, M.learn(docs, one)).collect())
     assert M.score(docs.limit(0), f).count() == 0
+
+
+def plain_statistics(text):
+    """Some of the statistics by name, character by character and word by word."""
+    import re
+    text = text or ""
+    words = re.findall(H.WORD, text)
+    n, size = max(1, len(words)), max(1, len(text))
+    lengths = [len(w) for w in words] or [0]
+
+    def lower(c):
+        return c.isalpha() and not c.isupper()
+
+    lines = [x for x in text.split("\n") if x.strip()]
+    pairs = list(zip(words, words[1:]))
+    return {
+        "log_chars": np.log1p(len(text)), "log_words": np.log1p(len(words)),
+        "mean_word": np.mean(lengths), "sd_word": np.std(lengths), "longest_word": max(lengths),
+        "letters": sum(map(lower, text)) / size, "upper": sum(c.isupper() for c in text) / size,
+        "digits": sum(c in "0123456789" for c in text) / size,
+        "blanks": sum(c in " \t\n\x0b\x0c\r" for c in text) / size,
+        "symbols": sum(c in "#*$%&|<>" for c in text) / size,
+        "not_ascii": sum(ord(c) > 127 for c in text) / size, "distinct": len(set(words)) / n,
+        "lines": np.log1p(max(1, len(lines))),
+        "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "ends_word": sum(w[-1] in ".!?,;:" for w in words) / n,
+        "capital": sum(w[0].isupper() for w in words) / n,
+        "all_capital": sum(any(c.isupper() for c in w) and not any(map(lower, w)) for w in words) / n,
+        "with_digit": sum(any(c in "0123456789" for c in w) for w in words) / n,
+        "short": np.mean([x <= 3 for x in lengths]),
+        "repeated_pairs": 1 - len(set(pairs)) / max(1, len(words) - 1),
+        "top_word": max([words.count(w) for w in set(words)], default=0) / n}
+
+
+def test_statistics_equal_plain_counts():
+    rnd = random.Random(9)
+    pieces = ["a", "B", "é", "Ä", "7", " ", " ", "\n", "\t", ".", "!", "#", "<|", "(", "ab", "Cd", "日", "😀", " word"]
+    texts = [None, "", " \n ", "x"] + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 120)))
+                                       for _ in range(300)]
+    for t in texts:
+        got = dict(zip(M.STATISTICS, M.statistics(t)))
+        for name, value in plain_statistics(t).items():
+            assert abs(got[name] - value) < 1e-9, (name, t)
+
+
+def test_grown_split_is_the_best_of_all():
+    """One tree of depth 1 against every border of every feature."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(400) < 0.1)).astype(float)
+    f = M.grow(x, y, trees=1, depth=1)
+    p = y.mean()
+    gain = {}
+    for k in range(3):
+        for b in range(12):
+            left = x[:, k] <= b
+            parts = [y[left] - p, y[~left] - p]
+            if all(len(g) * p * (1 - p) >= M.MIN_HESSIAN for g in parts):
+                gain[k, b] = sum(g.sum() ** 2 / (len(g) * p * (1 - p) + M.RIDGE) for g in parts)
+    best = max(gain, key=gain.get)
+    k, border = int(f.feature[0, 0]), float(f.border[0, 0])
+    assert k == best[0] and np.array_equal(x[:, k] <= border, x[:, k] <= best[1])

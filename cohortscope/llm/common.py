@@ -79,4 +79,6 @@ def give_back_memory() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     if libc := _libc():
+        libc.mallopt(-3, 1 << 25)       # about what the defaults grow to
+        libc.mallopt(-1, 1 << 26)
         libc.malloc_trim(0)

@@ -6,8 +6,8 @@
    order of all sets; any order gives the same links, this one gives short index lists.
 2. *Index.*  The prefix of each set that a similar one must meet.  Shingles of only one set
    leave through one exchange of packed records.
-3. *Leaders.*  A set is compared to the smallest set that heads most of its lists; if linked,
-   that is its leader, and the exact overlap is kept.  Lists of copies come down to one
+3. *Leaders.*  A list is headed by the set that lies in most lists.  A set is compared to the
+   one that heads most of its lists; if linked, that is its leader, and the exact overlap is kept.  Lists of copies come down to one
    component here, without a pair of each with each.
 4. *Lists again, across components.*  Lists are cut in blocks by set size and position; blocks
    whose best possible overlap is too small are skipped, as are pairs that meet in fewer lists
@@ -255,7 +255,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = settle(found.select("key", F.col("id").alias("node"), F.col("a").alias("n"),
                                 F.col("b").alias("place")).distinct(), "lists")
 
-    head = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"))
+    # a list is headed by the set that lies in most lists: of near copies, the one whose
+    # shingles most others have
+    often_in = lists.groupBy("node").agg((-F.count("*")).alias("rank"))
+    head = lists.join(often_in, "node").groupBy("key").agg(
+        F.min(F.struct("rank", "node", "n")).alias("head"))
     x, y = F.col("nx"), F.col("ny")
     stars = (lists.join(head, "key").select(
         F.col("node").alias("x"), F.col("head.node").alias("y"), F.col("n").alias("nx"),

@@ -111,16 +111,16 @@ n AS (SELECT name, count(*) AS n FROM s GROUP BY ALL)"""
 
 @add("j15_u3_theta_overlaps", "panel", _pairs_sql("", ""), _sets_sql(_CASE, "person_id"))
 def q_theta_splits(spark, sf):
-    return sketches.sketch_overlaps(sketches.key_sketches(
-        Workspace.of(spark, sf).panel.withColumn("split", F.expr(_CASE)), "split", "person_id"))
+    return sketches.exact_overlaps(
+        Workspace.of(spark, sf).panel.withColumn("split", F.expr(_CASE)), "split", "person_id")
 
 
 @add("a10_theta_employers", "panel", _pairs_sql("", ""),
      _sets_sql("state", "employer_id").replace("FROM panel", "FROM panel WHERE employer_id IS NOT NULL"))
 def q_theta_states(spark, sf):
     """Employers that states share."""
-    return sketches.sketch_overlaps(sketches.key_sketches(
-        Workspace.of(spark, sf).panel.filter("employer_id IS NOT NULL"), "state", "employer_id"))
+    return sketches.exact_overlaps(
+        Workspace.of(spark, sf).panel.filter("employer_id IS NOT NULL"), "state", "employer_id")
 
 
 # ------------------------------------------------------------------------ stores

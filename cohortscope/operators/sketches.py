@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.operators.quantiles import unpivot
+from cohortscope.session import stage
 
 C = F.col
 KLL_K = 400                 # accuracy: a rank is off by under 1 % of the rows, nearly always
@@ -99,6 +100,33 @@ def key_sketches(df: DataFrame, by: str, key: str, lg: int = THETA_LG) -> DataFr
         F.theta_sketch_agg(C(key), F.lit(lg)).alias("sketch"))
 
 
+def exact_overlaps(df: DataFrame, by: str, key: str, lg: int = THETA_LG) -> DataFrame:
+    """The counts of :func:`sketch_overlaps`, exact for sets of any size.
+
+    Keys are dealt by hash to bins of about a quarter of 2^lg keys, counted over all sets, so
+    that no sketch of a bin leaves its exact range; a set's counts are sums over the bins.
+    """
+    keys = df.select(C(by).cast("string").alias("name"), C(key).alias("key")).filter(
+        "name IS NOT NULL AND key IS NOT NULL")
+    about = keys.agg(F.approx_count_distinct("key")).first()[0]
+    bins = 1 + int(about * 1.25) // 2 ** (lg - 2)
+    cells = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "name").agg(
+        F.theta_sketch_agg("key", F.lit(lg)).alias("sketch"))
+    cells = stage(cells, "key-sketches")
+    sizes = cells.groupBy("name").agg(F.sum(F.theta_sketch_estimate("sketch")).alias("n"))
+    shared = cells.alias("a").join(cells.alias("b"), (C("a.bin") == C("b.bin"))
+                                   & (C("a.name") < C("b.name"))).groupBy(
+        C("a.name").alias("set_a"), C("b.name").alias("set_b")).agg(F.sum(
+            F.theta_sketch_estimate(F.theta_intersection("a.sketch", "b.sketch"))).alias("n_both"))
+    a = sizes.select(C("name").alias("set_a"), C("n").alias("n_a"))
+    b = sizes.select(C("name").alias("set_b"), C("n").alias("n_b"))
+    out = a.join(b, C("set_a") < C("set_b")).join(shared, ["set_a", "set_b"], "left")
+    both = F.coalesce("n_both", F.lit(0))
+    return out.select("set_a", "set_b", "n_a", "n_b", both.alias("n_both"),
+                      (C("n_a") - both).alias("n_only_a"),
+                      (C("n_a") + C("n_b") - both).alias("n_union"))
+
+
 def sketch_overlaps(sketches: DataFrame, lg: int = THETA_LG) -> DataFrame:
     """Sizes of every two sets, of what they share and of their union, from their sketches.
 

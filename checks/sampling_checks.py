@@ -97,8 +97,9 @@ def q_drawn(spark, sf):
 TRIMMED = 100   # rows per state that whole states are trimmed to: all hold more
 
 
-@add("w7_m7_trimmed_persons", "panel", "SELECT state, person_id, n_rows FROM trimmed", index_sql(
-    "state, person_id") + f""",
+@add("w7_m7_trimmed_persons", "panel", """
+SELECT 'drawn' AS trimmed_from, state, person_id, d.n_rows FROM gone JOIN drawn d USING (state, person_id)
+UNION ALL SELECT 'state', state, person_id, n_rows FROM trimmed""", DRAWN + f""",
 held AS (SELECT state, sum(n_rows) AS rows FROM pindex GROUP BY ALL),
 trimmed AS (SELECT state, person_id, n_rows FROM (
     SELECT p.state, p.person_id, n_rows, rows, sum(n_rows) OVER (PARTITION BY p.state
@@ -106,7 +107,15 @@ trimmed AS (SELECT state, person_id, n_rows FROM (
     FROM pindex p JOIN held USING (state) WHERE fraud_pattern = 'clean')
   WHERE rows > {TRIMMED} * 1.025 AND removed_before < rows - {TRIMMED} - 50)""")
 def q_trim(spark, sf):
-    return sampling.trim_persons(_index(spark, sf), TRIMMED).select("state", "person_id", "n_rows")
+    """Persons that the drawn sample loses, and those that whole states would lose."""
+    index = _index(spark, sf)
+    drawn = sampling.sampled_persons(index, sampling.cell_targets(index, TARGET))
+    return _gone(drawn, TARGET, "drawn").unionByName(_gone(index, TRIMMED, "state"))
+
+
+def _gone(persons, target, name):
+    return sampling.trim_persons(persons, target).select(
+        F.lit(name).alias("trimmed_from"), "state", "person_id", "n_rows")
 
 
 @add("m6_m8_state_samples", "panel", f"SELECT state, person_id, tax_year, fraud_label, "

@@ -354,7 +354,7 @@ def q_report_sink(spark, sf):
 @add("s7_s14_rate_store", "stats", f"SELECT dim, key, n, {r('rate', 'rate', 8)} FROM rates")
 def q_store(spark, sf):
     path = _dir(spark, "rates")
-    sinks.write_parquet(Workspace.of(spark, sf).statistics["rates"], path)
+    sinks.write_parquet(Workspace.of(spark, sf).rates, path)
     return rnd(spark.read.parquet(path), rate=8)
 
 

@@ -292,7 +292,7 @@ def q_signals(spark, sf):
 
 @add("f22_effective_rate", "clean", f"""SELECT person_id, tax_year, {r("expected_tax_rate", "rate", 8)} FROM clean""")
 def q_eff(spark, sf):
-    return Workspace.of(spark, sf).core.select("person_id", "tax_year", steady(
+    return Workspace.of(spark, sf).core_rows.select("person_id", "tax_year", steady(
         E.effective_rate(C("agi")), 8).alias("rate"))
 
 

@@ -51,8 +51,8 @@ def group_rates(train: DataFrame) -> DataFrame:
     return long.select("dim", "key", C("n_all").alias("n"), rate.alias("rate"))
 
 
-def peer_stats(train: DataFrame, mean: float) -> DataFrame:
-    """Per (income band, type, state): size, rates and mean/std/median/p95 per feature.
+def peer_moments(train: DataFrame, mean: float) -> DataFrame:
+    """Per (income band, type, state): size, rates and mean/std per feature; one aggregate.
 
     Spreads undefined for one-member groups take the whole training spread (else 1).
     """
@@ -64,14 +64,19 @@ def peer_stats(train: DataFrame, mean: float) -> DataFrame:
         aggs += [F.avg(x).alias(f"{f}_mean"), F.stddev_samp(x).alias(f"{f}_std")]
     base = train.groupBy(*V.PEER_KEYS).agg(*aggs)
     spread = train.agg(*[F.stddev_samp(C(f).cast("double")).alias(f) for f in feats]).first()
-    q = exact_quantiles(train, V.PEER_KEYS, feats, {"median": 0.5, "p95": 0.95})
-    out = same_keys(base, q, V.PEER_KEYS, "left")
-    out = out.withColumns({f"{f}_std": F.coalesce(
+    out = base.withColumns({f"{f}_std": F.coalesce(
         C(f"{f}_std"), F.lit(spread[f] if spread[f] is not None else 1.0)) for f in feats})
     return out.withColumn("peer_fraud_rate", smoothed(
         C("peer_group_size"), C("raw_peer_fraud_rate"), F.lit(mean)))
 
 
+def peer_stats(train: DataFrame, mean: float) -> DataFrame:
+    """The moments of :func:`peer_moments` with the median and p95 of every feature."""
+    q = exact_quantiles(train, V.PEER_KEYS, present(train, V.PEER_FEATURES),
+                        {"median": 0.5, "p95": 0.95})
+    return same_keys(peer_moments(train, mean), q, V.PEER_KEYS, "left")
+
+
 def employer_stats(train: DataFrame, mean: float) -> DataFrame:
     """Per employer (NULL excluded): raw and smoothed rate, head-count."""
     return (train.filter(C("employer_id").isNotNull()).groupBy("employer_id")
@@ -124,23 +129,28 @@ def encode_rates(df: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
 
 
 def peer_scores(core: DataFrame, stats: DataFrame, rates: DataFrame, mean: float,
-                row_id: str = "row_id") -> DataFrame:
-    """Phase 4: ranks inside (year, peer group), z-scores, target encoding."""
+                row_id: str = "row_id", ranked: list[str] | None = None) -> DataFrame:
+    """Phase 4: ranks inside (year, peer group), z-scores, target encoding.
+
+    Statistics and rates are small staged tables that meet the rows where they are; only
+    ranks (of the ``ranked`` columns, all by default) take narrow rows through a shuffle and
+    need ``row_id``.
+    """
     owned = ([f"z_{f}" for f in V.Z_FEATURES] + [f"pct_{f}" for f in V.RANKED]
              + ["n_z_above_2", "n_z_above_3", "max_z_score", "mean_abs_z", "composite_z_score",
                 "peer_group_size", "raw_peer_fraud_rate", "peer_fraud_rate"]
              + list(V.RATE_DIMS.values()))
     core = core.drop(*owned)
-    ranked = present(core, V.RANKED)
-    narrow = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, ranked, row_id)
+    ranked = present(core, V.RANKED if ranked is None else ranked)
     needed = [f"{f}_{s}" for f in V.Z_FEATURES for s in ("mean", "std")]
     keep = [c for c in V.PEER_KEYS + ["peer_group_size", "raw_peer_fraud_rate",
                                       "peer_fraud_rate"] + needed if c in stats.columns]
-    # statistics and rates meet the narrow rows; the wide rows take part in one join only
-    narrow = narrow.join(stats.select(*keep), V.PEER_KEYS, "left")
-    narrow = encode_rates(z_scores(narrow), rates, mean)
-    new = [c for c in owned if c in narrow.columns]
-    return core.join(narrow.select(row_id, *new), row_id)
+    df = core.drop(*needed).join(stats.select(*keep), V.PEER_KEYS, "left")
+    df = encode_rates(z_scores(df), rates, mean)
+    if ranked:
+        pct = percent_ranks(core, ["tax_year"] + V.PEER_KEYS, ranked, row_id)
+        df = df.join(pct.select(row_id, *[f"pct_{f}" for f in ranked]), row_id)
+    return df.select(*core.columns, *[c for c in owned if c in df.columns])
 
 
 def fit_statistics(core: DataFrame) -> dict:

@@ -1,7 +1,9 @@
 """The nine-phase feature pipeline as staged DataFrame transformations.
 
-Stages are written where a table feeds several consumers (statistics, ranking,
-probing); between them everything is one lazy plan.
+``run`` writes stages where a table feeds several consumers (statistics, ranking,
+probing); between them everything is one lazy plan.  The lazy steps (``core_rows``,
+``evidence_rows``, ``finish``) serve whoever wants a few columns: nothing wide is written
+and Spark reads and computes only what these columns need.
 """
 
 from __future__ import annotations
@@ -26,18 +28,35 @@ class FittedPanel:
     medians: DataFrame | None = field(default=None)
 
 
+def core_rows(panel: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """Phases 1 and 2, lazy: a projection over the panel."""
+    return blocks.core_features(preprocess.preprocess(panel, medians))
+
+
+def numbered(core: DataFrame) -> DataFrame:
+    """Staged with a stable row id."""
+    return stage(core.withColumn("row_id", F.monotonically_increasing_id()), "core")
+
+
 def build_core(panel: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Phases 1 and 2, staged with a stable row id."""
-    clean = preprocess.preprocess(panel, medians)
-    core = blocks.core_features(clean).withColumn("row_id", F.monotonically_increasing_id())
-    return stage(core, "core")
+    return numbered(core_rows(panel, medians))
+
+
+def flagged(core: DataFrame) -> DataFrame:
+    """Row part of phase 5, and 7: features and flags that need no other rows, lazy."""
+    return scores.impossibility_flags(forensic.forensic_features(core))
+
+
+def evidence_rows(core: DataFrame, statistics: dict, ranked: list[str] | None = None) -> DataFrame:
+    """Phases 4, row part of 5, and 7, lazy; ``ranked`` names the columns to rank (all)."""
+    return flagged(peer.peer_scores(core, statistics["peers"], statistics["rates"],
+                                    statistics["mean"], ranked=ranked))
 
 
 def build_evidence(core: DataFrame, statistics: dict) -> DataFrame:
-    """Phases 4, row part of 5, and 7, staged: everything the final scores probe."""
-    df = peer.peer_scores(core, statistics["peers"], statistics["rates"], statistics["mean"])
-    df = scores.impossibility_flags(forensic.forensic_features(df))
-    return stage(df, "evidence")
+    """Everything the final scores probe, staged."""
+    return stage(evidence_rows(core, statistics), "evidence")
 
 
 def finish(evidence: DataFrame, statistics: dict) -> DataFrame:

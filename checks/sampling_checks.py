@@ -145,7 +145,7 @@ def q_report(spark, sf):
 @add("l2_shuffled_rows", "panel", f"""SELECT person_id, tax_year, row_number() OVER (ORDER BY
   {digest(7, "person_id", "tax_year")}) - 1 AS position FROM panel""")
 def q_shuffle(spark, sf):
-    p = Workspace.of(spark, sf).panel.select("person_id", "tax_year")
+    p = Workspace.of(spark, sf).panel_of("person_id", "tax_year")
     return ordering.number_by_hash(p, [], ["person_id", "tax_year"], 7)
 
 

@@ -9,6 +9,7 @@ from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
 from cohortscope.operators.ordering import prefix_sums
 from cohortscope.operators.quantiles import exact_quantiles
+from cohortscope.session import stage
 
 C = F.col
 
@@ -132,13 +133,15 @@ def roc_auc(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame
     """Tie-aware area under the ROC curve (and its mirrored maximum) per group.
 
     Positives and negatives are counted per distinct score, then accumulated by
-    bucketed prefix sums, so neither a hot score nor a whole group meets one task.
+    bucketed prefix sums, so neither a hot score nor a whole group meets one task.  The
+    counts are staged: the sums read them several times, the rows are computed once.
     """
     by = by or []
     d = df.select(*by, C(score).cast("double").alias("v"), "fraud_label").filter(
         "v is not null and not isnan(v)")
-    n = d.groupBy(*by, "v").agg(F.sum(E.flag(C("fraud_label") == 1)).alias("pos"),
-                                F.sum(E.flag(C("fraud_label") == 0)).alias("neg"))
+    n = stage(d.groupBy(*by, "v").agg(F.sum(E.flag(C("fraud_label") == 1)).alias("pos"),
+                                      F.sum(E.flag(C("fraud_label") == 0)).alias("neg")),
+              "score-counts")
     run = prefix_sums(n, by, "v", ["neg"])
     won = C("pos") * (C("neg_before") + C("neg") / 2.0)
     auc = F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg"))

@@ -50,22 +50,19 @@ def forensic_features(df: DataFrame) -> DataFrame:
 
 
 PROBED = sorted(set(V.DIF_WEIGHTS) | set(V.FORENSIC_WEIGHTS) | {"total_flag_count"})
+FEW = 4                     # 2^4 distinct values held exactly, the least a sketch takes
 
 
 def two_valued(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per year and column: does the column hold at most two distinct values?
 
-    A column is two-valued when nothing lies strictly between its minimum and
-    maximum, so two column-pruned aggregates decide it exactly, with no distinct.
+    One pass: a theta sketch holds up to 2^FEW values exactly and counts more than two of
+    any larger number, so that the rows, which may be a long plan, are computed once.
     """
     cols = present(df, cols or PROBED)
-    ends = df.groupBy("tax_year").agg(*[f(E.nz(c).cast("double")).alias(f"{p}_{c}")
-                                        for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])
-    inside = [E.flag((E.nz(c) > C(f"lo_{c}")) & (E.nz(c) < C(f"hi_{c}"))) for c in cols]
-    # one row per calendar year: a bounded side
-    return (df.select("tax_year", *cols).join(F.broadcast(ends), "tax_year").groupBy("tax_year")
-            .agg(*[F.max(i).alias(f"many_{c}") for i, c in zip(inside, cols)])
-            .select("tax_year", *[(C(f"many_{c}") == 0).alias(f"two_{c}") for c in cols]))
+    return df.groupBy("tax_year").agg(*[
+        (F.theta_sketch_estimate(F.theta_sketch_agg(E.nz(c).cast("double"), F.lit(FEW))) <= 2)
+        .alias(f"two_{c}") for c in cols])
 
 
 def fit_norm_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:

@@ -89,12 +89,15 @@ def percent_ranks(df: DataFrame, keys: list[str], cols: list[str], row_id: str,
     back by id, so that wide rows are never sorted once per column.  Ranks come from counts
     per distinct value, which combine map-side, for groups of any size; NaN counts as NULL.
     ``row_id`` must be a stored unique id (a staged table's), so that a retried task sees
-    the same ids.
+    the same ids.  Groups and counts are staged.
     """
     narrow = df.select(row_id, *keys, *cols)
-    rows = unpivot(narrow, [row_id] + keys, cols)
-    group = keys + ["f"]
-    counts = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    # groups go by number: every row moves once per column, and keys may be long
+    groups = stage(narrow.select(*keys).distinct().withColumn(
+        "__g", F.monotonically_increasing_id()), "rank-groups")
+    rows = unpivot(same_keys(narrow, groups, keys, "inner"), [row_id, "__g"], cols)
+    group = ["__g", "f"]
+    counts = stage(rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n")), "rank-counts")
     sizes = counts.groupBy(*group).agg(F.sum("n").alias("size"))
     ranked = same_keys(prefix_sums(counts, group, "v", ["n"]), sizes, group, "inner")
     ranked = ranked.select(*group, "v", (

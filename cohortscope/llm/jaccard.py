@@ -9,9 +9,9 @@
 3. *Leaders.*  A list is headed by the set that lies in most lists.  A set is compared to the
    one that heads most of its lists; if linked, that is its leader, and the exact overlap is kept.  Lists of copies come down to one
    component here, without a pair of each with each.
-4. *Lists again, across components.*  Lists are cut in blocks by set size and position; blocks
-   whose best possible overlap is too small are skipped, as are pairs that meet in fewer lists
-   than linked sets must.  Candidates between components get their answer from the leaders' overlap: |x & y| differs from |lx & ly| by no more than what
+4. *Lists again, across components.*  Lists are cut in blocks by set size.  A pair comes out of
+   a list that can hold the first shingle the two share, and is skipped where they meet in
+   fewer lists than linked sets must.  Candidates between components get their answer from the leaders' overlap: |x & y| differs from |lx & ly| by no more than what
    the sets lack of their leaders.  Where that settles the question nothing is compared; the
    rest is compared exactly.
 5. *Components* of all links.
@@ -185,27 +185,39 @@ def _near(n, m):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def candidates(lists: DataFrame) -> DataFrame:
-    """Pairs of sets in one list but in different components that may be linked.
+def meetings(lists: DataFrame) -> DataFrame:
+    """Pairs of sets in different components (x, y, nx, ny) that may be linked, per list.
 
     Lists are cut in blocks of sizes: a set meets the blocks of its own size and the next
-    larger.  Within a block, a pair whose positions leave too little room is passed over.
+    larger.  The first token that two sets share has all they share at or behind it, in
+    both: a pair comes out of a list only where either has room for that many, whatever
+    other lists the two are in.
     """
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9)
     rows = lists.withColumn("block", block)
-    left = rows.select("key", "block", F.col("node").alias("x"), F.col("n").alias("nx"),
-                       F.col("place").alias("px"), F.col("component").alias("cx"))
+    left = rows.filter(F.col("place") <= F.col("n") - _needed(F.col("n"), F.col("n"))).select(
+        "key", "block", F.col("node").alias("x"), F.col("n").alias("nx"),
+        F.col("place").alias("px"), F.col("component").alias("cx"))
     right = rows.select("key", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
                         F.col("node").alias("y"), F.col("n").alias("ny"),
                         F.col("place").alias("py"), F.col("component").alias("cy"))
-    room = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    need = _needed(F.col("nx"), F.col("ny"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny"))
                                              & (F.col("x") < F.col("y")))
     return (left.join(right, ["key", "block"])
             .filter((F.col("cx") != F.col("cy")) & smaller & _near(F.col("nx"), F.col("ny"))
-                    & (room >= _needed(F.col("nx"), F.col("ny"))))
-            .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("met"))
-            .filter(F.col("met") >= _met(F.col("nx"), F.col("ny"))).drop("met"))
+                    & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need))
+            .select("x", "y", "nx", "ny"))
+
+
+def candidates(lists: DataFrame) -> DataFrame:
+    """Pairs that meet in a list (:func:`meetings`) and in as many as linked sets must."""
+    held = lists.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    one = held.select(F.col("node").alias("x"), F.col("keys").alias("of_x"))
+    two = held.select(F.col("node").alias("y"), F.col("keys").alias("of_y"))
+    met = F.size(F.array_intersect("of_x", "of_y"))
+    return (meetings(lists).distinct().join(one, "x").join(two, "y")
+            .filter(met >= _met(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny"))
 
 
 def _needed(n, m):

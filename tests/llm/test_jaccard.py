@@ -58,3 +58,29 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(
         spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(40)}}
+
+
+def _lists(spark, sets):
+    """Index lists of the given sets (ascending tokens): each is a component of its own."""
+    rows = [(t, i, len(s), p, i) for i, s in enumerate(sets)
+            for p, t in enumerate(s[:J.prefix(len(s))])]
+    return spark.createDataFrame(rows, "key long, node long, n long, place long, component long")
+
+
+def test_sets_that_share_the_end_of_their_prefix_form_no_pairs(spark):
+    """op8, pipeline: such sets came out of every list that they shared, each with each."""
+    alike = [[1000 * i + p for p in range(20)] + [10 ** 6 + p for p in range(126)]
+             for i in range(30)]
+    assert J.meetings(_lists(spark, alike)).count() == 0
+    assert J.candidates(_lists(spark, alike)).count() == 0
+
+
+def test_every_linked_pair_is_a_candidate(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(24), rng.randint(3, 22))) for _ in range(150)]
+    sets = [list(s) for s in dict.fromkeys(map(tuple, sets))]
+    got = {tuple(r) for r in J.candidates(_lists(spark, sets)).select("x", "y").collect()}
+    pairs = [(i, j) if (len(a), i) < (len(b), j) else (j, i) for i, a in enumerate(sets)
+             for j, b in enumerate(sets) if i < j and
+             100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))]
+    assert len(pairs) > 5 and set(pairs) <= got

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.feature_checks import PANEL_FLOATS, PANEL_INTS, PANEL_TEXT
+from checks.feature_checks import PANEL_FLOATS, PANEL_INTS, PANEL_TEXT, reading
 from checks.panel_sql import flag, r, steady, with_ctes
 from cohortscope import vocab as V
 from cohortscope.functions import exprs as E
@@ -296,7 +296,7 @@ _FLAGS = sorted(V.SIGNAL_FLAGS + V.IMPOSSIBILITY_FLAGS)
     AS owner
   FROM ({" UNION ALL ".join(f"SELECT '{x}' AS flag, avg({x}) AS a, avg({x}) FILTER (WHERE fraud_label = 1) AS f, avg({x}) FILTER (WHERE fraud_label = 0) AS c FROM scored WHERE tax_year = 2019" for x in _FLAGS)})""")
 def q_calibration(spark, sf):
-    d = Workspace.of(spark, sf).flagged.filter("tax_year = 2019")
+    d = reading(spark, sf, "e1_flag_calibration").flagged.filter("tax_year = 2019")
     return rnd(evaluate.flag_calibration(d, _FLAGS), all_rate=6, fraud_rate=6, clean_rate=6,
                lift=5)
 
@@ -312,7 +312,8 @@ def q_calibration(spark, sf):
     (SELECT median(master_fraud_propensity) AS p50, quantile_cont(master_fraud_propensity, 0.75)
      AS p75 FROM scored WHERE fraud_label = 0))""")
 def q_separation(spark, sf):
-    s = Workspace.of(spark, sf).scored_of("fraud_label", "master_fraud_propensity")
+    s = reading(spark, sf, "e2_score_separation").scored_of(
+        "fraud_label", "master_fraud_propensity")
     d = evaluate.score_separation(s, "master_fraud_propensity")
     return rnd(d, **dict.fromkeys(d.columns, 5))
 
@@ -335,7 +336,7 @@ def q_ks(spark, sf):
            avg({b}) FILTER (WHERE fraud_label = 0) AS c FROM scored)"""
     for b in V.REPORTED_BLOCKS))
 def q_blocks(spark, sf):
-    return rnd(evaluate.block_means(Workspace.of(spark, sf).scores, V.REPORTED_BLOCKS),
+    return rnd(evaluate.block_means(reading(spark, sf, "e4_block_means").scores, V.REPORTED_BLOCKS),
                fraud_mean=5, clean_mean=5, ratio=4)
 
 
@@ -362,7 +363,7 @@ _COMBOS = {
     {r("avg(fraud_label) / (SELECT avg(fraud_label) FROM scored)", "lift", 5)}
     FROM scored WHERE {v}""" for k, v in _COMBOS.items()) + ") WHERE n > 0")
 def q_combos(spark, sf):
-    d = Workspace.of(spark, sf).flagged
+    d = reading(spark, sf, "e5_flag_combinations").flagged
     return rnd(evaluate.flag_combinations(d, evaluate.standard_combinations()), rate=6, lift=5)
 
 
@@ -371,8 +372,8 @@ def q_combos(spark, sf):
   {r("avg(fraud_label) / (SELECT avg(fraud_label) FROM scored)", "lift", 5)}
   FROM scored GROUP BY ALL""")
 def q_flag_counts(spark, sf):
-    return rnd(evaluate.flag_count_distribution(Workspace.of(spark, sf).flagged), pct=6, rate=6,
-               lift=5)
+    return rnd(evaluate.flag_count_distribution(
+        reading(spark, sf, "e6_flag_count_distribution").flagged), pct=6, rate=6, lift=5)
 
 
 def _auc_sql(stage, score, by):
@@ -393,8 +394,8 @@ def q_auc_year(spark, sf):
 
 @add("e7_roc_auc_flags", "scored", _auc_sql("scored", "total_flag_count", "state"))
 def q_auc_flags(spark, sf):
-    return rnd(evaluate.roc_auc(Workspace.of(spark, sf).flagged, "total_flag_count", ["state"]),
-               auc=6, auc_either_way=6)
+    return rnd(evaluate.roc_auc(reading(spark, sf, "e7_roc_auc_flags").flagged, "total_flag_count",
+                                ["state"]), auc=6, auc_either_way=6)
 
 
 @add("e7_roc_auc_master", "scored", f"""SELECT {r("auc", "auc", 5)},
@@ -405,6 +406,6 @@ def q_auc_flags(spark, sf):
   FROM (SELECT fraud_label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk
     FROM (SELECT fraud_label, floor(master_fraud_propensity * 1e9 + 0.5001) / 1e9 AS s FROM scored)))""")
 def q_auc_master(spark, sf):
-    d = Workspace.of(spark, sf).scores.select(
+    d = reading(spark, sf, "e7_roc_auc_master").scores.select(
         "fraud_label", steady("master_fraud_propensity", 9).alias("s"))
     return rnd(evaluate.roc_auc(d, "s"), auc=5, auc_either_way=5)

@@ -6,7 +6,7 @@ the panel is bit-identical however rows are partitioned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope import vocab as V
@@ -27,14 +27,24 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
 
 
+WAGE, BUSINESS, GIG, RENT = range(1, 5)
+
+
+def _kind() -> Column:
+    """What a line pays for, as one number instead of two texts: lines move by order."""
+    ret, stat = C("l_returnflag"), C("l_linestatus")
+    return (F.when(ret == "N", WAGE).when((ret == "R") & (stat == "O"), BUSINESS)
+            .when((ret == "A") & (stat == "F"), GIG).when((ret == "A") & (stat == "O"), RENT))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their order, amounts as whole numbers."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         (F.year("o_orderdate") + 24).alias("tax_year"))
     lines = table(spark, sf_dir, "lineitem").select(
-        C("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber", "l_returnflag",
-        "l_linestatus", F.floor(C("l_extendedprice") * 100 + 0.5).alias("p"),
+        C("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber",
+        _kind().alias("kind"), F.floor(C("l_extendedprice") * 100 + 0.5).alias("p"),
         F.floor(C("l_discount") * 100 + 0.5).alias("d"),
         F.floor(C("l_tax") * 100 + 0.5).alias("t"),
         F.floor(C("l_quantity") + 0.5).alias("q"))
@@ -45,46 +55,47 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (person, year) with the raw columns the library reads."""
     s = sales(spark, sf_dir)
     p, d, t, q, n = C("p"), C("d"), C("t"), C("q"), F.count(F.lit(1))
-    ret, stat, line = C("l_returnflag"), C("l_linestatus"), C("l_linenumber")
+    line = C("l_linenumber")
 
-    def amount(x, scale, cond=None):
-        return F.sum(x if cond is None else F.when(cond, x)).cast("double") / float(scale)
+    def amount(x, scale, cond=None, times=1):
+        """The factor follows the sum, so that equal sums are kept and moved once."""
+        whole = F.sum(x if cond is None else F.when(cond, x)) * times
+        return whole.cast("double") / float(scale)
 
-    wage, biz = ret == "N", (ret == "R") & (stat == "O")
-    gig, rent = (ret == "A") & (stat == "F"), (ret == "A") & (stat == "O")
+    wage, biz, gig, rent = (C("kind") == k for k in (WAGE, BUSINESS, GIG, RENT))
     g = s.groupBy("o_custkey", "tax_year").agg(
         F.min("l_suppkey").alias("employer"),
-        amount(p * 25, 1e4, wage).alias("w2_wages"),
-        amount(p * 25, 1e4, biz).alias("gross_receipts"),
-        amount(p * d * 2, 1e4, biz).alias("cogs"),
+        amount(p, 1e4, wage, 25).alias("w2_wages"),
+        amount(p, 1e4, biz, 25).alias("gross_receipts"),
+        amount(p * d, 1e4, biz, 2).alias("cogs"),
         amount(p * 25 - p * d * 2, 1e4, biz).alias("net_se_income"),
-        amount(p * 8, 1e4, gig).alias("gig_income"),
-        amount(p * 2, 1e4, gig).alias("gig_expenses"),
-        amount(p * 6, 1e4, gig).alias("gig_net"),
-        amount(p * 10, 1e4, rent).alias("rental_gross"),
+        amount(p, 1e4, gig, 8).alias("gig_income"),
+        amount(p, 1e4, gig, 2).alias("gig_expenses"),
+        amount(p, 1e4, gig, 6).alias("gig_net"),
+        amount(p, 1e4, rent, 10).alias("rental_gross"),
         amount(p * (t - 3), 1e4, rent).alias("rental_net"),
         F.count(F.when(rent, 1)).alias("n_rental_units"),
         amount(p * t * 5, 1e5, q > 40).alias("dividends"),
         amount(p * (d - 2) * 5, 1e5, q < 10).alias("capital_gains_lt"),
         amount(p * t, 1e5, q.between(20, 25)).alias("interest_income"),
-        amount(p * 25 * d, 1e6, line == 1).alias("sch_c_advertising"),
-        amount(p * 25 * d, 1e6, line == 2).alias("sch_c_car_truck"),
+        amount(p * d, 1e6, line == 1, 25).alias("sch_c_advertising"),
+        amount(p * d, 1e6, line == 2, 25).alias("sch_c_car_truck"),
         amount(q * 100, 1, line == 3).alias("sch_c_meals"),
-        amount(p * 25 * d, 1e6, line == 4).alias("sch_c_home_office"),
-        amount(p * 25 * d, 1e6, line == 5).alias("sch_c_wages"),
-        amount(p * 25 * t, 1e6, line == 6).alias("sch_c_depreciation"),
-        amount(p * 3, 1e4, line == 7).alias("crypto_proceeds"),
+        amount(p * d, 1e6, line == 4, 25).alias("sch_c_home_office"),
+        amount(p * d, 1e6, line == 5, 25).alias("sch_c_wages"),
+        amount(p * t, 1e6, line == 6, 25).alias("sch_c_depreciation"),
+        amount(p, 1e4, line == 7, 3).alias("crypto_proceeds"),
         amount(p * d, 1e4, line == 7).alias("crypto_cost_basis"),
         amount(p, 1e4, line == 1).alias("foreign_income"),
-        amount(p * 4, 1e4, line == 2).alias("social_security_income"),
-        amount(p * d * 5, 1e5).alias("ded"),
-        amount(p * d * 3, 1e5).alias("itemized_mortgage_int"),
-        amount(p * 25 * t, 1e6).alias("tax"),
-        amount(p * 45 * d, 1e6, wage).alias("federal_withheld"),
-        amount(p * 50 * d, 1e6, wage).alias("federal_withheld_total"),
-        amount(q * 10, 1).alias("total_credits"),
-        amount(q * 7, 1).alias("utility_cost_estimated"),
-        amount(p * 5, 1e4).alias("hidden"),
+        amount(p, 1e4, line == 2, 4).alias("social_security_income"),
+        amount(p * d, 1e5, times=5).alias("ded"),
+        amount(p * d, 1e5, times=3).alias("itemized_mortgage_int"),
+        amount(p * t, 1e6, times=25).alias("tax"),
+        amount(p * d, 1e6, wage, 45).alias("federal_withheld"),
+        amount(p * d, 1e6, wage, 50).alias("federal_withheld_total"),
+        amount(q, 1, times=10).alias("total_credits"),
+        amount(q, 1, times=7).alias("utility_cost_estimated"),
+        amount(p, 1e4, times=5).alias("hidden"),
         F.sum("q").cast("double").alias("sq"), F.sum("d").alias("sd"), F.sum("t").alias("st"),
         n.alias("cnt"), F.max("o_totalprice").alias("top"),
         F.max(E.flag(C("o_orderstatus") == "F")).alias("any_f"))

@@ -23,7 +23,7 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
         # unique-key joins build small hash tables per partition instead of sorting wide rows
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         # methods above 8000 bytes are never JIT-compiled; fall back to split projections
-        "spark.sql.codegen.hugeMethodLimit": "8000",
+        HUGE_METHOD: "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.filterPushdown": "true",
     }
@@ -33,6 +33,16 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
     return b.getOrCreate()
 
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def split_huge_methods(spark: SparkSession) -> None:
+    """Where the session leaves Spark's default, stages above 8000 bytes of code, which are
+    never JIT-compiled, run as split projections, as in :func:`build_session`."""
+    if spark.conf.get(HUGE_METHOD) == "65535":
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
 def name_folder(spark: SparkSession, folder: str) -> None:
     """Use ``folder`` for staged tables where the session names none."""
     if not _named(spark):

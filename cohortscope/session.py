@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,7 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # unique-key joins build small hash tables per partition instead of sorting wide rows
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+        LOCAL_MAPS: "64MB",
         # methods above 8000 bytes are never JIT-compiled; fall back to split projections
         HUGE_METHOD: "8000",
         "spark.sql.session.timeZone": "UTC",
@@ -34,6 +36,7 @@ def build_session(app: str = "cohortscope", master: str | None = None, **conf) -
 
 
 HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+LOCAL_MAPS = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
 def split_huge_methods(spark: SparkSession) -> None:
@@ -43,6 +46,20 @@ def split_huge_methods(spark: SparkSession) -> None:
         spark.conf.set(HUGE_METHOD, "8000")
 
 
+@contextmanager
+def hashed_partitions(spark: SparkSession) -> Iterator[None]:
+    """Where the session leaves Spark's default (never), joins that run in here build hash tables
+    of shuffled partitions that are small enough for it, as in :func:`build_session`, instead
+    of sorting both sides; larger ones are sorted."""
+    before = spark.conf.get(LOCAL_MAPS)
+    if before in ("0", "0b"):
+        spark.conf.set(LOCAL_MAPS, "64MB")
+    try:
+        yield
+    finally:
+        spark.conf.set(LOCAL_MAPS, before)
+
+
 def name_folder(spark: SparkSession, folder: str) -> None:
     """Use ``folder`` for staged tables where the session names none."""
     if not _named(spark):

@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ FILE_A = "/opt/tokenizers/byte_bpe_50k.json"
 FILE_B = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 2_000_000
 WINDOW = 1 << 20            # bytes of a text whose ends are in dictionaries at once
+JOINED = 1 << 16            # tokens whose bytes are joined at once
 LONG_RUN = 5_000            # characters without a change between blank and other
 #: How byte-level BPE of this kind splits a text before merging (fixed value).
 PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -108,11 +110,21 @@ class Side:
     def __init__(self, token_bytes: list[bytes], last: str):
         self.bytes = token_bytes
         self.length = np.array([len(b) for b in token_bytes], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.spelled = np.frombuffer(b"".join(token_bytes), np.uint8)
         names = [str(i) for i in range(len(token_bytes))]
-        self.written = np.array([n + "," for n in names] + [n + last for n in names], object)
+        self.written = np.array([n + "," for n in names] + [n + last for n in names], "S")
 
-    def text(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def text(self, ids) -> bytes:
+        """Bytes of tokens that follow each other, ``JOINED`` tokens at a time."""
+        return b"".join(self._text(ids[k:k + JOINED]) for k in range(0, len(ids), JOINED))
+
+    def _text(self, ids) -> bytes:
+        size = self.length[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (end - size), size)
+        at += np.arange(len(at))
+        return self.spelled[at].tobytes()
 
 
 @lru_cache(2)
@@ -132,9 +144,10 @@ def slices(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         b = slice(0 if k == 0 else first_b[k], first_b[k + 1])
         index_a = dict(zip(end_a[a].tolist(), range(a.start + 1, a.stop + 1)))
         index_b = dict(zip(end_b[b].tolist(), range(b.start + 1, b.stop + 1)))
-        common = sorted(index_a.keys() & index_b.keys())
-        for cut, index in ((cut_a, index_a), (cut_b, index_b)):
-            cut.append(np.fromiter(map(index.__getitem__, common), np.int64, len(common)))
+        # ends ascend, and dictionaries keep their order: the common keys come out sorted
+        found = list(map(index_a.get, index_b))                 # no index is 0
+        cut_a.append(np.fromiter(filter(None, found), np.int64))
+        cut_b.append(np.fromiter(compress(index_b.values(), found), np.int64))
     return np.concatenate(cut_a), np.concatenate(cut_b)
 
 
@@ -156,7 +169,7 @@ def written(ids_a, ids_b, cut_a, cut_b, a: Side, b: Side) -> str:
     """The groups: ``a1,a2|b1;a3|b2,b3``, in order."""
     if not len(cut_a):
         return ""
-    out = np.empty(len(ids_a) + len(ids_b), object)
+    out = np.empty(len(ids_a) + len(ids_b), max(a.written.dtype, b.written.dtype))
     before_b, before_a = np.r_[0, cut_b[:-1]], cut_a
     last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     last_a[cut_a - 1], last_b[cut_b - 1] = len(a.length), len(b.length)
@@ -164,7 +177,8 @@ def written(ids_a, ids_b, cut_a, cut_b, a: Side, b: Side) -> str:
         a.written[ids_a + last_a])
     out[np.arange(len(ids_b)) + np.repeat(before_a, np.diff(cut_b, prepend=0))] = (
         b.written[ids_b + last_b])
-    return "".join(out.tolist())[:-1]
+    signs = out.view(np.uint8)
+    return signs[signs != 0].tobytes()[:-1].decode()            # numbers are filled up with zeros
 
 
 NONE = np.zeros(0, np.int64)
@@ -175,11 +189,11 @@ def aligned(texts: list[str | None], v) -> Iterator[tuple]:
     enc_a, enc_b, a, b = v
     for text, ids_b in zip(texts, enc_b.encode([t or "" for t in texts])):
         ids_a = enc_a.encode(" " + text) if text else []
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         whole = (" " + text).encode() if text else b""
         if not text or a.text(ids_a) != whole or b.text(ids_b) != whole:
             yield (NONE,) * 6
             continue
-        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         end_a, end_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
         yield ids_a, ids_b, end_a, end_b, *slices(end_a, end_b)
 

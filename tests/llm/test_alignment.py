@@ -108,3 +108,17 @@ def test_alignment_itself_empty_table_and_other_columns(spark, v):
     clash = table(spark, [(1, "some words")]).withColumns(
         {c: F.lit("clash") for c in ("a", "b", "n", "n_a", "best", "count_sum")})
     assert run(spark, clash)[1][0] > 0
+
+
+def test_groups_are_written_and_texts_joined_without_python_objects(v, monkeypatch):
+    """op13 was over its CPU budget: objects a token, and a set and a sort a text."""
+    text = "some words, naïve 東京 words \t and 12345 words "
+    one = next(A.aligned([text], v))
+    ids_a, ids_b, _, _, cut_a, cut_b = one
+    groups = [",".join(map(str, ids_a[i:j])) + "|" + ",".join(map(str, ids_b[k:m])) for i, j, k, m
+              in zip(np.r_[0, cut_a], cut_a, np.r_[0, cut_b], cut_b)]
+    assert A.written(ids_a, ids_b, cut_a, cut_b, v[2], v[3]) == ";".join(groups)
+    assert v[2].written.dtype.kind == v[3].written.dtype.kind == "S"
+    monkeypatch.setattr(A, "JOINED", 3)
+    assert v[2].text(ids_a) == v[3].text(ids_b.tolist()) == (" " + text).encode()
+    assert v[2].text([]) == b""

@@ -28,9 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,10 @@ class Vocabulary:
         prefixes = np.concatenate(prefixes)
         order = np.argsort(found)
         self.hashes, self.ids = found[order], np.array(ids, np.int64)[order]
-        self.piece_bits, self.prefix_bits = self._bits(found), self._bits(prefixes)
+        self.prefix_bits = self._bits(prefixes)
+        lead = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.held = np.bincount(lead, minlength=1 << 20).astype(np.int16)
+        self.begin = np.searchsorted(lead, np.arange(1 << 20)).astype(np.int32)
 
     @staticmethod
     def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -120,12 +124,18 @@ class Vocabulary:
         return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each mixed hash, -1 where there is none."""
+        """Piece of each mixed hash, -1 where there is none: the few pieces whose hash begins
+        with the same 20 bits are compared one after another."""
         out = np.full(len(h), -1)
-        at = np.flatnonzero(self.piece_bits[h >> np.uint64(44)])
-        if len(self.hashes):
-            slot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            out[at] = np.where(self.hashes[slot] == h[at], self.ids[slot], -1)
+        lead = h >> np.uint64(44)
+        at = np.flatnonzero(self.held[lead])
+        slot = self.begin[lead[at]]
+        left = self.held[lead[at]]
+        while len(at):
+            hit = self.hashes[slot] == h[at]
+            out[at[hit]] = self.ids[slot[hit]]
+            go = np.flatnonzero(~hit & (left > 1))
+            at, slot, left = at[go], slot[go] + 1, left[go] - 1
         return out
 
     def decode(self, ids: np.ndarray, edge: np.ndarray) -> list[bytes]:
@@ -265,8 +275,7 @@ class Search:
         per_doc = [_UNIT.findall(" " + t) if t else [] for t in texts]
         counts = np.array([len(x) for x in per_doc], np.int64)
         units = list(chain.from_iterable(per_doc))
-        ids = dict.fromkeys(units)
-        ids = dict(zip(ids, range(len(ids))))
+        ids = defaultdict(count().__next__)                     # numbered as they come
         self.unit = np.fromiter(map(ids.__getitem__, units), np.int64, len(units))
         self.lattice = Lattices(list(ids), v)
         self.doc = np.repeat(np.arange(len(texts)), counts)
@@ -446,15 +455,20 @@ class Search:
         low = np.flatnonzero(piece < 0)
         if not len(low):
             return piece.astype(np.int32), edge
+        missed, which = np.unique(piece[low], return_inverse=True)
         spelled = [v.byte_id[list(chr(-1 - x).encode("utf-8", "surrogatepass"))]
-                   for x in piece[low].tolist()]
+                   for x in missed.tolist()]
         wide = np.ones(len(piece), np.int64)
-        wide[low] = [len(s) for s in spelled]
+        wide[low] = np.array([len(s) for s in spelled])[which]
         at = np.r_[0, np.cumsum(wide)]
         out = np.zeros(at[-1], np.int32)
         out[at[:-1]] = np.maximum(piece, 0)
-        for i, s in zip(at[low], spelled):
-            out[i:i + len(s)] = s
+        padded = np.zeros((len(spelled), 4), np.int32)
+        for i, s in enumerate(spelled):
+            padded[i, :len(s)] = s
+        for k in range(4):
+            some = wide[low] > k
+            out[at[low[some]] + k] = padded[which[some], k]
         return out, at[edge]
 
 

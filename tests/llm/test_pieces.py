@@ -81,3 +81,20 @@ def test_round_trip_and_keys(spark):
     same = {(r.doc_id, r.sample): (r.ids, r.log_prob) for r in S.encode(df.coalesce(1)).collect()}
     assert all(same[r.doc_id, r.sample] == (r.ids, r.log_prob) for r in rows)
     assert S.encode(H.table(spark, [])).count() == 0
+
+
+def test_pieces_are_found_among_hashes_that_begin_alike():
+    """op4 was over its CPU budget: every hash was searched in the whole sorted list."""
+    assert V.held.max() > 1 and V.held.sum() == len(V.hashes)
+    for h in (V.hashes, V.hashes + np.uint64(1), V.hashes ^ np.uint64(1 << 43), V.hashes[:0]):
+        want = dict(zip(V.hashes.tolist(), V.ids.tolist()))
+        assert V.find(h).tolist() == [want.get(x, -1) for x in h.tolist()]
+
+
+def test_characters_that_are_no_piece_are_spelled_in_bytes():
+    text = "a\x01é\U0001F9FF▁\U0001F9FF z ͸ b"
+    rows = S._rows([1, 2], [text, "\U0001F9FF"], V, 2, 1, True)
+    for batch in rows:
+        for r in batch.to_pylist():
+            want = text if r["doc_id"] == 1 else "\U0001F9FF"
+            assert r["decoded_sha256"] == hashlib.sha256(want.encode()).hexdigest()
